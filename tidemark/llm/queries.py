@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import exact_dedup as dedup, token_counts as counts
+from tidemark.llm import chat, exact_dedup as dedup, mixing, secrets, token_counts as counts
 from tidemark.tables import table
 
 
@@ -24,17 +24,99 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], turns.schema)
+    return chat.digests(chat.format_windows(turns.unionByName(extra)))
+
+
+def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_times") * F.col("_size")).alias("taken"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, secrets.BASE), F.sha2(written(base), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_chat_windows, op7_weighted_mix, op8_secret_scan, op10_token_counts)}
 
 SQL = {
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op6_chat_windows": """
+        WITH RECURSIVE every AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        turns AS (
+          SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+            length(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 3 AS tokens,
+            8 + length('<||>' || chr(10)) + length(replace(replace(replace(replace(role, '%', '%25'), '|', '%7C'), chr(10), '%0A'), '<', '%3C'))
+            + length(replace(replace(replace(replace(replace(replace(replace(replace(text, '%', '%25'), '<|', '%3C|'), '</s>', '%3C/s>'), '<s>', '%3Cs>'),
+                '<<SYS>>', '%3C<SYS>>'), '<</SYS>>', '%3C</SYS>>'), '[INST]', '%5BINST]'), '[/INST]', '%5B/INST]')) AS chars,
+            first_value(CASE WHEN role = 'system' THEN 1 ELSE 0 END) OVER w AS has_system
+          FROM every WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        sized AS (SELECT *, sum(CASE WHEN i <= has_system THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS fixed FROM turns),
+        walk AS (
+          SELECT conv_id, i, tokens AS used, 0 AS win FROM sized WHERE i = has_system + 1
+          UNION ALL
+          SELECT s.conv_id, s.i, CASE WHEN w.used + s.tokens > greatest(1, 512 - 128 - s.fixed) THEN s.tokens ELSE w.used + s.tokens END,
+                 CASE WHEN w.used + s.tokens > greatest(1, 512 - 128 - s.fixed) THEN w.win + 1 ELSE w.win END
+          FROM walk w JOIN sized s ON s.conv_id = w.conv_id AND s.i = w.i + 1),
+        firsts AS (SELECT conv_id, win, min(i) AS first FROM walk GROUP BY ALL),
+        back AS (
+          SELECT f.conv_id, f.win, b.i, b.chars, b.has_system,
+                 sum(b.tokens) OVER (PARTITION BY f.conv_id, f.win ORDER BY b.i DESC) AS cost
+          FROM firsts f JOIN sized b ON b.conv_id = f.conv_id AND b.i < f.first AND b.i >= f.first - 2 AND b.i > b.has_system),
+        repeats AS (
+          SELECT conv_id, sum(chars) AS chars FROM back WHERE cost <= 128 GROUP BY conv_id),
+        again AS (
+          SELECT s.conv_id, s.chars * (SELECT max(win) FROM firsts f WHERE f.conv_id = s.conv_id) AS chars
+          FROM sized s WHERE s.i = 1 AND s.has_system = 1)
+        SELECT t.conv_id, count(*) AS n_turns,
+          sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+          coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+          sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY i), '')) AS loss_sha256,
+          (sum(t.chars) + coalesce(any_value(r.chars), 0) + coalesce(any_value(a.chars), 0))::BIGINT AS formatted_chars,
+          coalesce((SELECT max(win) + 1 FROM firsts f WHERE f.conv_id = t.conv_id), 1)::BIGINT AS n_windows
+        FROM sized t LEFT JOIN repeats r ON r.conv_id = t.conv_id LEFT JOIN again a ON a.conv_id = t.conv_id
+        GROUP BY t.conv_id""",
+    "op7_weighted_mix": """
+        WITH sized AS (
+          SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+                 ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+        per AS (
+          SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS most,
+                 [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM sized GROUP BY source),
+        levels AS (
+          SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE
+                 - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                 / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM per),
+        targets AS (
+          SELECT source, source_size, CASE WHEN most <= level * weight THEN most
+                 ELSE weight * (SELECT arg_min(level, most / weight) FROM levels WHERE most > level * weight) END AS target FROM levels),
+        queue AS (
+          SELECT s.doc_id, s.source, s.size, s.h, p.pass, t.target,
+                 (p.pass * t.source_size + sum(s.size) OVER (PARTITION BY s.source, p.pass ORDER BY s.h, s.doc_id, s.size ROWS UNBOUNDED PRECEDING)) / t.target AS finish
+          FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source CROSS JOIN (VALUES (0), (1)) p(pass) WHERE t.target > 0),
+        taken AS (
+          SELECT doc_id, source, size, sum(size) OVER (ORDER BY finish, source NULLS LAST, pass, h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM queue),
+        times AS (
+          SELECT doc_id, source, count(*) AS times FROM taken WHERE upto <= 1.5 * (SELECT sum(size) FROM sized) GROUP BY ALL)
+        SELECT s.doc_id, s.size, t.source_size, t.target, (coalesce(x.times, 0) * s.size)::BIGINT AS taken
+        FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+        LEFT JOIN times x ON x.doc_id = s.doc_id AND x.source IS NOT DISTINCT FROM s.source""",
 }
 
 
