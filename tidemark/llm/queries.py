@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, exact_dedup as dedup, mixing, secrets, token_counts as counts
+from tidemark.llm import chat, exact_dedup as dedup, mixing, secrets, token_counts as counts, toxicity as toxic
 from tidemark.tables import table
 
 
@@ -44,11 +44,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, secrets.BASE), F.sha2(written(base), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_chat_windows, op7_weighted_mix, op8_secret_scan, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_chat_windows, op7_weighted_mix, op8_secret_scan, op9_toxicity, op10_token_counts)}
 
 SQL = {
     "op4_exact_dedup": """
