@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, exact_dedup as dedup, mixing, secrets, token_counts as counts, toxicity as toxic
+from tidemark.llm import chat, exact_dedup as dedup, mixing, ngram_join as ngrams, secrets, token_counts as counts, toxicity as toxic
 from tidemark.tables import table
 
 
@@ -20,6 +20,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -52,9 +56,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_chat_windows, op7_weighted_mix, op8_secret_scan, op9_toxicity, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_exact_dedup, op6_chat_windows, op7_weighted_mix, op8_secret_scan, op9_toxicity, op10_token_counts)}
 
 SQL = {
+    "op3_ngram_join": """
+        WITH RECURSIVE split AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+          FROM documents),
+        sets AS (
+          SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [md5(array_to_string(w, ' '))]
+                 ELSE list_distinct([md5(array_to_string(w[i:i + 4], ' ')) FOR i IN range(1, len(w) - 3)]) END AS s FROM split),
+        flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+        links AS (
+          SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.t = b.t AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        reach AS (SELECT doc_id AS a, doc_id AS c FROM sets UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.a),
+        comp AS (SELECT a, min(c) AS c FROM reach GROUP BY a),
+        class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(s)) AS class_id FROM sets WHERE len(s) > 0)
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, comp.c AS component_id, class.class_id
+        FROM sets s JOIN comp ON comp.a = s.doc_id LEFT JOIN class ON class.doc_id = s.doc_id""",
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
