@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, exact_dedup as dedup, mixing, ngram_join as ngrams, secrets, token_counts as counts, toxicity as toxic
+from tidemark.llm import chat, embeddings, exact_dedup as dedup, mixing, ngram_join as ngrams, secrets, token_counts as counts, toxicity as toxic
 from tidemark.tables import table
 
 
@@ -20,6 +20,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.ngram_join(table(spark, sf_dir, "documents"))
 
@@ -56,9 +60,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_exact_dedup, op6_chat_windows, op7_weighted_mix, op8_secret_scan, op9_toxicity, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op3_ngram_join, op4_exact_dedup, op6_chat_windows, op7_weighted_mix, op8_secret_scan, op9_toxicity, op10_token_counts)}
 
 SQL = {
+    "op1_embedding_near_dedup": """
+        WITH RECURSIVE good AS (
+          SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+        links AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+          WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.98),
+        reach AS (SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.a),
+        comp AS (SELECT a, min(c) AS c FROM reach GROUP BY a)
+        SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, c.c AS component_id, c.c = e.vec_id AS kept
+        FROM embeddings e JOIN comp c ON c.a = e.vec_id""",
     "op3_ngram_join": """
         WITH RECURSIVE split AS (
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
