@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, embeddings, exact_dedup as dedup, mixing, ngram_join as ngrams, secrets, token_counts as counts, toxicity as toxic
+from tidemark.llm import chat, embeddings, exact_dedup as dedup, mixing, ngram_join as ngrams, quality as good, secrets, token_counts as counts, toxicity as toxic
 from tidemark.tables import table
 
 
@@ -24,6 +24,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return good.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.ngram_join(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op3_ngram_join, op4_exact_dedup, op6_chat_windows, op7_weighted_mix, op8_secret_scan, op9_toxicity, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_quality, op3_ngram_join, op4_exact_dedup, op6_chat_windows, op7_weighted_mix, op8_secret_scan, op9_toxicity, op10_token_counts)}
 
 SQL = {
     "op1_embedding_near_dedup": """
