@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, embeddings, exact_dedup as dedup, mixing, ngram_join as ngrams, quality as good, secrets, token_counts as counts, toxicity as toxic
+from tidemark.llm import chat, embeddings, exact_dedup as dedup, mixing, ngram_join as ngrams, pieces, quality as good, secrets, token_counts as counts, toxicity as toxic
 from tidemark.tables import table
 
 
@@ -36,6 +36,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    read = pieces.decode(coded, model)
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
@@ -64,7 +71,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_quality, op3_ngram_join, op4_exact_dedup, op6_chat_windows, op7_weighted_mix, op8_secret_scan, op9_toxicity, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_quality, op3_ngram_join, op4_exact_dedup, op5_sampled_pieces, op6_chat_windows, op7_weighted_mix, op8_secret_scan, op9_toxicity, op10_token_counts)}
 
 SQL = {
     "op1_embedding_near_dedup": """
