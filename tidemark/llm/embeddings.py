@@ -42,7 +42,7 @@ def _unit(rows: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hashed(vectors: DataFrame, lsh: Lsh) -> DataFrame:
-    """``id, label, v, keys``: for each usable vector its bucket in every table."""
+    """``id, label, v, keys, row``: for each usable vector its bucket in every table, and a number of its own."""
     kind = vectors.schema["v"].dataType.simpleString()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,7 +63,8 @@ def _hashed(vectors: DataFrame, lsh: Lsh) -> DataFrame:
                 key ^= key >> np.uint64(29)
             yield pd.DataFrame({"id": batch["id"].to_numpy(), "label": batch["label"].to_numpy(), "v": batch["v"].to_numpy(), "keys": list(key.view(np.int64))})
 
-    return materialise(vectors.mapInPandas(read, f"id long, label long, v {kind}, keys array<long>"))
+    made = vectors.mapInPandas(read, f"id long, label long, v {kind}, keys array<long>")
+    return materialise(made.withColumn("row", F.monotonically_increasing_id()))
 
 
 def _compare(rows: DataFrame, lsh: Lsh) -> DataFrame:
@@ -134,9 +135,9 @@ def near_vectors(vectors: DataFrame, lsh: Lsh = Lsh(), id_col: str = "vec_id", v
     slim = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("v"))
     usable = slim.where("id is not null and label is not null and v is not null").where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
     hashed = _hashed(usable, lsh)
-    cells = hashed.select("id", "label", F.posexplode("keys").alias("t", "key"))
+    cells = hashed.select("row", "label", F.posexplode("keys").alias("t", "key"))
     sizes = materialise(cells.groupBy("t", "key", "label").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
-    met = hashed.select("id", "label", "v", "keys", F.posexplode("keys").alias("t", "key")).join(sizes, ["t", "key", "label"])
+    met = materialise(cells.join(sizes, ["t", "key", "label"])).join(hashed.drop("label"), "row")
     blocks = F.ceil(F.col("rows") / lsh.block).cast("int")
     met = met.withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
