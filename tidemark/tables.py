@@ -35,3 +35,9 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python in batches of ``rows``: Spark's default of 10,000 long texts is much to hold at once."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
