@@ -22,8 +22,7 @@ _powers = {BASE: np.ones(1, np.uint64), BASE_INVERSE: np.ones(1, np.uint64)}
 def powers(base: int, n: int) -> np.ndarray:
     have = _powers[base]
     if len(have) < n:
-        n = max(n, 1 << 16)
-        steps = np.full(n, base, np.uint64)
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
         steps[0] = 1
         have = _powers[base] = np.cumprod(steps, dtype=np.uint64)
     return have[:n]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.hashing import Spans, mix, slices
 from tidemark.llm.token_counts import Lookup
+from tidemark.tables import text_batches
 
 #: Bytes by which longer pieces are sought only where their beginning fits.
 STEM = 6
@@ -85,30 +86,33 @@ class Pieces:
             found.append((at, at + n, piece))
         alone = places[char & ~single]
         found.append((alone, alone + width[alone], np.full(len(alone), -1)))
-        source, target, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        # longest first into each position: the runs below ascend, which a stable sort merges
+        source, target, piece = (np.concatenate(x[::-1]) for x in zip(*found, strict=True))
+        order = np.argsort(target, kind="stable")
+        source, target, piece = source[order], target[order], piece[order]
         weight = alpha * np.where(piece >= 0, self.weight[piece], self.byte_weight * (target - source))
         chunk_start = np.repeat(start, size)
-        order = np.argsort(((target - chunk_start[source]) * (len(data) + 1) + target) * 64 + target - source)
-        source, target, piece, weight = source[order], target[order], piece[order], weight[order]
         depth = target - chunk_start[source]
+        small = np.uint16 if size.max(initial=0) < 1 << 16 else np.int64
+        by_depth = np.argsort(depth.astype(small), kind="stable")
+        depth = depth[by_depth]
         total = np.full(len(data) + 1, -np.inf)  # of the position after a byte; where a chunk starts it is 0
         way = np.empty(len(source))
-        cuts = np.flatnonzero(np.diff(depth, prepend=-1, append=-2))
+        cuts = np.flatnonzero(np.diff(depth.astype(np.int64), prepend=-1, append=-2))
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-            s, t = source[low:high], target[low:high]
-            value = np.where(s == chunk_start[s], 0.0, total[s]) + weight[low:high]
-            way[low:high] = value
+            arc = by_depth[low:high]
+            s, t = source[arc], target[arc]
+            value = np.where(s == chunk_start[s], 0.0, total[s]) + weight[arc]
+            way[arc] = value
             first = np.flatnonzero(np.diff(t, prepend=-1))
             top = np.maximum.reduceat(value, first)
             length = np.diff(first, append=len(t))
             sums = np.add.reduceat(np.exp(value - np.repeat(top, length)), first)
             # a chunk's end is the next one's start, which counts as 0 above
             total[t[first]] = top + np.log(sums)
-        chance = np.exp(way - total[target])
-        order = np.argsort(target * 64 + 63 - (target - source))  # longest first
-        source, target, piece, upto = source[order], target[order], piece[order], chance[order]
-        first = np.searchsorted(target, np.arange(len(data) + 2))
-        arcs, more = np.diff(first), 1
+        upto = np.exp(way - total[target])
+        arcs, more = np.bincount(target, minlength=len(data) + 1), 1
+        first = np.concatenate(([0], np.cumsum(arcs)))
         node = np.flatnonzero(arcs > 1)
         while len(node):  # a node's sum never depends on other chunks
             upto[first[node] + more] += upto[first[node] + more - 1]
@@ -196,6 +200,8 @@ def encode(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0, key_c
     stands first. A map of the rows: nothing shuffles.
     """
 
+    text_batches(docs.sparkSession)
+
     @F.pandas_udf("array<int>")
     def drawn(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         pieces = load(model)

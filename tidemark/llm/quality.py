@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.hashing import Spans, _lower, _space, mix, slices
+from tidemark.tables import text_batches
 
 #: The ASCII marks whose shares are features of their own.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -197,6 +198,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _features(docs: DataFrame, conf: Quality) -> DataFrame:
+    text_batches(docs.sparkSession)
+
     @F.pandas_udf("array<double>")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

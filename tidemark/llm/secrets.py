@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.hashing import slices
+from tidemark.tables import text_batches
 
 #: Most strings one stretch of a regex may stand for before it counts as unknown.
 MOST = 64
@@ -194,5 +195,6 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
                     out[first + i] = [{"kind": rules[k].kind, "start": int(points[s]), "end": int(points[e])} for s, k, e in sorted(found)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": out})
 
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     return slim.mapInPandas(scan, f"doc_id {docs.schema[id_col].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int>>")

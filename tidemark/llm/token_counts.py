@@ -13,6 +13,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.hashing import Spans, mix
+from tidemark.tables import text_batches
 
 #: Fixed value: how byte-level BPE splits a text into pieces before merging.
 PIECES = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -323,6 +324,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
             n = np.fromiter(bpe.counts(batch["t"]), np.int64, len(batch))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": n, "over_limit": n > limit})
 
+    text_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("t"))
     return slim.mapInPandas(count, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.hashing import Spans, _lower, _space, mix, slices
+from tidemark.tables import text_batches
 
 GRAMS = (3, 4, 5)
 
@@ -221,6 +222,7 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
 
     A map of the rows; the model (2**bits floats) is broadcast.
     """
+    text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
