@@ -1 +1,164 @@
-"""Registered queries."""
+"""Registered queries: state between runs, over conversations, signals, orders and persons."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window, functions as F
+
+from tidemark.functions import text as T
+from tidemark.functions.words import STAGES
+from tidemark.operators.joins import dictionary_matches
+from tidemark.plans.bindings import AS_OF, THEMES, Views, contains_sql
+from tidemark.plans.registry import query
+from tidemark.streaming import state
+
+_FORM = r"substr(trim(regexp_replace(lower(headline), '\s+', ' ', 'g')), 1, 90)"
+_DELTAS = f"""SELECT *, CASE WHEN n = 1 THEN 'new' WHEN form <> before THEN 'changed' ELSE 'seen' END AS delta FROM (
+  SELECT *, row_number() OVER k AS n, lag(form) OVER k AS before FROM (SELECT *, {_FORM} AS form FROM observations) WINDOW k AS (PARTITION BY profile ORDER BY ord, headline))"""
+
+
+@query(f"SELECT profile, ord, delta FROM ({_DELTAS})")
+def t01_profile_deltas(v: Views) -> DataFrame:
+    return state.profile_deltas(v.observations, "profile", ["ord", "headline"], "headline").select("profile", "ord", "delta")
+
+
+@query(f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY ord DESC, headline DESC) AS back FROM ({_DELTAS}) WHERE delta <> 'seen')
+  SELECT profile, string_agg(substr(headline, 1, 150), '|' ORDER BY back DESC) AS history FROM m WHERE back <= 6 GROUP BY profile""")
+def t02_headline_history(v: Views) -> DataFrame:
+    return state.headline_history(v.observations, "profile", ["ord", "headline"], "headline").select("profile", F.array_join("history", "|").alias("history"))
+
+
+@query(f"""WITH g AS (SELECT *, 'p' || profile % 40 AS url FROM ({_DELTAS}) WHERE delta <> 'seen' AND role = 'user'), k AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ord, profile, headline) AS r FROM g)
+  SELECT url, profile, ord, CASE WHEN delta = 'changed' THEN 'stealth_headline_change' ELSE 'linkedin_headline' END AS signal_type FROM k WHERE r = 1""")
+def t03_delta_signals(v: Views) -> DataFrame:
+    d = state.profile_deltas(v.observations, "profile", ["ord", "headline"], "headline").withColumn("url", F.concat(F.lit("p"), (F.col("profile") % 40).cast("string")))
+    return state.delta_signals(d, F.col("role") == "user", "url", ["ord", "profile", "headline"]).select("url", "profile", "ord", "signal_type")
+
+
+_OLD = "SELECT url AS key, min(detected_at::DATE) AS f, max(detected_at::DATE) AS l, count(*) AS n FROM signals WHERE detected_at < '2024-01-20' GROUP BY url"
+
+
+@query(f"""WITH o AS ({_OLD}), w AS ({_OLD.replace("< '2024-01-20'", ">= '2024-01-18'")})
+  SELECT coalesce(o.key, w.key) AS key, least(o.f, w.f) AS first_seen, greatest(o.l, w.l) AS last_seen, coalesce(o.n, 0) + coalesce(w.n, 0) AS times FROM o FULL JOIN w ON o.key = w.key""")
+def t04_ledger(v: Views) -> DataFrame:
+    s = v.signals.select(F.col("url").alias("key"), F.col("detected_at").cast("date").alias("day"))
+    empty = s.where("false").select("key", F.col("day").alias("first_seen"), F.col("day").alias("last_seen"), F.lit(0).cast("long").alias("times"))
+    held = state.merge_ledger(empty, s.where("day < '2024-01-20'"), "key", "day")
+    return state.merge_ledger(held, s.where("day >= '2024-01-18'"), "key", "day")
+
+
+@query(f"""WITH l AS (SELECT url AS key, CASE WHEN min(id) % 9 = 0 THEN NULL ELSE max(detected_at::DATE) END AS last_seen FROM signals WHERE id % 13 = 0 GROUP BY url)
+  SELECT key, last_seen FROM l WHERE last_seen IS NULL OR last_seen >= DATE '{AS_OF[:10]}' - 18 ORDER BY last_seen DESC NULLS FIRST, key LIMIT 150""")
+def t05_expiry(v: Views) -> DataFrame:
+    led = v.signals.where("id % 13 = 0").groupBy(F.col("url").alias("key")).agg(F.when(F.min("id") % 9 != 0, F.max(F.col("detected_at").cast("date"))).alias("last_seen"))
+    return state.unexpired(led, "last_seen", AS_OF[:10], 18, newest=150, tie="key")
+
+
+@query("""WITH a AS (SELECT pid AS key, 'first' AS first_surfaced, p_score FROM persons WHERE pid % 2 = 0), b AS (SELECT pid AS key, 'second' AS first_surfaced, p_score + 1 AS p_score FROM persons WHERE pid % 3 = 0)
+  SELECT coalesce(a.key, b.key) AS key, coalesce(a.first_surfaced, b.first_surfaced) AS first_surfaced, coalesce(b.p_score, a.p_score) AS p_score FROM a FULL JOIN b ON a.key = b.key""")
+def t06_t08_upserts(v: Views) -> DataFrame:
+    p = v.persons.withColumn("key", F.col("pid"))
+    a = p.where("pid % 2 = 0").select("key", F.lit("first").alias("first_surfaced"), "p_score")
+    b = p.where("pid % 3 = 0").select("key", F.lit("second").alias("first_surfaced"), (F.col("p_score") + 1).alias("p_score"))
+    return state.upsert(a, b, "key", keep=["first_surfaced"], overwrite=["p_score"])
+
+
+@query("SELECT id FROM signals s WHERE NOT EXISTS (SELECT 1 FROM signals o WHERE o.url = s.url AND o.detected_at < s.detected_at AND o.detected_at >= s.detected_at - INTERVAL 1 DAY)")
+def t07_first_within_window(v: Views) -> DataFrame:
+    return state.exists_within(v.signals.select("id", "url", "detected_at"), v.signals, ["url"], "detected_at", 1).select("id")
+
+
+@query("SELECT pid, sector, CASE WHEN pid % 10 = 3 AND region = 'ASIA' THEN 'departed' ELSE 'active' END AS status FROM persons WHERE sector <> 'furniture'")
+def t09_conditional_updates(v: Views) -> DataFrame:
+    status = F.when((F.col("pid") % 10 == 3) & (F.col("region") == "ASIA"), "departed").otherwise("active")
+    return v.persons.where("sector <> 'furniture'").select("pid", "sector", status.alias("status"))
+
+
+@query("""WITH t AS (SELECT oid AS id, signal_id, o_linkedin FROM outreach WHERE oid % 50 = 0), links AS (SELECT DISTINCT o_linkedin FROM t WHERE o_linkedin <> ''), sids AS (SELECT DISTINCT signal_id FROM t WHERE signal_id <> 0),
+  f AS (SELECT id AS signal_id, person_linkedin AS o_linkedin FROM signals WHERE id % 20 = 0 AND id NOT IN (SELECT signal_id FROM sids) AND person_linkedin NOT IN (SELECT o_linkedin FROM links))
+  SELECT id, signal_id, o_linkedin FROM t UNION ALL SELECT (SELECT max(id) FROM t) + row_number() OVER (ORDER BY signal_id), signal_id, o_linkedin FROM f""")
+def t10_insert_if_absent(v: Views) -> DataFrame:
+    t = v.outreach.where("oid % 50 = 0").select(F.col("oid").alias("id"), F.nullif(F.col("signal_id"), F.lit(0)).alias("signal_id"), "o_linkedin")
+    rows = v.signals.where("id % 20 = 0").select(F.col("id").alias("signal_id"), F.col("person_linkedin").alias("o_linkedin"))
+    out = state.insert_absent(t, rows, ["signal_id", "o_linkedin"], "id", "signal_id")
+    return out.select("id", F.coalesce("signal_id", F.lit(0)).alias("signal_id"), "o_linkedin")
+
+
+@query(f"""WITH e AS (SELECT l_orderkey AS oid, l_linenumber AS step, ['new', 'contacted', 'lead', 'oops', 'meeting', 'passed', 'replied'][l_linenumber] AS st, CASE WHEN l_linenumber % 2 = 0 THEN 'n' || l_linenumber ELSE '' END AS notes FROM lineitem),
+  g AS (SELECT *, CASE st WHEN 'lead' THEN 'contacted' ELSE st END AS s2 FROM e WHERE st <> 'oops'),
+  x AS (SELECT oid, arg_max(s2, step) AS s, arg_max(notes, step) FILTER (notes <> '') AS n FROM g GROUP BY oid)
+  SELECT o.oid, coalesce(s, stage) AS stage, coalesce(n, 'none') AS notes FROM outreach o LEFT JOIN x ON x.oid = o.oid""")
+def t11_stage_transitions(v: Views) -> DataFrame:
+    steps = F.array(*map(F.lit, ["new", "contacted", "lead", "oops", "meeting", "passed", "replied"]))
+    n = F.col("l_linenumber")
+    e = v.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1))).select(F.col("l_orderkey").alias("oid"), n.alias("step"), F.element_at(steps, n).alias("stage"), F.when(n % 2 == 0, F.concat(F.lit("n"), n.cast("string"))).otherwise("").alias("notes"))
+    table = v.outreach.select("oid", "stage", F.lit("none").alias("notes"))
+    return state.apply_transitions(table, e, "oid", STAGES, {"lead": "contacted"}, "step").select("oid", "stage", "notes")
+
+
+@query("""WITH s AS (SELECT id, person_linkedin AS o_linkedin, person_name AS o_name, CASE WHEN id % 2 = 0 THEN 0.0 ELSE score END AS score FROM signals),
+  a AS (SELECT o_linkedin, max(lead_score) AS x FROM outreach WHERE o_linkedin <> '' GROUP BY 1), b AS (SELECT o_name, max(lead_score) AS y FROM outreach GROUP BY 1)
+  SELECT id, coalesce(x, CASE WHEN score = 0 THEN y END, score) AS score FROM s LEFT JOIN a ON a.o_linkedin = s.o_linkedin LEFT JOIN b ON b.o_name = s.o_name""")
+def t12_score_write_back(v: Views) -> DataFrame:
+    s = v.signals.select("id", F.col("person_linkedin").alias("o_linkedin"), F.col("person_name").alias("o_name"), F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.col("score")).alias("score"))
+    return state.write_back(s, v.outreach.select("o_linkedin", "o_name", F.col("lead_score").alias("score")), "o_linkedin", "o_name").select("id", "score")
+
+
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN (raw_data->>'k') ELSE source END AS k, signal_type AS kind FROM signals")
+def t13_merge_json(v: Views) -> DataFrame:
+    extra = F.when(F.col("id") % 2 == 0, F.create_map(F.lit("kind"), F.col("signal_type"))).otherwise(F.create_map(F.lit("kind"), F.col("signal_type"), F.lit("k"), F.col("source")))
+    j = v.signals.select("id", state.merge_json(F.col("raw_data"), extra).alias("j"))
+    return j.select("id", F.get_json_object("j", "$.k").alias("k"), F.get_json_object("j", "$.kind").alias("kind"))
+
+
+_N = " UNION ALL ".join(f"SELECT '{name}' AS label, count(*) FILTER ({contains_sql('text', ws)}) AS n, count(*) FILTER ({contains_sql('text', ws)} AND part % 2 = 0) AS e FROM themes" for name, ws in THEMES[:4])
+
+
+@query(f"""SELECT label, CASE WHEN label < 'metal' THEN e ELSE n END AS n, label < 'metal' AS arrived, 50.0::DOUBLE AS progress_pct FROM ({_N})""")
+def t14_progressive_themes(v: Views) -> DataFrame:
+    count = lambda df: dictionary_matches(df, F.col("text"), THEMES, ["part"]).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    better = count(v.themes.where("part % 2 = 0")).where("label < 'metal'")
+    return state.progressive(count(v.themes), better, "label", "n")
+
+
+@query(f"SELECT profile::VARCHAR AS key, ord, delta FROM ({_DELTAS})")
+def t01_t15_profile_stream(v: Views) -> DataFrame:
+    """The same deltas by a stream: state per profile, what has arrived, then stop."""
+    import uuid
+
+    from tidemark.tables import shared_dir
+
+    spark, base = v.spark, f"{shared_dir(v.spark)}/stream-{uuid.uuid4().hex}"
+    numbered = v.observations.withColumn("ord", F.row_number().over(Window.partitionBy("profile").orderBy("ord", "headline")) - 1)
+    numbered.select("profile", "ord", "headline").write.parquet(f"{base}/in")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        seen = spark.readStream.schema("profile long, ord int, headline string").parquet(f"{base}/in")
+        state.run_available(state.watch_profiles(seen, "profile", "ord", "headline"), f"{base}/out", f"{base}/marks")
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema("key string, ord long, delta string").parquet(f"{base}/out")
+
+
+@query(f"SELECT label, n FROM ({_N}) WHERE n > 0")
+def t14_running_counts_stream(v: Views) -> DataFrame:
+    """Theme counts by a stream over arriving files, renewed as each file comes."""
+    import uuid
+
+    from tidemark.tables import shared_dir
+
+    spark, base = v.spark, f"{shared_dir(v.spark)}/stream-{uuid.uuid4().hex}"
+    v.themes.select("part", "text").write.parquet(f"{base}/in")
+    name = f"counts_{uuid.uuid4().hex}"
+    counts = state.running_counts(spark.readStream.schema("part long, text string").parquet(f"{base}/in"), T.all_labels(F.col("text"), THEMES))
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/marks").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY url ORDER BY detected_at, id) AS n FROM signals) WHERE n = 1")
+def t07_first_sightings(v: Views) -> DataFrame:
+    """First signal of each URL: the batch form of the stream that drops repeats within its watermark."""
+    from tidemark.operators.ranking import keep_first
+
+    return keep_first(v.signals, "url", ["detected_at", "id"]).select("id")
