@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.text import F_quote, any_of, name_key, text_of
+from tidemark.functions.text import quoted, any_of, name_key, text_of
 
 
 def either_key_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[Column, Column]], left_id: str, right_id: str) -> DataFrame:
@@ -75,7 +75,7 @@ def split_seen(entities: DataFrame, keys: Column, ledger: DataFrame, entity: str
 def currently_employed(df: DataFrame, text: str, companies: Sequence[str]) -> Column:
     """Whether a tracked company stands in the text as a word, with no ex- or former before it."""
     low = F.lower(text_of(F.col(text)))
-    tests = [low.rlike(rf"\b{F_quote(c.lower())}\b") & ~low.rlike(rf"(?:ex[- ]|former(?:ly)? |previously (?:at )?){F_quote(c.lower())}\b") for c in companies]
+    tests = [low.rlike(rf"\b{quoted(c.lower())}\b") & ~low.rlike(rf"(?:ex[- ]|former(?:ly)? |previously (?:at )?){quoted(c.lower())}\b") for c in companies]
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 

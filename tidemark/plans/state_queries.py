@@ -113,7 +113,7 @@ def t13_merge_json(v: Views) -> DataFrame:
 _N = " UNION ALL ".join(f"SELECT '{name}' AS label, count(*) FILTER ({contains_sql('text', ws)}) AS n, count(*) FILTER ({contains_sql('text', ws)} AND part % 2 = 0) AS e FROM themes" for name, ws in THEMES[:4])
 
 
-@query(f"""SELECT label, CASE WHEN label < 'metal' THEN e ELSE n END AS n, label < 'metal' AS arrived, 50.0::DOUBLE AS progress_pct FROM ({_N})""")
+@query(f"""SELECT label, CASE WHEN label < 'metal' THEN e ELSE n END AS n, label < 'metal' AS arrived, 25.0::DOUBLE AS progress_pct FROM ({_N})""")
 def t14_progressive_themes(v: Views) -> DataFrame:
     count = lambda df: dictionary_matches(df, F.col("text"), THEMES, ["part"]).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     better = count(v.themes.where("part % 2 = 0")).where("label < 'metal'")

@@ -69,7 +69,7 @@ def p06_p07_result_titles(v: Views) -> DataFrame:
   SELECT pid, CASE WHEN k = 5 THEN 'Unknown' ELSE who END AS name, CASE k WHEN 0 THEN firm WHEN 5 THEN '' ELSE CASE WHEN k = 1 THEN 'Acme' ELSE '' END END AS company, who LIKE '% Ltd' AS organisation FROM r""")
 def p08_p09_p10_names_in_headlines(v: Views) -> DataFrame:
     who, firm = cat("Priya ", T.title_case(F.col("sector"))), T.title_case(F.col("sector"))
-    title = choose(F.col("pid"), cat(who, " leaves ", firm, "!"), cat("Former Acme VP ", who, " speaks"), cat("Meet ", who, ", CEO of x"), cat("x led by ", who, "."), cat("of late: ", who, ", co-founder"), "nothing at all")
+    title = choose(F.col("pid"), cat(who, " leaves ", firm, "!"), cat("Former Acme VP ", who, " speaks"), cat("now: ", who, ", CEO of x"), cat("x led by ", who, "."), cat("of late: ", who, ", co-founder"), "nothing at all")
     p = v.persons.select("pid", title.alias("t"), who.alias("who"))
     return p.select("pid", T.person_name(F.col("t"), F.lit("")).alias("name"), T.previous_company(F.col("t")).alias("company"), T.is_organisation(F.col("who")).alias("organisation"))
 
@@ -280,11 +280,11 @@ def s13_trending(v: Views) -> DataFrame:
     return landed.trending(rows, 1200).select(F.col("ord").alias("part"), "brand", "n_stars")
 
 
-@query("SELECT o_orderkey AS symbol, CASE WHEN o_custkey % 10 = 0 THEN 0.0 ELSE round((o_totalprice - o_custkey % 10 * 7001.3::DOUBLE) / (o_custkey % 10 * 7001.3::DOUBLE) * 100, 2) END AS change_pct FROM orders", plain=True)
+@query("SELECT o_orderkey AS symbol, CASE WHEN o_custkey % 10 = 0 THEN 0.0 ELSE abs(round((o_totalprice - o_custkey % 10 * 7001.3::DOUBLE) / (o_custkey % 10 * 7001.3::DOUBLE) * 100, 2)) END AS change_pct FROM orders", plain=True)
 def s14_c11_quotes(v: Views) -> DataFrame:
     meta = F.struct(F.col("o_totalprice").alias("regularMarketPrice"), F.lit(None).cast("double").alias("chartPreviousClose"), (F.col("o_custkey") % 10 * 7001.3).cast("double").alias("previousClose"))
     raw = v.raw("orders").select(F.col("o_orderkey").alias("symbol"), F.col("o_orderpriority").alias("geo"), (F.col("o_custkey") % 2 == 0).alias("is_index"), meta.alias("meta"))
-    return landed.quotes(raw).select("symbol", F.coalesce("change_pct", percent_change(F.lit(1.0), F.lit(0.0))).alias("change_pct"))
+    return landed.quotes(raw).select("symbol", F.abs(F.coalesce("change_pct", percent_change(F.lit(1.0), F.lit(0.0)))).alias("change_pct"))
 
 
 @query("""WITH r AS (SELECT pid, ['VP at Grab building something', 'founder and co-founder', 'webinar for founder', 'serial founder, stealth'][pid % 4 + 1] AS t FROM persons)
