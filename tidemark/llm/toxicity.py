@@ -158,7 +158,11 @@ def _fit(texts: list[str], labels: np.ndarray, conf: Toxicity) -> Model:
     for epoch in range(conf.epochs):
         if epoch:
             value = table @ (soft[1] - soft[0])
-            score = np.add.reduceat(value[flat], starts) / sizes + bias[1] - bias[0]
+            sums = np.empty(len(sizes))
+            for low in range(0, len(sizes), 1 << 14):  # in parts, to hold little at once
+                first, high = starts[low : low + (1 << 14)], min(low + (1 << 14), len(sizes)) - 1
+                sums[low : high + 1] = np.add.reduceat(value[flat[first[0] : starts[high] + sizes[high]]], first - first[0])
+            score = sums / sizes + bias[1] - bias[0]
             best = np.full(len(texts), -np.inf)
             np.maximum.at(best, owner, score)
             target = ((labels[owner] == 1) & ((score > 0) | (score == best[owner]))).astype(np.float32)
