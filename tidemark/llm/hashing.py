@@ -10,7 +10,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 WORD_STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
@@ -49,12 +49,12 @@ class Spans:
         return mix((self.sums[end] - self.sums[start]) * powers(BASE_INVERSE, self.size + 1)[start] + (end - start).astype(np.uint64))
 
 
-def slices(texts: Sequence[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """``texts`` in UTF-8, in runs of about SLICE_BYTES, each with its first index; null is empty."""
+def slices(texts: Sequence[str | None], most: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """``texts`` in UTF-8, in runs of about ``most`` bytes, each with its first index; null is empty."""
     first, run, size = 0, [], 0
     for i, t in enumerate(texts):
         raw = (t or "").encode()
-        if run and size + len(raw) > SLICE_BYTES:
+        if run and size + len(raw) > most:
             yield first, run
             first, run, size = i, [], 0
         run.append(raw)

@@ -14,6 +14,8 @@ from tidemark.tables import text_batches
 
 #: Bytes by which longer pieces are sought only where their beginning fits.
 STEM = 6
+#: Bytes of texts whose chunks share a lattice.
+RUN = 1 << 20
 
 
 class Pieces:
@@ -207,7 +209,7 @@ def encode(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0, key_c
         pieces = load(model)
         for keys, texts in batches:
             hashed, ids = keys.to_numpy().astype(np.int64).view(np.uint64), []
-            for first, run in slices(texts.tolist()):
+            for first, run in slices(texts.tolist(), RUN):
                 ids += pieces.sample(run, hashed[first : first + len(run)], alpha)
             yield pd.Series(ids, dtype=object)
 

@@ -168,7 +168,7 @@ class Segment:
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row ``doc_id, spans array<struct<kind,start,end>>`` in code points, end exclusive, over whole texts.
 
-    Each task indexes its texts in segments of about a megabyte: for every trigram some
+    Each task indexes its texts in segments of a quarter of a megabyte: for every trigram some
     rule needs, the texts that hold it. A rule's Boolean query intersects and unites postings; only
     its candidates run the regex. A rule without mandatory trigrams (``hex``) scans every text. Spans are
     leftmost and do not overlap within a kind, ordered by start, then by rule. Null counts as
