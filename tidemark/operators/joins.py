@@ -107,7 +107,7 @@ def company_site(hits: DataFrame, company: str, skip: Sequence[str]) -> DataFram
 
 def members_repositories(members: DataFrame, repos: DataFrame, since: Column, most: int = 2) -> DataFrame:
     """Contributors of tracked organisations with their own recent, unforked repositories; the first organisation wins."""
-    own = members.groupBy("login").agg(F.min_by("org", "ord").alias("org")).join(repos.where(~F.col("fork") & (F.col("created") >= since)), "login")
+    own = members.groupBy("login").agg(F.min_by("org", F.struct("ord", "org")).alias("org")).join(repos.where(~F.col("fork") & (F.col("created") >= since)), "login")
     place = F.row_number().over(Window.partitionBy("login").orderBy(F.desc("stars"), "repo"))
     return own.withColumn("place", place).where(F.col("place") <= most)
 

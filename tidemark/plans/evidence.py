@@ -53,7 +53,7 @@ def j13_profile_backfill(v: Views) -> DataFrame:
     return p.join(first, "pid", "left").select("pid", F.coalesce("have", "url").alias("url"))
 
 
-@query("""WITH m AS (SELECT l_suppkey AS login, arg_min(l_partkey, l_orderkey * 10 + l_linenumber) AS org FROM lineitem WHERE l_suppkey % 4 <> 0 GROUP BY 1),
+@query("""WITH m AS (SELECT l_suppkey AS login, arg_min(l_partkey, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey) AS org FROM lineitem WHERE l_suppkey % 4 <> 0 GROUP BY 1),
   r AS (SELECT l_suppkey AS login, l_orderkey * 10 + l_linenumber AS repo, max(l_quantity) AS stars, max(l_shipdate) AS created, bool_or(l_returnflag = 'R') AS fork FROM lineitem GROUP BY 1, 2),
   k AS (SELECT *, row_number() OVER (PARTITION BY login ORDER BY stars DESC, repo) AS place FROM r WHERE NOT fork AND created >= TIMESTAMP '1999-01-01')
   SELECT k.login, m.org, k.repo, k.place FROM k JOIN m ON m.login = k.login WHERE place <= 2""")
