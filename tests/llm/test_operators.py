@@ -86,6 +86,21 @@ def test_ngram_join_random_edits(spark, seed):
     assert got == links_of({i: shingles(t) for i, t in enumerate(texts)})
 
 
+def test_ngram_join_short_texts_below_a_longer_head(spark):
+    """Pairs of 3 to 8 shingles whose prefixes are made for one match, each with a document that holds more lists and links with neither."""
+    rng = random.Random(3)
+    filler = [f"f{i}" for i in range(35)]
+    texts = []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(rng.choice([7, 8, 9, 10, 11]))]
+        edited = list(base)
+        edited[rng.randrange(len(base))] = f"g{g}x"
+        texts += [" ".join(t) for t in (base, [*base, f"g{g}y"], edited, base + filler)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(df, ngram_join.Join(few=1)).collect()}
+    assert got == links_of({i: shingles(t) for i, t in enumerate(texts)})
+
+
 def test_exact_dedup(spark, docs):
     got = exact_dedup.exact_dedup(docs, slots=1024).collect()
     groups = Counter((r.text or "") for r in docs.collect())

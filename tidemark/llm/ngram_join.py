@@ -215,10 +215,13 @@ def ngram_join(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", tex
         # two components share no fewer tokens than any two of their sets
         both = met.groupBy("component_a", "component_b").agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("asked")).where("shared >= asked")
         met = met.drop("least").join(materialise(both.select("component_a", "component_b")), ["component_a", "component_b"])
-        side = lambda s: lists.select("token", F.col("component").alias(f"component_{s}"), F.struct("n", F.col("doc_id").alias("id"), "short").alias(s))
+        side = lambda s: lists.select("token", F.col("component").alias(f"component_{s}"), F.struct("n", F.col("doc_id").alias("id"), "short", F.col("matches").alias("m")).alias(s))
         met = materialise(met).join(side("a"), ["token", "component_a"]).join(side("b"), ["token", "component_b"])
         met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a.short")  # a is the smaller set, or of equal ones that of the smaller id
-        count = materialise(met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2"))
+        # a linked pair shares as many as one of both asks for at least, which may be one
+        asked = F.min(F.least("a.m", "b.m")).alias("asked")
+        count = met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count(F.lit(1)).alias("shared"), asked)
+        count = materialise(count.where("shared >= asked").drop("asked"))
         ends = lambda s: placed_ends.select(F.col("doc_id").alias(s), F.struct("n", "m", "end", "short_end").alias(f"of_{s}"))
         count = count.join(ends("a"), "a").join(ends("b"), "b")
         spare = F.when(F.col("of_a.short_end") <= F.col("of_b.end"), _of_both(2 * F.col("of_a.n"), join) - F.col("of_a.m"))
