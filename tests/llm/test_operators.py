@@ -159,6 +159,13 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(df.where("false")).count() == 0
 
 
+def test_embeddings_of_several_lengths_in_one_batch(spark):
+    rows = [(1, [1.0, 2.0], 0), (2, [1.0, 2.01], 0), (3, [1.0, 2.0, 0.0], 0), (4, [1.0, 2.0, 0.01], 0), (5, [1.0, 2.0, 3.0, 4.0], 0), (6, [], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6)}
+
+
 def test_token_counts_equal_the_library(spark, docs):
     from tokenizers import Tokenizer
 

@@ -47,7 +47,8 @@ def _hashed(vectors: DataFrame, lsh: Lsh) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        of_one_length = (same for batch in batches for _, same in batch.groupby(batch["v"].map(len)))
+        for batch in of_one_length:
             unit, ok = _unit(batch["v"])
             if not ok.any():
                 continue
