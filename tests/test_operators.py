@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import joins, ranking, resolve, rollups, scoring
 from tidemark.operators.components import connected_components
+from tidemark.plans import evidence
 from tidemark.streaming import state
 
 
@@ -105,3 +106,9 @@ def test_upsert_keeps_and_overwrites(spark):
     b = spark.createDataFrame([(1, "y", 2.0), (2, "z", 3.0)], "k int, first string, v double")
     rows = {r["k"]: (r["first"], r["v"]) for r in state.upsert(a, b, "k", keep=["first"], overwrite=["v"]).collect()}
     assert rows == {1: ("x", 2.0), 2: ("z", 3.0)}
+
+
+def test_a_large_source_lands_in_bounded_files(spark):
+    rows = spark.range(2500).select(F.col("id").alias("ord"), F.lit("s").alias("source"))
+    files = [r.x for r in evidence._files(rows, F.col("ord"), "x").collect()]
+    assert max(map(len, files)) <= 1000 and sorted(sum(files, [])) == list(range(2500))

@@ -90,11 +90,16 @@ def s01_feed_items(v: Views) -> DataFrame:
     return items.select("title", "url", "source", F.date_format("published", "yyyy-MM-dd").alias("day"))
 
 
+def _files(records: DataFrame, record: F.Column, out: str, most: int = 1000) -> DataFrame:
+    """``source`` and a list ``out`` of ``most`` records at most, as landed files hold them. Numbers ``ord`` are distinct."""
+    return records.groupBy("source", F.floor(F.col("ord") / most).alias("file")).agg(F.collect_list(record).alias(out)).drop("file")
+
+
 @query("SELECT title, url, 'GDELT/' || source || '.com' AS source FROM articles WHERE lang = 'en' OR lang = 'de'")
 def s02_index_articles(v: Views) -> DataFrame:
     lang = F.when(F.col("lang") == "en", "English").when(F.col("lang") == "de", "").otherwise("French")
-    a = v.articles.select("source", F.struct("url", "title", cat(F.col("source"), ".com").alias("domain"), F.lit("20240103T040506Z").alias("seendate"), lang.alias("language")).alias("x"))
-    raw = a.groupBy("source").agg(F.collect_list("x").alias("articles"))
+    a = v.articles.select("source", "ord", F.struct("url", "title", cat(F.col("source"), ".com").alias("domain"), F.lit("20240103T040506Z").alias("seendate"), lang.alias("language")).alias("x"))
+    raw = _files(a, F.col("x"), "articles")
     return landed.index_articles(raw).select("title", "url", "source")
 
 
@@ -112,9 +117,9 @@ def s03_search_hits(v: Views) -> DataFrame:
 def s04_s05_demand_items(v: Views) -> DataFrame:
     a, at = v.articles, (F.col("ord") + 1704067200)
     post = F.struct(F.struct("title", cat("/r/", F.col("ord")).alias("permalink"), (F.col("ord") % 90).alias("score"), F.lit(0).cast("long").alias("num_comments"), at.alias("created_utc")).alias("data"))
-    forum = a.groupBy("source").agg(F.struct(F.collect_list(post).alias("children")).alias("data"))
+    forum = _files(a, post, "children").select("source", F.struct("children").alias("data"))
     hit = F.struct("title", "url", F.col("ord").cast("string").alias("objectID"), (F.col("ord") % 70).alias("points"), F.lit(0).cast("long").alias("num_comments"), at.alias("created_at_i"))
-    stories = a.groupBy("source").agg(F.collect_list(hit).alias("hits"))
+    stories = _files(a, hit, "hits")
     both = landed.forum_items(forum, "forum").unionByName(landed.story_items(stories, "stories"))
     return both.select("source", "title", "url", "score", F.unix_timestamp("ts").alias("at"))
 
