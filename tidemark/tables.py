@@ -16,24 +16,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (a local session, as in tests) a temporary folder is made and set.
+    Where it is unset in a local session, as in tests, a temporary folder is made and set; on
+    a cluster that is an error, since executors would write to disks of their own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the written table.
+def materialise(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` once to the shared folder, in folders ``by`` value of columns if asked, and return the written table.
 
     Its readers depend on files alone, so a lost executor costs no recomputation
-    of what came before, and statistics of the written files steer later joins.
+    of what came before, and statistics of the written files steer later joins. Nothing deletes the table, since a lazy result may
+    read it after the query has returned: whoever owns the shared folder clears it after the job.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
