@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,18 +10,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import counters
 from tidemark.llm.hashing import mix
+from tidemark.llm.members import own, slots_for, unused
 from tidemark.tables import materialise
 
 PROBES = 4
-
-
-def slots_for(rows: int, per_row: int = 16, most: int = 1 << 27) -> int:
-    """Slots of the filter: ``per_row`` for each row, a power of two, ``most`` at most.
-
-    Beyond ``most`` (16 MB as bits) the filter passes more single rows into the shuffle,
-    which then carries their hashes as well; the result stays exact.
-    """
-    return min(most, max(counters.CHUNK, 1 << int(max(1, rows) * per_row - 1).bit_length()))
+#: Slots for each row; and the most slots of one filter, 16 MB as bits at the driver and in each Python worker.
+PER_ROW, MOST = 8, 1 << 27
 
 
 def _probes(keys: np.ndarray, slots: int) -> np.ndarray:
@@ -30,42 +24,34 @@ def _probes(keys: np.ndarray, slots: int) -> np.ndarray:
     return np.stack([(h + np.uint64(i) * step) % np.uint64(slots) for i in range(PROBES)]).astype(np.int64)
 
 
-def _fill(slots: int):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = np.zeros(slots, np.uint8)
-        for batch in batches:
-            at = _probes(batch["h"].to_numpy(), slots)
-            at.sort(axis=0)
-            at = at[np.vstack([np.ones((1, at.shape[1]), bool), at[1:] != at[:-1]])]
-            found, times = np.unique(at, return_counts=True)
-            mine[found] = np.minimum(2, mine[found] + np.minimum(times, 2))
-        used = np.flatnonzero(mine)
-        for part in np.split(used, np.flatnonzero(np.diff(used // (counters.CHUNK * 1024))) + 1):
-            if len(part):
-                low = part[0] // counters.CHUNK
-                window = mine[low * counters.CHUNK : (part[-1] // counters.CHUNK + 1) * counters.CHUNK].astype(np.uint32)
-                yield counters.chunks(window).assign(chunk=lambda x, low=low: (x["chunk"] + low).astype(np.int32))
-
-    return count
+def _flagged(rows: DataFrame, hash_col: str, slots: int, out: str) -> DataFrame:
+    """Pass one counts the hashes of ``rows`` into a filter of ``slots``; pass two looks each of them up."""
+    twice = counters.bits(rows.select(hash_col), slots, lambda h: _probes(h, slots), 2)
+    sent = rows.sparkSession.sparkContext.broadcast(twice)
 
+    @F.pandas_udf("boolean")
+    def repeated(h: pd.Series) -> pd.Series:
+        return pd.Series(counters.held(sent.value, _probes(h.to_numpy(), slots)).all(axis=0))
 
-def flag_repeats(rows: DataFrame, hash_col: str, slots: int | None = None) -> DataFrame:
-    """``rows`` with ``maybe_repeated``: false only where no other row has the same ``hash_col`` (long).
+    return rows.withColumn(out, repeated(F.col(hash_col)))
 
-    Pass one counts every hash into a filter with two-valued slots; pass two looks each
-    hash up. A null hash counts as a value of its own.
-    """
-    slots = slots or slots_for(rows.count())
-    keys = rows.select(F.coalesce(F.col(hash_col), F.lit(0)).alias("h"))
-    twice = counters.gather(keys.mapInPandas(_fill(slots), counters.SCHEMA), slots, most=2) >= 2
-    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(twice))
 
-    @F.pandas_udf("boolean")
-    def repeated(h: pd.Series) -> pd.Series:
-        at, bits = _probes(h.to_numpy(), slots), sent.value
-        return pd.Series((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=0))
+def flag_repeats(rows: DataFrame, hash_col: str, slots: int | None = None, out: str = "maybe_repeated", most: int = MOST) -> DataFrame:
+    """``rows`` with ``out``: false only where no other row has the same ``hash_col`` (long, not null).
 
-    return rows.withColumn("maybe_repeated", repeated(F.coalesce(F.col(hash_col), F.lit(0))))
+    A filter has ``slots`` at most (by default PER_ROW for each row, up to ``most``). Where the rows ask for more, the
+    hashes are split in as many ranges as it takes, by their remainder; ``rows`` are then written once, by range, and each range is
+    filtered by itself. So the filter is as selective, and the driver holds as little, at any number of rows.
+    """
+    number = rows.count()
+    slots = slots or slots_for(number, PER_ROW, most)
+    ranges = max(1, -(-number * PER_ROW // (2 * slots)))
+    if ranges == 1:
+        return _flagged(rows, hash_col, slots, out)
+    (part,) = unused(rows, "part")
+    split = materialise(rows.withColumn(part, F.pmod(F.col(hash_col), F.lit(ranges)).cast("int")), part)
+    found = [materialise(_flagged(split.where(F.col(part) == r), hash_col, slots, out).select(*own(rows), out)) for r in range(ranges)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int | None = None) -> DataFrame:
@@ -73,8 +59,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical; null counts as empty. Of equal texts the row with
     the largest id stays (``keep_id``); a null id loses to any other. Of several rows that share text and id, all
-    count in ``group_size`` and all are ``kept`` (they cannot be told apart). Only rows the
-    filter flags shuffle, as id and hash; texts never do. The count of a group
+    count in ``group_size`` and all are ``kept`` (they cannot be told apart). An empty table gives an empty one, and other
+    columns are not read. Only rows the filter flags shuffle, as id and hash; texts never do. The count of a group
     combines before its shuffle, and the join back splits a hot group.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -86,16 +72,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return some.join(groups, "text_sha256").unionByName(rest).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, unchanged: one of each text (rows that share text and id leave one).
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, with their own columns alone: one of each text (rows that share text and id leave one).
 
-    The same two passes; texts are read where they lie and only possibly repeated rows meet others.
+    Null texts count as empty, so one of those stays; a null id loses to any other. The same two passes; texts are read where they lie and only possibly
+    repeated rows meet others, while hashes fit one filter; beyond that texts are written once more, by range.
     """
-    columns = docs.columns
+    h, maybe, sha, key = unused(docs, "h", "maybe_repeated", "sha", "key")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    flagged = flag_repeats(docs.select("*", F.xxhash64(text).alias("_h")), "_h")
-    single = flagged.where("not maybe_repeated").select(*columns)
-    some = flagged.where("maybe_repeated").withColumns({"_sha": F.sha2(text, 256), "_key": F.struct(F.col(id_col).alias("i"), F.monotonically_increasing_id().alias("n"))})
-    some = materialise(some.drop("_h", "maybe_repeated"))
-    last = materialise(some.groupBy("_sha").agg(F.max("_key").alias("_key")))
-    return single.unionByName(some.join(last, ["_sha", "_key"], "left_semi").select(*columns))
+    flagged = flag_repeats(docs.withColumn(h, F.xxhash64(text)), h, slots, maybe)
+    single = flagged.where(~F.col(maybe)).select(*own(docs))
+    row = F.struct(F.col(id_col).alias("i"), F.monotonically_increasing_id().alias("n"))
+    some = materialise(flagged.where(F.col(maybe)).select(*own(docs), F.sha2(text, 256).alias(sha), row.alias(key)))
+    last = materialise(some.groupBy(sha).agg(F.max(key).alias(key)))
+    return single.unionByName(some.join(last, [sha, key], "left_semi").select(*own(docs)))

@@ -1,51 +1,59 @@
-"""Telling rows that cannot be in a set of ids apart, without moving them."""
+"""Telling rows that cannot be in a set of ids apart, without moving them; and names that clash with no column."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm import counters
 from tidemark.llm.hashing import mix
 
 
-def _slot(ids: pd.Series, slots: int) -> np.ndarray:
-    return (mix(ids.to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(slots)).astype(np.int64)
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column of ``df`` (in any case of letters) bears it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def maybe_members(rows: DataFrame, id_col: str, ids: DataFrame, most: int = 1 << 24, out: str = "maybe") -> DataFrame:
-    """``rows`` with ``maybe``: false only where the long ``id_col`` is not among the ids in the first column of ``ids``.
+def own(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` by quoted name."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
-    The ids are hashed into a bitmap of 16 slots each, ``most`` (2 MB) at most; beyond that it
-    lets more rows through, and what follows must be exact by itself. A null id is no member.
-    """
-    ids = ids.select(F.col(ids.columns[0]).alias("id")).where("id is not null")
-    slots = min(most, max(counters.CHUNK, 1 << (16 * max(1, ids.count()) - 1).bit_length()))
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = np.zeros(slots, np.uint32)
-        for batch in batches:
-            mine[_slot(batch["id"], slots)] = 1
-        yield counters.chunks(mine)
+def slots_for(rows: int, per_row: int, most: int) -> int:
+    """``per_row`` slots for each row or up to twice as many: a power of two, at least one block and ``most`` at most."""
+    return min(most, max(counters.BLOCK, 1 << (per_row * max(1, rows) - 1).bit_length()))
+
 
-    bits = np.packbits(counters.gather(ids.mapInPandas(fill, counters.SCHEMA), slots, most=1) > 0)
-    sent = rows.sparkSession.sparkContext.broadcast(bits)
+def maybe_members(rows: DataFrame, id_col: str, ids: DataFrame, most: int = 1 << 28, out: str = "maybe") -> DataFrame:
+    """``rows`` with ``out``: false only where the long ``id_col`` is not among the ids in the first column of ``ids``.
+
+    The ids are hashed into a bitmap of 8 to 16 bits for each, which is broadcast; beyond 32 million ids (32 MB, a
+    proven bound) each has fewer, so that more rows pass. What follows is exact by itself. A null id is no member.
+    """
+    ids = ids.select(F.col(ids.columns[0]).cast("long").alias("id")).where("id is not null")
+    slots = slots_for(ids.count(), 8, most)
+    at = lambda x: (mix(x.astype(np.int64).view(np.uint64)) % np.uint64(slots)).astype(np.int64)
+    sent = rows.sparkSession.sparkContext.broadcast(counters.bits(ids, slots, lambda x: at(x)[None, :], 1))
 
     @F.pandas_udf("boolean")
     def held(h: pd.Series) -> pd.Series:
-        at, bits = _slot(h, slots), sent.value
-        return pd.Series((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+        return pd.Series(counters.held(sent.value, at(h.to_numpy())))
 
     return rows.withColumn(out, F.col(id_col).isNotNull() & held(F.coalesce(F.col(id_col).cast("long"), F.lit(0))))
 
 
 def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose id is in the first column of ``ids``; only rows that may be hit shuffle."""
-    flagged = maybe_members(docs, id_col, ids, out="_maybe")
-    gone = ids.select(F.col(ids.columns[0]).alias("_gone")).distinct()
-    some = flagged.where("_maybe")
-    rest = some.join(gone, some[id_col] == gone["_gone"], "left_anti")
-    return flagged.where("not _maybe").unionByName(rest).drop("_maybe")
+    """``docs`` less the rows whose id is in the first column of ``ids``, with their own columns alone; only rows that may be hit shuffle."""
+    maybe, gone = unused(docs, "maybe", "gone")
+    flagged = maybe_members(docs, id_col, ids, out=maybe)
+    ids = ids.select(F.col(ids.columns[0]).cast("long").alias(gone)).distinct()
+    some = flagged.where(F.col(maybe))
+    rest = some.join(ids, some[id_col].cast("long") == ids[gone], "left_anti")
+    return flagged.where(~F.col(maybe)).unionByName(rest).select(*own(docs))

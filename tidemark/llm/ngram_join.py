@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,22 +21,24 @@ from tidemark.tables import materialise, text_batches
 class Join:
     """Parameters: words of a shingle, the threshold as a fraction, and how prefixes adapt.
 
-    ``slots`` counters estimate how often shingles occur; the shared prefix tokens asked for are
-    ``few`` or one in ``spread`` of the set's at most; ``verify`` is the cost of a candidate for each token, in units of
-    one posting; ``usual_load`` is the least estimate of the other documents with a token, which counters shared with other tokens hide; a token's list is dealt in parts of about ``part`` rows; ``rounds`` times lists are
-    linked to their heads first.
+    ``slots`` counters (by default in proportion to the documents, see ``counters_for``) estimate how often shingles occur; the
+    shared prefix tokens asked for are ``few`` or one in ``spread`` of the set's at most; ``verify`` is the cost of a
+    candidate for each token, in units of one posting; ``usual_load`` is the least estimate of the other
+    documents with a token, which counters shared with other tokens hide; a token's list is dealt in parts of
+    about ``part`` rows. Sets are compared in blocks of about ``block`` sets or ``block_tokens`` tokens.
     """
 
     width: int = 5
     numerator: int = 75
     denominator: int = 100
-    slots: int = 1 << 20
+    slots: int | None = None
     few: int = 8
     spread: int = 16
     verify: float = 1.0
     usual_load: float = 0.2
     part: int = 20_000
-    rounds: int = 1
+    block: int = 512
+    block_tokens: int = 500_000
 
 
 def _least_overlap(n: int, join: Join) -> int:
@@ -43,9 +46,13 @@ def _least_overlap(n: int, join: Join) -> int:
     return -(-n * join.numerator // join.denominator)
 
 
-def _of_both(sizes: F.Column, join: Join) -> F.Column:
-    """The fewest shared tokens of two linked sets with ``sizes`` tokens together."""
-    return F.ceil(sizes * join.numerator / (join.numerator + join.denominator))
+def counters_for(rows: int) -> int:
+    """Counters for a table of ``rows`` documents: four for each, a power of two from 2**20 to 2**24 (64 MB at the driver).
+
+    They only order tokens and steer the prefix lengths: with too few, rare tokens are told apart less well and
+    prefixes grow longer, but no result changes.
+    """
+    return min(1 << 24, max(1 << 20, 1 << (4 * rows).bit_length()))
 
 
 def _summaries(docs: DataFrame, join: Join) -> DataFrame:
@@ -85,8 +92,7 @@ def _matches(load: np.ndarray, n: int, overlap: int, join: Join) -> int:
 
 def _postings(docs: DataFrame, seen: np.ndarray, join: Join) -> DataFrame:
     """``token, salt, salts, doc_id, matches, short`` for the prefix of every set; ``short`` marks the part that
-    suffices against sets that are not smaller. Two more rows per set, of salt -1 and -2, hold where in the common order
-    the prefix and its short part end: the last token's frequency as ``matches``, and the token.
+    suffices against sets that are not smaller. Long lists are dealt by ``salt`` in ``salts`` parts.
     """
     sent = docs.sparkSession.sparkContext.broadcast(seen)
     shift = np.uint64(64 - (join.slots - 1).bit_length())
@@ -111,20 +117,47 @@ def _postings(docs: DataFrame, seen: np.ndarray, join: Join) -> DataFrame:
                     salts = (load[: len(take)] / join.part).astype(np.int32) + 1
                     large = -(-2 * n * join.numerator // (join.numerator + join.denominator))
                     short = np.arange(len(take)) < n - large + m
-                    out.append((tokens[take].view(np.int64), salts, np.full(len(take), doc), np.full(len(take), m, np.int32), short, np.zeros(len(take), np.int32)))
-                    ends = take[[len(take) - 1, int(short.sum()) - 1]]
-                    out.append(((tokens[ends] >> np.uint64(1)).view(np.int64), np.array([-1, -2], np.int32), np.full(2, doc), often[ends].astype(np.int32), np.ones(2, bool), np.full(2, m, np.int32)))
+                    out.append((tokens[take].view(np.int64), salts, np.full(len(take), doc), np.full(len(take), m, np.int32), short))
                 if out:
-                    token, salts, doc, m, short, asked = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pd.DataFrame({"token": token, "salt": np.where(salts > 0, doc % np.maximum(salts, 1), salts).astype(np.int32), "salts": salts, "doc_id": doc, "matches": m, "short": short, "asked": asked})
+                    token, salts, doc, m, short = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pd.DataFrame({"token": token, "salt": (doc % salts).astype(np.int32), "salts": salts, "doc_id": doc, "matches": m, "short": short})
+
+    return docs.mapInPandas(emit, "token long, salt int, salts int, doc_id long, matches int, short boolean")
+
+
+@dataclass(frozen=True)
+class _Posted:
+    """What the join holds: rows of all documents, the sets by size, and the lists of prefix tokens that several hold."""
+
+    rows: DataFrame
+    sizes: DataFrame
+    docs: DataFrame
+    lists: DataFrame
+
+
+def _post(docs: DataFrame, join: Join) -> _Posted:
+    """Classes of equal sets, and the token lists of one document of each class."""
+    read = _summaries(docs, join)
+    rows = read.where("chunk is null").select("doc_id", "n", "one", "two")
+    seen = counters.gather(read.where("chunk is not null").select("chunk", "counts"), join.slots)
+    some = rows.where("doc_id is not null and n > 0")
+    classes = materialise(some.groupBy("n", "one", "two").agg(F.min("doc_id").alias("class_id")))
+    rows = materialise(rows.join(classes, ["n", "one", "two"], "left").select("doc_id", "n", "class_id"))
+    sizes = rows.where("doc_id = class_id").select("doc_id", "n").distinct()
+    copies = materialise(rows.where("doc_id <> class_id").select("doc_id"))
+    docs = without(docs.where("doc_id is not null"), "doc_id", copies)
 
-    return docs.mapInPandas(emit, "token long, salt int, salts int, doc_id long, matches int, short boolean, asked int")
+    in_list = Window.partitionBy("token", "salt").orderBy("doc_id")
+    lists = _postings(docs, seen, join).repartition("token", "salt")
+    lists = lists.withColumns({"before": F.lag("doc_id").over(in_list), "next": F.lead("doc_id").over(in_list)})
+    lists = lists.where("next is not null or before is not null or salts > 1")
+    lists = lists.select("token", "doc_id", "matches", "short", F.col("doc_id").alias("component"))
+    return _Posted(rows, sizes, docs, materialise(lists))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets reach the threshold. Sets are read again for the documents of pairs alone."""
-    ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    some = maybe_members(docs, "doc_id", ids).where("maybe").select("doc_id", "text")
+def _sets(docs: DataFrame, ids: DataFrame, join: Join) -> DataFrame:
+    """``id, tokens`` of the documents among ``ids``, read again; a few others may come along."""
+    some = maybe_members(docs, "doc_id", ids, out="maybe").where("maybe").select("doc_id", "text")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -133,11 +166,112 @@ def _verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
                 sets = shingle_sets(run, join.width)
                 yield pd.DataFrame({"id": ids[first : first + len(sets)], "tokens": [s.view(np.int64) for s in sets]})
 
-    sets = materialise(some.mapInPandas(read, "id long, tokens array<long>"))
-    of = lambda side: sets.select(F.col("id").alias(side), F.col("tokens").alias(f"set_{side}"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    whole = F.size("set_a") + F.size("set_b") - both
-    return pairs.join(of("b"), "b").join(of("a"), "a").where(both * join.denominator >= whole * join.numerator).select("a", "b").distinct()
+    return some.mapInPandas(read, "id long, tokens array<long>")
+
+
+def _links_in_unit(ids: np.ndarray, tokens: np.ndarray, inner: int, join: Join) -> Iterator[tuple[int, int]]:
+    """One link, ``(inner id, outer id)``, of each set from position ``inner`` on that links with any of those before."""
+    size = np.array([len(t) for t in tokens])
+    held = np.concatenate(tokens[:inner])
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], np.repeat(np.arange(inner), size[:inner])[order]
+    for k in range(inner, len(ids)):
+        low = np.searchsorted(held, tokens[k], side="left")
+        many = np.searchsorted(held, tokens[k], side="right") - low
+        at = np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
+        both = np.bincount(owner[at], minlength=inner)
+        whole = size[:inner] + size[k] - both
+        linked = np.flatnonzero((both * join.denominator >= whole * join.numerator) & (ids[:inner] != ids[k]))
+        if len(linked):
+            yield int(ids[linked[0]]), int(ids[k])
+
+
+def _linked(inner: DataFrame, outer: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
+    """Links ``a, b`` between the sets that ``inner`` and ``outer`` (``hub, id, n``) hold of the same hub: at least one for
+    every outer set that links with any of the hub's inner ones.
+
+    Both sides of a hub are dealt in blocks, and each pair of blocks is a unit of its own, which counts common tokens
+    on whole sets. Pairs never leave their unit; what shuffles is a set for each block it meets.
+    """
+    amount = F.greatest(F.count(F.lit(1)) / join.block, F.sum("n") / join.block_tokens)
+    blocks = lambda side, name: side.groupBy("hub").agg(F.ceil(amount).cast("int").alias(name))
+    dealt = materialise(blocks(inner, "rows").join(blocks(outer, "columns"), "hub"))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = inner.join(dealt, "hub").select("hub", "id", F.lit(0).alias("outer"), mine("rows").alias("i"), every("columns").alias("j"))
+    two = outer.join(dealt, "hub").select("hub", "id", F.lit(1).alias("outer"), every("rows").alias("i"), mine("columns").alias("j"))
+    units = materialise(one.unionByName(two))
+    sets = materialise(_sets(docs, materialise(units.select("id").distinct()), join))
+    unit = ["hub", "i", "j"]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if rest is None or not len(rest):
+                continue
+            key, ids, outer, tokens = rest[unit].to_numpy(), rest["id"].to_numpy(), rest["outer"].to_numpy(), rest["tokens"].to_numpy()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
+            if batch is None:
+                cuts.append(len(rest))
+            found: list[tuple[int, int]] = []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                many = int(np.searchsorted(outer[s:e], 1))
+                if 0 < many < e - s:
+                    found += _links_in_unit(ids[s:e], tokens[s:e], many, join)
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+            rest = rest.iloc[cuts[-1] :]
+
+    rows = units.join(sets, "id").repartition(*unit).sortWithinPartitions(*unit, "outer")
+    return materialise(rows.mapInPandas(compare, "a long, b long"))
+
+
+def _link_to_heads(posted: _Posted, join: Join) -> DataFrame:
+    """Links between the head of each token list, the member that most lists hold, and the list's other members."""
+    held = materialise(posted.lists.groupBy("doc_id").agg(F.count(F.lit(1)).alias("held")))
+    lists = posted.lists.join(held, "doc_id")
+    heads = materialise(lists.groupBy("token").agg(F.max_by("doc_id", F.struct("held", -F.col("doc_id"))).alias("hub")))
+    met = posted.lists.join(heads, "token").where("doc_id <> hub")
+    met = met.groupBy("hub", F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("shared"), F.min("matches").alias("asked"))
+    met = materialise(met.where("2 * shared >= asked").select("hub", "id"))
+    of = lambda name, n: posted.sizes.select(F.col("doc_id").alias(name), F.col("n").alias(n))
+    near = F.greatest("n", "of_hub") * join.numerator <= F.least("n", "of_hub") * join.denominator
+    outer = materialise(met.join(of("id", "n"), "id").join(of("hub", "of_hub"), "hub").where(near))
+    inner = outer.select("hub", F.col("hub").alias("id"), F.col("of_hub").alias("n")).distinct()
+    return _linked(inner, outer.select("hub", "id", "n"), posted.docs, join)
+
+
+def _pairs_of_components(lists: DataFrame, join: Join) -> DataFrame:
+    """``component_a, component_b`` where the prefixes of two components share as many tokens as two linked sets of theirs would.
+
+    A linked pair shares as many prefix tokens as one of both asks for at least, in the short part of the smaller
+    set's prefix; two components share no fewer tokens than any two of their sets.
+    """
+    groups = lists.groupBy("token", "component").agg(F.bool_or("short").alias("short"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("matches").alias("least"))
+    groups = materialise(groups)
+    of = lambda s: groups.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("component", "short", "low", "high", "least")))
+    like = (F.col("low_b") * join.numerator <= F.col("high_a") * join.denominator) & (F.col("low_a") * join.numerator <= F.col("high_b") * join.denominator)
+    able = F.when(F.col("low_a") > F.col("high_b"), F.col("short_b")).when(F.col("low_b") > F.col("high_a"), F.col("short_a"))
+    able = able.otherwise(F.col("short_a") | F.col("short_b"))
+    met = of("a").join(of("b"), "token").where((F.col("component_a") < F.col("component_b")) & like & able)
+    met = met.groupBy("component_a", "component_b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("least_a", "least_b")).alias("asked"))
+    return materialise(met.where("shared >= asked").select("component_a", "component_b"))
+
+
+def _link_components(lists: DataFrame, posted: _Posted, join: Join) -> DataFrame:
+    """Links between sets of different components that may hold some; of two components the larger one is the hub."""
+    lists = materialise(lists.join(posted.sizes, "doc_id"))
+    members = materialise(lists.select("component", F.col("doc_id").alias("id"), "n").distinct())
+    pairs = _pairs_of_components(lists, join)
+    number = members.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    sized = lambda s: number.select(F.col("component").alias(f"component_{s}"), F.struct("members", F.col("component").alias("hub")).alias(s))
+    pairs = pairs.join(sized("a"), "component_a").join(sized("b"), "component_b")
+    pairs = materialise(pairs.select(F.greatest("a", "b")["hub"].alias("hub"), F.least("a", "b")["hub"].alias("component")))
+    outer = materialise(pairs.join(members, "component").select("hub", "id", "n"))
+    inner = pairs.select("hub").distinct().join(members, F.col("hub") == F.col("component")).select("hub", "id", "n")
+    return _linked(materialise(inner), outer, posted.docs, join)
 
 
 def ngram_join(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,96 +280,39 @@ def ngram_join(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", tex
     A document's set holds the 64-bit hashes of its distinct shingles of lowered words
     (fewer words: one shingle). Equal sets form a class, named by its smallest id; links are sought between
     classes. Without words, or with null text, a document links with nothing; with a null id it has no component.
-    Rows that share an id are one document.
+    Rows that share an id are one document; an empty table gives an empty one; other columns are not read.
 
     Every set is ordered by estimated frequency, so passages that many documents share
     come last, and its prefix is posted, lengthened as its estimated candidates ask. First each list offers its
-    members for a link to its head, the member that most lists hold (an original rather than one of its edited copies), and
-    whatever verified links connect is not compared again. Then
-    documents of different components are verified on whole sets where the prefix tokens they share
-    reach what their sizes and both prefixes imply for a linked pair: with prefixes of n - k + m tokens, of which
-    k - m lie beyond, an overlap of o leaves o - (k - m) shared ones at least in the one that ends first in the common order.
-    Against sets that are not smaller a shorter prefix suffices, so of a pair's common tokens those count that
-    the smaller set holds there. No list is cut, and no pair within a component is made.
+    members for a link to its head, the member that most lists hold (an original rather than one of its edited
+    copies), and whatever verified links connect is not compared again. Then components whose prefixes share as many
+    tokens as a linked pair would are compared set by set, in blocks. Against sets that are not smaller a shorter prefix suffices, so of a
+    pair's common tokens those count that the smaller set holds there. No list is cut, and no pair within a component is made.
     """
     text_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    read = _summaries(docs, join)
-    rows = read.where("chunk is null").select("doc_id", "n", "one", "two")
-    seen = counters.gather(read.where("chunk is not null").select("chunk", "counts"), join.slots)
-    some = rows.where("doc_id is not null and n > 0")
-    classes = materialise(some.groupBy("n", "one", "two").agg(F.min("doc_id").alias("class_id")))
-    rows = materialise(rows.join(classes, ["n", "one", "two"], "left").select("doc_id", "n", "class_id"))
-    sizes = rows.where("doc_id = class_id").select("doc_id", "n").distinct()
-    spare = materialise(rows.where("doc_id <> class_id").select("doc_id"))
-    docs = without(docs.where("doc_id is not null"), "doc_id", spare)
-
-    in_list = Window.partitionBy("token", "salt").orderBy("doc_id")
-    lists = _postings(docs, seen, join).repartition("token", "salt")
-    lists = lists.withColumns({"before": F.lag("doc_id").over(in_list), "next": F.lead("doc_id").over(in_list)})
-    lists = lists.where("next is not null or before is not null or salts <> 1").select("token", "doc_id", "matches", "short", "salts", F.when(F.col("salts") < 0, F.col("asked")).otherwise(F.col("doc_id")).alias("component"))
-    lists = materialise(lists)
-    end = lambda salt, name: lists.where(f"salts = {salt}").select("doc_id", F.struct(F.col("matches").alias("often"), "token").alias(name), "component")
-    ends_of = end(-1, "end").drop("component").join(end(-2, "short_end").withColumnRenamed("component", "m"), "doc_id")
-    placed_ends, lists = materialise(sizes.join(ends_of, "doc_id")), lists.where("salts > 0").drop("salts")
-
-    def of_like_size(pairs: DataFrame) -> DataFrame:
-        of = lambda side: sizes.select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"))
-        near = F.greatest("na", "nb") * join.numerator <= F.least("na", "nb") * join.denominator
-        return materialise(materialise(pairs).join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b"))
-
-    links = found = None
-    for turn in range(join.rounds):
-        popular = materialise(lists.groupBy("doc_id").agg(F.count(F.lit(1)).alias("held")))
-        lists = materialise(lists.join(popular, "doc_id"))
-        most_held = F.max_by(F.struct(F.col("doc_id").alias("a"), F.col("component").alias("ca")), F.struct("held", -F.col("doc_id"))).alias("head")
-        heads = lists.groupBy("token").agg(most_held, F.min("component").alias("low"), F.max("component").alias("high"))
-        heads = materialise(heads.where("low < high").select("token", "head.a", "head.ca"))
-        met = lists.join(heads, "token").where("component <> ca")
-        if turn:  # all have met that head: now the one most held outside its component
-            heads = materialise(met.drop("a", "ca").groupBy("token").agg(most_held).select("token", "head.a", "head.ca"))
-            met = lists.join(heads, "token").where("component <> ca")
-        star = met.groupBy("a", F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min("matches").alias("asked"))
-        new = materialise(_verified(of_like_size(star.where("2 * shared >= asked").select("a", "b")), docs, join))
-        links = new if links is None else links.unionByName(new)
-        found = connected_components(links)
-        placed = found.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
-        lists = materialise(lists.drop("held").join(placed, "doc_id", "left").withColumn("component", F.coalesce("c", "component")).drop("c"))
-        open_tokens = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        lists = materialise(lists.join(materialise(open_tokens.select("token")), "token"))
+    if join.slots is None:
+        join = replace(join, slots=counters_for(docs.count()))
+    posted = _post(docs, join)
+    links = _link_to_heads(posted, join)
+    found = connected_components(links)
+    placed = found.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
+    lists = materialise(posted.lists.join(placed, "doc_id", "left").withColumn("component", F.coalesce("c", "component")).drop("c"))
+    several = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    lists = materialise(lists.join(materialise(several.select("token")), "token"))
     if not lists.isEmpty():
-        lists = materialise(lists.join(sizes, "doc_id"))
-        groups = lists.groupBy("token", "component").agg(F.bool_or("short").alias("short"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("matches").alias("least"))
-        groups = materialise(groups)
-        of = lambda s: groups.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("component", "short", "low", "high", "least")))
-        like = (F.col("low_b") * join.numerator <= F.col("high_a") * join.denominator) & (F.col("low_a") * join.numerator <= F.col("high_b") * join.denominator)
-        able = F.when(F.col("low_a") > F.col("high_b"), F.col("short_b")).when(F.col("low_b") > F.col("high_a"), F.col("short_a")).otherwise(F.col("short_a") | F.col("short_b"))
-        met = of("a").join(of("b"), "token").where((F.col("component_a") < F.col("component_b")) & like & able)
-        met = materialise(met.select("token", "component_a", "component_b", F.least("least_a", "least_b").alias("least")))
-        # two components share no fewer tokens than any two of their sets
-        both = met.groupBy("component_a", "component_b").agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("asked")).where("shared >= asked")
-        met = met.drop("least").join(materialise(both.select("component_a", "component_b")), ["component_a", "component_b"])
-        side = lambda s: lists.select("token", F.col("component").alias(f"component_{s}"), F.struct("n", F.col("doc_id").alias("id"), "short", F.col("matches").alias("m")).alias(s))
-        met = materialise(met).join(side("a"), ["token", "component_a"]).join(side("b"), ["token", "component_b"])
-        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a.short")  # a is the smaller set, or of equal ones that of the smaller id
-        # a linked pair shares as many as one of both asks for at least, which may be one
-        asked = F.min(F.least("a.m", "b.m")).alias("asked")
-        count = met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count(F.lit(1)).alias("shared"), asked)
-        count = materialise(count.where("shared >= asked").drop("asked"))
-        ends = lambda s: placed_ends.select(F.col("doc_id").alias(s), F.struct("n", "m", "end", "short_end").alias(f"of_{s}"))
-        count = count.join(ends("a"), "a").join(ends("b"), "b")
-        spare = F.when(F.col("of_a.short_end") <= F.col("of_b.end"), _of_both(2 * F.col("of_a.n"), join) - F.col("of_a.m"))
-        spare = spare.otherwise(F.ceil(F.col("of_b.n") * join.numerator / join.denominator) - F.col("of_b.m"))
-        pairs = count.where(F.col("shared") >= _of_both(F.col("of_a.n") + F.col("of_b.n"), join) - spare).select("a", "b")
-        more = materialise(_verified(of_like_size(pairs), docs, join))
+        more = _link_components(lists, posted, join)
         if not more.isEmpty():
             found = connected_components(links.unionByName(more))
-    out = rows.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    out = posted.rows.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     known = lambda c: F.when(F.col("doc_id").isNotNull(), c)
     return out.select("doc_id", F.col("n").alias("n_shingles"), known(F.coalesce("component", "class_id", "doc_id")).alias("component_id"), known(F.col("class_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """The rows of ``docs`` less the near duplicates: of every component the row with the smallest id stays."""
+    """The rows of ``docs`` less the near duplicates, with all their columns: of every component the rows with the smallest id stay.
+
+    Rows without words link with nothing and stay, as do rows with a null id.
+    """
     gone = ngram_join(docs, join).where("doc_id <> component_id").select("doc_id")
     return without(docs, "doc_id", materialise(gone))
