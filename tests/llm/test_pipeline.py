@@ -28,3 +28,23 @@ def test_stages_keep_what_brute_force_keeps(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.columns == ["doc_id", "source", "n_pieces", "ids"] and out.where("n_pieces <> size(ids)").count() == 0
+
+
+def test_stages_on_nulls_ties_repeats_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, None, "a"), (2, "", "a"), (3, "one two three", None), (3, "one two three", None), (None, "one two three", None), (4, "x " * 20_000, "b"), (5, "a b c d e f g h", "b"), (None, None, None)]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(c) for c in ("_h", "_sha", "_key", "maybe_repeated", "_maybe", "last", "_times", "_copy", "_toxicity", "score", "h")})
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {}
+    for name in ("toxicity", "exact_dedup", "near_dedup", "mix"):
+        out = stages[name](spark, docs, FOLDER)
+        assert out.columns == docs.columns and stages[name](spark, docs.where("false"), FOLDER).count() == 0
+        kept[name] = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in out.where("text is null or length(text) < 100").collect()), key=str)
+        assert out.where("_maybe <> '_maybe' or last <> 'last' or h <> 'h'").count() == 0
+    assert len(kept["toxicity"]) == 7
+    assert kept["exact_dedup"] == sorted([(False, 2, ""), (False, 3, "one two three"), (False, 5, "a b c d e f g h")], key=str)
+    assert len(kept["near_dedup"]) == 7  # equal ids are one document, null ids link with nothing
+    out = stages["pieces"](spark, docs, FOLDER)
+    assert out.columns == ["doc_id", "source", "n_pieces", "ids"] and out.count() == 8 and stages["pieces"](spark, docs.where("false"), FOLDER).count() == 0

@@ -61,7 +61,8 @@ def format_windows(turns: DataFrame, window: Window = Window()) -> DataFrame:
     turn larger than that has a window of its own. Before them stand the last turns of earlier
     windows, ``history_turns`` and ``history_tokens`` of them at most. The first ``n_context`` turns of a
     window are repeats. ``loss`` lists the spans (code points, end exclusive) of the
-    target role's texts among the others: each such text once over all windows.
+    target role's texts among the others: each such text once over all windows. An empty table gives an empty one; other columns are
+    not read. A conversation is one row of turns here, folded once: it must fit a task, as it must as one training text.
     """
     text = F.coalesce("text", F.lit(""))
     role = F.coalesce("role", F.lit(""))

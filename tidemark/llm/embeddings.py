@@ -26,53 +26,48 @@ class Lsh:
     seed: int = 17
 
 
-def _unit(rows: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision, and which rows have one (the rest: null, zero or not finite)."""
-    size = max((len(v) for v in rows if v is not None), default=0)
-    out = np.zeros((len(rows), size))
-    for i, v in enumerate(rows):
-        if v is not None and len(v):
-            out[i, : len(v)] = v
-            if len(v) < size:  # another dimension never compares
-                out[i] = np.nan
+def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of rows of one length in double precision, and which rows have one (the rest: zero or not finite)."""
     with np.errstate(all="ignore"):
-        norm = np.sqrt((out * out).sum(axis=1))
+        norm = np.sqrt((vectors * vectors).sum(axis=1))
         ok = np.isfinite(norm) & (norm > 0)
-        return out / np.where(ok, norm, 1)[:, None], ok
+        return vectors / np.where(ok, norm, 1)[:, None], ok
 
 
-def _hashed(vectors: DataFrame, lsh: Lsh) -> DataFrame:
-    """``id, label, v, keys, row``: for each usable vector its bucket in every table, and a number of its own."""
-    kind = vectors.schema["v"].dataType.simpleString()
+def _hashed(distinct: DataFrame, lsh: Lsh) -> DataFrame:
+    """``distinct`` with ``keys``, for each usable vector its bucket in every table, and ``row``, a number of its own."""
+    kind = distinct.schema["v"].dataType.simpleString()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        of_one_length = (same for batch in batches for _, same in batch.groupby(batch["v"].map(len)))
-        for batch in of_one_length:
-            unit, ok = _unit(batch["v"])
-            if not ok.any():
-                continue
-            batch, unit = batch[ok], unit[ok]
-            if unit.shape[1] not in made:
-                rng = np.random.default_rng([lsh.seed, unit.shape[1]])
-                made[unit.shape[1]] = rng.normal(size=(unit.shape[1], lsh.tables * lsh.projections)), rng.uniform(0, lsh.width, lsh.tables * lsh.projections)
-            a, b = made[unit.shape[1]]
-            cell = np.floor((unit @ a + b) / lsh.width).astype(np.int64).reshape(len(unit), lsh.tables, lsh.projections).astype(np.uint64)
-            key = np.full(cell.shape[:2], np.uint64(unit.shape[1]))
-            for k in range(lsh.projections):
-                key = (key ^ cell[:, :, k]) * np.uint64(0x100000001B3)
-                key ^= key >> np.uint64(29)
-            yield pd.DataFrame({"id": batch["id"].to_numpy(), "label": batch["label"].to_numpy(), "v": batch["v"].to_numpy(), "keys": list(key.view(np.int64))})
-
-    made = vectors.mapInPandas(read, f"id long, label long, v {kind}, keys array<long>")
+        for batch in batches:
+            for size, same in batch.groupby(batch["v"].map(len)):
+                if not size:
+                    continue
+                unit, ok = _unit(np.stack(same["v"].to_numpy()).astype(np.float64))
+                if not ok.any():
+                    continue
+                same, unit = same[ok], unit[ok]
+                if size not in made:
+                    rng = np.random.default_rng([lsh.seed, size])
+                    made[size] = rng.normal(size=(size, lsh.tables * lsh.projections)), rng.uniform(0, lsh.width, lsh.tables * lsh.projections)
+                a, b = made[size]
+                cell = np.floor((unit @ a + b) / lsh.width).astype(np.int64).reshape(len(unit), lsh.tables, lsh.projections).astype(np.uint64)
+                key = np.full(cell.shape[:2], np.uint64(size))
+                for k in range(lsh.projections):
+                    key = (key ^ cell[:, :, k]) * np.uint64(0x100000001B3)
+                    key ^= key >> np.uint64(29)
+                yield same.assign(keys=list(key.view(np.int64)))[["label", "k1", "k2", "v", "times", "keys"]]
+
+    made = distinct.mapInPandas(read, f"label long, k1 long, k2 long, v {kind}, times long, keys array<long>")
     return materialise(made.withColumn("row", F.monotonically_increasing_id()))
 
 
 def _compare(rows: DataFrame, lsh: Lsh) -> DataFrame:
-    """Compare the units dealt to each task, in order of ``unit_key``: ``id, links, low`` for each row with a link.
+    """Compare the units dealt to each task, in order of the unit: ``row, links, low`` for each row with a link.
 
-    A unit holds one block or two of a bucket, so a task holds ``2 * block`` vectors at
-    most. A pair is counted in its first common table alone. ``low`` is the smallest id reachable by links within the unit.
+    A unit holds one block or two of a bucket, so a task holds about ``2 * block`` vectors.
+    A pair is counted in its first common table alone, as often as the other vector occurs. ``low`` is the smallest row reachable by links within the unit.
     """
 
     def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,64 +86,73 @@ def _compare(rows: DataFrame, lsh: Lsh) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for unit in units(batches):
-            if len(unit) < 2:
+            if len(unit) < 2 or unit["v"].map(len).nunique() > 1:  # hashes of two lengths that happen to be equal
                 continue
-            vectors, keys = _unit(unit["v"])[0], np.stack(unit["keys"].to_numpy())
-            ids, part, t = unit["id"].to_numpy(), unit["part"].to_numpy(), int(unit["t"].iloc[0])
+            vectors, keys = _unit(np.stack(unit["v"].to_numpy()).astype(np.float64))[0], np.stack(unit["keys"].to_numpy())
+            rows, times, part, t = unit["row"].to_numpy(), unit["times"].to_numpy(), unit["part"].to_numpy(), int(unit["t"].iloc[0])
             i, j = int(unit["i"].iloc[0]), int(unit["j"].iloc[0])
             linked = vectors @ vectors.T >= lsh.cosine
             np.fill_diagonal(linked, False)
-            if not linked.any():
-                continue
             if i != j:  # within a block they meet in the unit (i, i)
                 linked &= part[:, None] != part[None, :]
+            if not linked.any():
+                continue
             fresh = linked.copy()
             for earlier in range(t):
                 fresh &= keys[:, None, earlier] != keys[None, :, earlier]
-            low = ids.copy()
+            low = rows.copy()
             while True:
                 new = np.minimum(low, np.where(linked, low[None, :], np.iinfo(np.int64).max).min(axis=1))
                 if (new == low).all():
                     break
                 low = new
             hit = linked.any(axis=1)
-            out.append(pd.DataFrame({"id": ids[hit], "links": fresh.sum(axis=1)[hit], "low": low[hit]}))
+            out.append(pd.DataFrame({"row": rows[hit], "links": (fresh @ times)[hit], "low": low[hit]}))
             if len(out) >= 500:
                 yield pd.concat(out)
                 out = []
         if out:
             yield pd.concat(out)
 
-    return rows.mapInPandas(work, "id long, links long, low long")
+    return rows.mapInPandas(work, "row long, links long, low long")
 
 
 def near_vectors(vectors: DataFrame, lsh: Lsh = Lsh(), id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``.
 
-    Vectors of one label (not null) link when their cosine in double precision is ``cosine``
+    Vectors of one label (not null) and one length link when their cosine in double precision is ``cosine``
     or more; a vector that is null, zero or holds null or non-finite components links with nothing, as does one with a null id
-    (no component, kept). Rows with equal ids are vectors of their own in ``n_links``.
+    (no component, kept). Rows that share an id are vectors of their own; ``component_id`` is the smallest id among the vectors
+    reachable by links. An empty table gives an empty one; other columns are not read.
 
-    Buckets of one row are dropped after a count that combines before its shuffle; larger ones than
-    ``block`` rows are dealt in blocks, and every pair of blocks is a unit of work of its own.
-    Pairs never leave their task: what shuffles is a count and a smallest reachable id for each row.
+    Equal vectors of a label are first brought together, in a count that combines before its shuffle, and stand as one with
+    their number: links among and to them follow by arithmetic. Buckets of one are dropped; larger ones than ``block`` are dealt in blocks, and every pair of
+    blocks is a unit of work of its own. Pairs never leave their task: what shuffles is a count and a smallest reachable row.
     """
     slim = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("v"))
-    usable = slim.where("id is not null and label is not null and v is not null").where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
-    hashed = _hashed(usable, lsh)
+    sound = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x))
+    keyed = slim.withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit("second"), "v")})  # 128 bits name a vector
+    same = ["label", "k1", "k2"]
+    distinct = keyed.where(sound).groupBy(*same).agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("times"))
+    hashed = _hashed(distinct, lsh)
     cells = hashed.select("row", "label", F.posexplode("keys").alias("t", "key"))
     sizes = materialise(cells.groupBy("t", "key", "label").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
-    met = materialise(cells.join(sizes, ["t", "key", "label"])).join(hashed.drop("label"), "row")
+    met = materialise(cells.join(sizes, ["t", "key", "label"])).join(hashed.select("row", "times", "v", "keys"), "row")
     blocks = F.ceil(F.col("rows") / lsh.block).cast("int")
-    met = met.withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = met.withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("t", "key", "label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "v", "keys")
+    met = met.select("t", "key", "label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "row", "times", "v", "keys")
     unit = ["t", "key", "label", "i", "j"]
-    dealt = met.repartition(*unit).sortWithinPartitions(*unit)
-    found = materialise(_compare(dealt, lsh))
-    links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
-    components = connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))
-    known = materialise(links.join(components.select(F.col("node").alias("id"), "component"), "id", "left"))
-    out = slim.select("id").join(known, "id", "left")
+    found = materialise(_compare(met.repartition(*unit).sortWithinPartitions(*unit), lsh))
+    links = found.groupBy("row").agg(F.sum("links").alias("links"))
+    components = connected_components(found.select(F.col("row").alias("a"), F.col("low").alias("b")))
+    placed = hashed.select("row", "times", *same).join(links, "row", "left").join(components.withColumnRenamed("node", "row"), "row", "left")
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links")
+    placed = materialise(placed.select(*same, n_links, F.coalesce("component", "row").alias("c")).where("n_links > 0"))
+    rows = keyed.withColumn("sound", sound).select("id", F.when(F.col("sound"), F.col("label")).alias("label"), "k1", "k2").join(placed, same, "left")
+    rows = materialise(rows)
+    low = materialise(rows.where("c is not null").groupBy("c").agg(F.min("id").alias("component")))
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    return rows.join(low, "c", "left").select(
+        F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept")
+    )

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.llm.members import own, unused
 from tidemark.tables import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,74 +53,89 @@ def targets(sized: DataFrame, mix: Mix) -> DataFrame:
 
 
 def fair_queue(sized: DataFrame, per_source: DataFrame, mix: Mix) -> DataFrame:
-    """What the mix takes: ``source, pass, h, doc_id, size, finish, taken`` for each document and pass.
+    """What the mix takes: ``source, pass, h, doc_id, size, finish, taken`` for each place in the queue and pass.
 
-    ``sized`` has ``doc_id, source, size, h``. The virtual finish time is the source's
-    words up to and with the document, over its target. Running sums are taken in slices of the
-    shuffle key, and the cut in slices of the finish time, each about as many as the square root of the
-    rows: no source, however large, and no sum over all rows lies in one task.
+    ``sized`` has ``doc_id, source, size, h``. Rows of one id and source share a place and count together, before they
+    shuffle. The virtual finish time is the source's words up to and with the place, over its target; its running sums
+    are taken in about as many slices of the shuffle key as the square root of the rows. The queue is then sorted in one global order
+    by range, and cut where the words before reach the budget: sums of whole ranges come first, and only the one range that holds
+    the cut is summed row by row. No source, however large, and no sum over all rows lies in one task.
     """
-    rows = max(1, sized.count())
-    n = int(rows**0.5) + 1
-    sliced = sized.withColumn("slice", F.floor(F.col("h") / F.lit(float(1 << 60)) * n))
+    places = materialise(sized.groupBy("source", "h", "doc_id").agg(F.sum("size").alias("size")))
+    n = int(max(1, places.count()) ** 0.5) + 1
+    sliced = places.withColumn("slice", F.floor(F.col("h") / F.lit(float(1 << 60)) * n))
     sums = sliced.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = materialise(sums.select("source", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base")))
-    inside = Window.partitionBy("source", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "slice").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     run = sliced.withColumn("inside", F.sum("size").over(inside)).withColumnRenamed("source", "s").withColumnRenamed("slice", "k")
     run = run.join(sums, F.col("s").eqNullSafe(F.col("source")) & (F.col("k") == F.col("slice"))).drop("source", "k", "slice")
     run = run.join(per_source, F.col("s").eqNullSafe(F.col("source"))).drop("source").withColumnRenamed("s", "source")
     queue = run.where("target > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(mix.passes - 1))))
     queue = queue.withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("base") + F.col("inside")) / F.col("target"))
-    queue = materialise(queue.select("source", "pass", "h", "doc_id", "size", "finish", F.floor(F.col("finish") * n).alias("at")))
+    columns = ["source", "pass", "h", "doc_id", "size", "finish"]
+    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("pass"), F.col("h"), F.col("doc_id")]
+    queue = materialise(queue.select(*columns))
+    queue = materialise(queue.repartitionByRange(*order).withColumn("at", F.spark_partition_id()))
     times = queue.groupBy("at").agg(F.sum("size").alias("words"))
-    upto = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # one row for each range
     budget = F.lit(mix.share * (per_source.agg(F.sum("source_size")).first()[0] or 0))
     times = times.withColumn("upto", F.sum("words").over(upto))
     times = materialise(times.select("at", (F.col("upto") - F.col("words")).alias("start"), (F.col("upto") <= budget).alias("whole")))
     timed = queue.join(times.where(F.col("start") <= budget), "at")
-    order = Window.partitionBy("at").orderBy("finish", F.col("source").asc_nulls_last(), "pass", "h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    cut = timed.where("not whole").withColumn("upto", F.col("start") + F.sum("size").over(order)).where(F.col("upto") <= budget)
-    columns = ["source", "pass", "h", "doc_id", "size", "finish"]
+    in_range = Window.partitionBy("at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    cut = timed.where("not whole").withColumn("upto", F.col("start") + F.sum("size").over(in_range)).where(F.col("upto") <= budget)
     return timed.where("whole").select(*columns).unionByName(cut.select(*columns))
 
 
 def limits(taken: DataFrame) -> DataFrame:
-    """The last entry taken of each source, ``source, last``: in queue order all before it are taken too."""
-    return taken.groupBy("source").agg(F.max(F.struct("pass", "h", "doc_id", "size")).alias("last"))
+    """The last place taken of each source, ``source, last``: in queue order all before it are taken too."""
+    return taken.groupBy("source").agg(F.max(F.struct("pass", "h", "doc_id")).alias("last"))
+
+
+def _planned(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with size, source's size, target and times under names that no column of ``docs`` bears, and those names."""
+    made = unused(docs, "size", "source_size", "target", "times")
+    size, source_size, target, times = made
+    h, last, of = unused(docs, "h", "last", "of")
+    key, doc_id, source = shuffle_key(F.col(id_col), mix.seed), F.col(id_col), F.col(source_col)
+    slim = docs.select(doc_id.alias("doc_id"), source.alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("h"))
+    slim = materialise(slim)
+    per_source = materialise(targets(slim, mix))
+    ends = limits(fair_queue(slim, per_source, mix)).withColumnRenamed("source", "s")
+    facts = per_source.join(ends, F.col("s").eqNullSafe(F.col("source")), "left")
+    facts = materialise(facts.select(F.col("source").alias(of), F.col("source_size").alias(source_size), F.coalesce("target", F.lit(0.0)).alias(target), F.col("last").alias(last)))
+    placed = docs.withColumns({size: word_count(F.col(text_col)), h: key})
+    joined = placed.join(facts, source.eqNullSafe(F.col(of)), "left")
+    place = lambda p: F.struct(F.lit(p).alias("pass"), F.col(h).alias("h"), doc_id.alias("doc_id"))
+    taken = sum((F.coalesce(place(p) <= F.col(last), F.lit(False)).cast("int") for p in range(mix.passes)), F.lit(0))
+    return joined.withColumn(times, taken).select(*own(docs), *made), made
 
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with ``_size, _source_size, _target, _times``: how often (0 to ``passes``) the mix takes each row.
 
-    Null text has no words; null is a source of its own. Rows with one id and source share
-    a place in the queue and are taken together. A source without words has
-    target 0. Texts do not shuffle: the limits, one row per source, join them where they lie.
+    Columns of ``docs`` by one of these names are replaced. Null text has no words; null is a source of its own. Rows with one id
+    and source, null ids too, share a place in the queue and are taken together. A source without words has
+    target 0, and documents without words are taken as their place falls. An empty table gives an empty one. Texts do not shuffle: the limits, one row per source,
+    join them where they lie. One row per source is all that is ever summed in one task.
     """
-    order = {"_size": word_count(F.col(text_col)), "_h": shuffle_key(F.col(id_col), mix.seed)}
-    slim = docs.withColumns(order).select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col("_size").alias("size"), F.col("_h").alias("h"))
-    slim = materialise(slim)
-    per_source = materialise(targets(slim, mix))
-    last = limits(fair_queue(slim, per_source, mix))
-    facts = per_source.join(last.withColumnRenamed("source", "s"), F.col("s").eqNullSafe(F.col("source")), "left").select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.coalesce("target", F.lit(0.0)).alias("_target"), "last")
-    facts = materialise(facts)
-    placed = docs.withColumns(order)
-    joined = placed.join(facts, placed[source_col].eqNullSafe(facts["_s"]), "left")
-    taken = sum(
-        (F.coalesce(F.struct(F.lit(p).alias("pass"), F.col("_h").alias("h"), F.col(id_col).alias("doc_id"), F.col("_size").alias("size")) <= F.col("last"), F.lit(False)).cast("int") for p in range(mix.passes)),
-        F.lit(0),
-    )
-    return joined.withColumn("_times", taken).select(*[docs[c] for c in docs.columns], "_size", "_source_size", "_target", "_times")
+    names = ["_size", "_source_size", "_target", "_times"]
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in names])
+    planned, made = _planned(docs, mix, id_col, text_col, source_col)
+    return planned.withColumnsRenamed(dict(zip(made, names, strict=True)))
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The rows of ``docs`` the mix takes, each as often as it takes it, with their own columns alone."""
-    planned = mix_documents(docs, mix).where("_times > 0")
-    return planned.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """The rows of ``docs`` the mix takes, each as often as it takes it, with their own columns alone; whatever these are called."""
+    planned, (_, _, _, times) = _planned(docs, mix, "doc_id", "text", "source")
+    (copy,) = unused(planned, "copy")
+    planned = planned.where(F.col(times) > 0)
+    return planned.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*own(docs))
 
 
 def queue_order(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix as a list, ``finish, source, doc_id, copy, size``, in one global order by range."""
     slim = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), mix.seed).alias("h")))
     taken = fair_queue(slim, materialise(targets(slim, mix)), mix)
-    return taken.select("finish", "source", "doc_id", F.col("pass").alias("copy"), "size").orderBy("finish", "source", "copy", "doc_id")
+    return taken.select("finish", "source", "doc_id", F.col("pass").alias("copy"), "size").orderBy("finish", F.col("source").asc_nulls_last(), "copy", "doc_id")

@@ -14,8 +14,47 @@ from tidemark.tables import text_batches
 
 #: Bytes by which longer pieces are sought only where their beginning fits.
 STEM = 6
-#: Bytes of texts whose chunks share a lattice.
-RUN = 1 << 20
+#: Bytes of texts that are sampled at once.
+RUN = 1 << 18
+#: Arcs of chunk lattices that a Python worker remembers (about 16 bytes each); when there are more it starts anew.
+ARCS = 1 << 21
+
+
+class _Lattices:
+    """The lattices of the chunks met so far, one after another, found by a hash of the chunk.
+
+    Node ``at + i`` of a chunk is the place after its first i bytes; the arcs into node n are those from
+    ``first[n]`` on, and ``source, piece, upto`` describe an arc.
+    """
+
+    def __init__(self):
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.first, self.nodes, self.arcs = np.zeros(1 << 16, np.int32), 0, 0
+        self.data = np.zeros(1 << 16, np.uint8)
+        self.source, self.piece, self.upto = np.zeros(1 << 17, np.int32), np.zeros(1 << 17, np.int32), np.zeros(1 << 17)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The node where each chunk starts; -1 where it is not known."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.at[at], -1)
+
+    def add(self, keys: np.ndarray, start: np.ndarray, data: np.ndarray, source: np.ndarray, piece: np.ndarray, upto: np.ndarray, first: np.ndarray) -> None:
+        nodes, arcs = self.nodes + len(data), self.arcs + len(source)
+        self.data, self.first = _grown(self.data, nodes), _grown(self.first, nodes + 2)
+        self.source, self.piece, self.upto = (_grown(x, arcs) for x in (self.source, self.piece, self.upto))
+        self.data[self.nodes : nodes] = data
+        self.first[self.nodes + 2 : nodes + 2] = first[2:] + self.arcs
+        self.source[self.arcs : arcs] = source + self.nodes
+        self.piece[self.arcs : arcs], self.upto[self.arcs : arcs] = piece, upto
+        keys, at = np.concatenate((self.keys, keys)), np.concatenate((self.at, (start + self.nodes).astype(np.int32)))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.nodes, self.arcs = keys[order], at[order], nodes, arcs
+
+
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    return x if len(x) >= n else np.concatenate((x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)))
 
 
 class Pieces:
@@ -23,7 +62,8 @@ class Pieces:
 
     The meta symbol for a space is the space byte here, so that a meta symbol in a text is an
     ordinary character, written as byte pieces. A piece's weight follows Zipf's
-    law in its rank by score (a merge model's scores are ranks, not probabilities).
+    law in its rank by score (a merge model's scores are ranks, not probabilities). Pieces that hold a space anywhere but at
+    their beginning (runs of spaces and phrases) are never drawn, since chunks end before every space; decoding knows them all.
     """
 
     def __init__(self, path: str):
@@ -62,6 +102,7 @@ class Pieces:
         self.size = np.array([len(r) for r in self.raw])
         self.offset = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.known, self.alpha = _Lattices(), None
 
     def lattice(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, alpha: float) -> tuple[np.ndarray, ...]:
         """Arcs into every byte position of the chunks, longest first, with cumulative probabilities.
@@ -69,14 +110,15 @@ class Pieces:
         ``data`` holds the chunks one after another. Forward filtering sums the
         weights (to the power ``alpha``) of all ways to each position.
         """
+        start, size = start.astype(np.int32), size.astype(np.int32)
         end_of = np.repeat(start + size, size)
-        spans, places = Spans(data), np.arange(len(data))
+        spans, places = Spans(data), np.arange(len(data), dtype=np.int32)
         char = (data & 0xC0) != 0x80
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         single = np.zeros(len(data), bool)
-        width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
+        width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4))).astype(np.int32)
         long_ = None
-        for n in self.sizes:
+        for n in map(np.int32, self.sizes):
             at = places[char] if n <= STEM else long_
             if n > STEM and long_ is None:
                 at = places[char & (places + STEM <= end_of)]
@@ -87,7 +129,7 @@ class Pieces:
             single[at[width[at] == n]] = True
             found.append((at, at + n, piece))
         alone = places[char & ~single]
-        found.append((alone, alone + width[alone], np.full(len(alone), -1)))
+        found.append((alone, alone + width[alone], np.full(len(alone), -1, np.int32)))
         # longest first into each position: the runs below ascend, which a stable sort merges
         source, target, piece = (np.concatenate(x[::-1]) for x in zip(*found, strict=True))
         order = np.argsort(target, kind="stable")
@@ -134,15 +176,20 @@ class Pieces:
         start = np.flatnonzero(opens)
         size = np.diff(start, append=len(data))
         key, index, back = np.unique(Spans(data).of(start, start + size), return_index=True, return_inverse=True)
-        own_size = size[index]
-        own_start = np.cumsum(own_size) - own_size
-        own = data[np.arange(own_size.sum()) + np.repeat(start[index] - own_start, own_size)]
-        source, piece, upto, first = self.lattice(own, own_start, own_size, alpha)
+        if self.known.arcs > ARCS or self.alpha != alpha:
+            self.known, self.alpha = _Lattices(), alpha
+        new = np.flatnonzero(self.known.find(key) < 0)
+        if len(new):
+            own_size = size[index[new]]
+            own_start = np.cumsum(own_size) - own_size
+            own = data[np.arange(own_size.sum()) + np.repeat(start[index[new]] - own_start, own_size)]
+            self.known.add(key[new], own_start, own, *self.lattice(own, own_start, own_size, alpha))
+        source, piece, upto, first, own = self.known.source, self.known.piece, self.known.upto, self.known.first, self.known.data
+        low = self.known.find(key)[back].astype(np.int64)
         text = np.searchsorted(text_at, start, side="right") - 1
         seed = keys[text]
         place = start - text_at[text]
-        live, node = np.arange(len(start)), own_start[back] + size
-        low = own_start[back]
+        live, node = np.arange(len(start)), low + size
         steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(live):
             end = node[live] - low[live] + place[live]
@@ -152,18 +199,18 @@ class Pieces:
             while len(late):
                 arc[late] += 1
                 late = late[u[late] >= upto[arc[late]]]
-            steps.append((live, piece[arc], source[arc]))
+            steps.append((live.astype(np.int32), piece[arc], source[arc]))
             node[live] = source[arc]
             live = live[source[arc] > low[live]]
         emits = np.zeros(len(start), np.int64)
-        ends = own_start[back] + size
+        ends = low + size
         for who, p, s in steps:
             emits[who] += np.where(p >= 0, 1, ends[who] - s)
             ends[who] = s
         pointer = np.cumsum(emits)
         out = np.empty(int(pointer[-1]) if len(pointer) else 0, np.int32)
         bounds = np.concatenate(([0], pointer))[np.searchsorted(start, text_at)]
-        ends = own_start[back] + size
+        ends = low + size
         for who, p, s in steps:
             count = np.where(p >= 0, 1, ends[who] - s)
             ends[who] = s
@@ -196,10 +243,11 @@ def encode(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0, key_c
     """``docs`` with ``ids``, one sampled segmentation of every whole text; null counts as empty.
 
     A text is cut before every space and around control characters no piece holds; pieces never
-    reach over these cuts, so that each chunk has a lattice of its own, built once for all its occurrences in a
-    run of texts. ``alpha`` sharpens the distribution. The same key, seed and text give the same
-    ids in any partitioning; a null key counts as a value. An empty text is the one space that
-    stands first. A map of the rows: nothing shuffles.
+    reach over these cuts, so that each chunk has a lattice of its own, which a Python worker remembers for its next
+    occurrences. ``alpha`` sharpens the distribution. The same key, seed and text give the same
+    ids in any partitioning and order; a null key counts as a value, rows that repeat a key and text get the same ids. An empty
+    text is the one space that stands first. An empty table gives an empty one; other columns stay as they are, but one named
+    ``out`` is replaced. A map of the rows: nothing shuffles.
     """
 
     text_batches(docs.sparkSession)

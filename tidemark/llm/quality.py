@@ -131,6 +131,28 @@ def _warp(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.sqrt(np.abs(x))
 
 
+def risk(layers: list[np.ndarray], x: np.ndarray, k: int, prior: float) -> tuple[float, float]:
+    """The two parts of the risk over ``k`` positives, which come first, and unlabelled rows: ``prior * R+``, and ``R-(unlabelled) - prior * R-(positives)``."""
+    w, b, v, c = layers
+    z = np.tanh(x @ w + b) @ v + c
+    return prior * np.logaddexp(0, -z[:k]).mean(), np.logaddexp(0, z[k:]).mean() - prior * np.logaddexp(0, z[:k]).mean()
+
+
+def _gradient(layers: list[np.ndarray], x: np.ndarray, k: int, prior: float, decay: float, non_negative: bool) -> list[np.ndarray]:
+    """Of both parts' sum; where the second is below zero (and that is not allowed), of its negative alone. ``decay`` shrinks the weights."""
+    w, b, v, c = layers
+    hid, n = np.tanh(x @ w + b), len(x) - k
+    z = hid @ v + c
+    prob = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    off = np.empty_like(z)
+    if non_negative and risk(layers, x, k, prior)[1] < 0:
+        off[:k], off[k:] = prior * prob[:k] / k, -prob[k:] / n
+    else:
+        off[:k], off[k:] = (prior * (prob[:k] - 1) - prior * prob[:k]) / k, prob[k:] / n
+    back = off[:, None] * v * (1 - hid**2)
+    return [x.T @ back + decay * w, back.sum(axis=0), hid.T @ off + decay * v, off.sum()]
+
+
 def _train(pos: np.ndarray, unl: np.ndarray, prior: float, conf: Quality, non_negative: bool) -> tuple[np.ndarray, ...]:
     """Adam on ``prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))`` with the logistic loss.
 
@@ -138,22 +160,10 @@ def _train(pos: np.ndarray, unl: np.ndarray, prior: float, conf: Quality, non_ne
     """
     rng = np.random.default_rng(conf.seed)
     layers = [rng.normal(0, pos.shape[1] ** -0.5, (pos.shape[1], conf.hidden)), np.zeros(conf.hidden), rng.normal(0, conf.hidden**-0.5, conf.hidden), np.zeros(())]
-    x, k, n = np.concatenate((pos, unl)), len(pos), len(unl)
+    x, k = np.concatenate((pos, unl)), len(pos)
     m, s = [np.zeros_like(x) for x in layers], [np.zeros_like(x) for x in layers]
     for step in range(1, conf.steps + 1):
-        w, b, v, c = layers
-        hid = np.tanh(x @ w + b)
-        z = hid @ v + c
-        prob = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        negative = np.logaddexp(0, z[k:]).mean() - prior * np.logaddexp(0, z[:k]).mean()
-        off = np.empty_like(z)
-        if negative < 0 and non_negative:
-            off[:k], off[k:] = prior * prob[:k] / k, -prob[k:] / n
-        else:
-            off[:k], off[k:] = (prior * (prob[:k] - 1) - prior * prob[:k]) / k, prob[k:] / n
-        back = off[:, None] * v * (1 - hid**2)
-        grads = [x.T @ back + conf.decay * w, back.sum(axis=0), hid.T @ off + conf.decay * v, off.sum()]
-        for i, g in enumerate(grads):
+        for i, g in enumerate(_gradient(layers, x, k, prior, conf.decay, non_negative)):
             m[i] = 0.9 * m[i] + 0.1 * g
             s[i] = 0.999 * s[i] + 0.001 * g * g
             layers[i] = layers[i] - conf.rate * (1 - step / conf.steps) * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.999**step)) + 1e-8)
@@ -231,7 +241,8 @@ def quality(docs: DataFrame, labels: DataFrame, conf: Quality = Quality()) -> Da
     """``doc_id, held_out, score, predicted`` for every whole text; null counts as empty.
 
     A map of the rows with a small broadcast model. Without positives every score is 0; without
-    anything to set them against, 1.
+    anything to set them against, 1. Rows that repeat an id are scored (and, if picked, learnt from) one by one; null ids are scored, never
+    held out nor learnt from. An empty table gives an empty one; other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, conf))
 

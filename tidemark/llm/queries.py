@@ -45,8 +45,7 @@ def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    text = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], turns.schema)
+    extra = spark.sql("select -1L as conv_id, turn, role, '</s>[INST] ok [/INST]' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
     return chat.digests(chat.format_windows(turns.unionByName(extra)))
 
 
@@ -142,6 +141,27 @@ SQL = {
           coalesce((SELECT max(win) + 1 FROM firsts f WHERE f.conv_id = t.conv_id), 1)::BIGINT AS n_windows
         FROM sized t LEFT JOIN repeats r ON r.conv_id = t.conv_id LEFT JOIN again a ON a.conv_id = t.conv_id
         GROUP BY t.conv_id""",
+    "op8_secret_scan": """
+        WITH rules(k, kind, pattern, of, least) AS (VALUES
+            (0, 'assign', '((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12),
+            (1, 'access', 'AKIA[A-Z0-9]+', 0, 18), (2, 'hex', '[0-9a-f]+', 0, 16),
+            (3, 'forge', 'gh[pousr]_[A-Za-z0-9]{36,}', 0, 0), (4, 'chat', 'xox[abprs]-[A-Za-z0-9-]{10,}', 0, 0),
+            (5, 'jwt', 'eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{5,}', 0, 0),
+            (6, 'private', '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0, 0)),
+        texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        per AS (
+          SELECT r, k, kind, least, regexp_extract_all(text, pattern, 0) AS m, string_split_regex(text, pattern) AS gaps,
+                 CASE WHEN of = 2 THEN regexp_extract_all(text, pattern, 2) ELSE regexp_extract_all(text, pattern, 0) END AS tested
+          FROM texts, rules WHERE regexp_matches(text, pattern)),
+        spans AS (
+          SELECT r, k, kind, i, length(tested[i]) >= least AS ok, length(m[i]) AS size,
+                 list_sum([length(g) FOR g IN gaps[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS s
+          FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM per)),
+        found AS (SELECT r, k, kind, s::BIGINT AS s, kind || ':' || s::BIGINT || ':' || (s + size)::BIGINT AS span FROM spans WHERE ok)
+        SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+               sha256(coalesce(string_agg(span, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256,
+               coalesce(string_agg(span, ',' ORDER BY s, k), '') AS spans
+        FROM texts t LEFT JOIN found f ON f.r = t.r GROUP BY t.r, t.doc_id""",
     "op7_weighted_mix": """
         WITH sized AS (
           SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,

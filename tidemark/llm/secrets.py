@@ -172,7 +172,8 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     rule needs, the texts that hold it. A rule's Boolean query intersects and unites postings; only
     its candidates run the regex. A rule without mandatory trigrams (``hex``) scans every text. Spans are
     leftmost and do not overlap within a kind, ordered by start, then by rule. Null counts as
-    empty and has no spans. Nothing shuffles; postings live as long as their segment.
+    empty and has no spans; rows that repeat an id, and those of null id, are scanned one by one; an empty table gives an empty one; other columns
+    are not read. Nothing shuffles; postings live as long as their segment.
     """
     order = {r.kind: i for i, r in enumerate(rules)}
 

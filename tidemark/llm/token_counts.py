@@ -6,6 +6,8 @@ import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from functools import cached_property
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,7 @@ _SIMPLE = re.compile("[\\x00-\\x84\\x86-\\x9f\\xa1-\\u024f\\u2018-\\u201d\\u2013
 _L, _N = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f", "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
 _S = "\\x09-\\x0d\\x20"
 _PIECES_SIMPLE = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_SPACES = regex.compile(r"\s*")
 #: Pieces of more bytes are counted one by one rather than in a block.
 LONG = 48
 #: Pieces a Python worker remembers; when full it starts anew.
@@ -200,17 +203,24 @@ class Bpe:
             return [(text, False)]
         return [(x, x in self.special) for x in regex.split("(" + "|".join(map(regex.escape, self.special)) + ")", text) if x]
 
-    def counts(self, texts: Iterable[str | None]) -> Iterator[int]:
-        """Tokens of each whole text."""
+    def prefix_counts(self, texts: Iterable[str | None]) -> Iterator[PrefixCounts]:
+        """The prefix counts of each whole text; pieces new to this worker are counted in blocks."""
         for group in _grouped(texts):
-            split = []
-            for t in group:
-                parts = self.parts(t or "")
-                split.append((sum(s for _, s in parts), [p for x, s in parts if not s for p in split_pieces(x)]))
-            self.learn(set().union(*(pieces for _, pieces in split)))
-            known = self.known
-            for n, pieces in split:
-                yield n + sum(map(known.__getitem__, pieces))
+            split = [[(x, special, [x] if special else split_pieces(x)) for x, special in self.parts(t or "")] for t in group]
+            self.learn({p for parts in split for _, special, pieces in parts if not special for p in pieces})
+            for t, parts in zip(group, split, strict=True):
+                yield PrefixCounts(t or "", parts, self)
+
+    def of_prefix(self, text: str) -> int:
+        """Tokens of a short text without special tokens."""
+        return sum(self.prefixes(p.encode())[-1] for p in PIECES.findall(text))
+
+    def piece_prefixes(self, piece: str) -> list[int]:
+        """Tokens of the first i code points of a piece, for every i."""
+        by_byte = self.prefixes(piece.encode())
+        if regex.fullmatch(r"'(?:ll|ve|re)", piece):
+            return [0, *(self.of_prefix(piece[:i]) for i in (1, 2)), by_byte[-1]]
+        return [by_byte[n] for n in accumulate((len(c.encode()) for c in piece), initial=0)]
 
 
 def _grouped(texts: Iterable[str | None], chars: int = 4_000_000) -> Iterator[list[str | None]]:
@@ -226,82 +236,70 @@ def _grouped(texts: Iterable[str | None], chars: int = 4_000_000) -> Iterator[li
 
 
 class PrefixCounts:
-    """Exact token counts of every prefix of one text, kept as running sums.
+    """Exact token counts of every prefix of one text, kept as running sums over its pieces.
 
-    ``starts``/``before`` hold, for each piece, its first code point and the tokens
-    before it; ``inside`` holds the counts of the prefixes of each piece. A cut is then answered
-    by two look-ups, with no encoding. A run of white space before a word is
-    kept whole as well, because a cut inside or right after it makes one piece of it.
+    ``before`` holds the tokens before each piece and ``total`` those of all; a prefix that ends inside a piece adds that
+    piece's own prefix counts. So cuts and budgets are answered by look-ups, and the text is never encoded again. What a cut leaves may
+    split in other pieces than the whole text at two places: a run of white space before a word becomes one piece, and
+    a special token that is cut becomes ordinary text.
     """
 
-    def __init__(self, text: str | None, bpe: Bpe):
-        self.starts, self.before, self.inside, total, at, tail = [], [], [], 0, 0, ""
-        self.space: dict[int, tuple[int, list[int]]] = {}
-        seen: dict[str, list[int]] = {}
-        for part, special in bpe.parts(text or ""):
-            if special:  # a cut inside it leaves ordinary text, which may join the piece before it
-                tail, base = (tail, self.before[-1]) if tail else ("", total)
-                cut = [total - base, *(bpe.prefixes_of_text(tail + part[:i]) for i in range(1, len(part)))]
-                cut = [base - total + n for n in cut]
-                self._add(at, total, [*cut, 1])
-                at, total, tail = at + len(part), total + 1, ""
-                continue
-            for m in PIECES.finditer(part):
-                p = m.group()
-                if p not in seen:
-                    seen[p] = bpe.piece_prefixes(p)
-                self._add(at + m.start(), total, seen[p])
-                total, tail = total + seen[p][-1], p
-            for m in regex.finditer(r"\s{2,}(?=\S)", part):
-                k = bisect_right(self.starts, at + m.start()) - 1
-                base = self.before[k] + self.inside[k][at + m.start() - self.starts[k]]
-                whole = bpe.piece_prefixes(m.group())
-                for i in range(1, len(m.group()) + 1):
-                    self.space[at + m.start() + i] = (base, whole[i])
-            at += len(part)
-        self.chars, self.total = at, total
-
-    def _add(self, start: int, before: int, inside: list[int]) -> None:
-        self.starts.append(start)
-        self.before.append(before)
-        self.inside.append(inside)
+    def __init__(self, text: str, parts: list[tuple[str, bool, list[str]]], bpe: Bpe):
+        self.text, self.bpe = text, bpe
+        self.inside: dict[tuple[int, int], list[int]] = {}
+        self.pieces = [p for _, _, pieces in parts for p in pieces]
+        self.special = {k for k, s in enumerate(s for _, s, pieces in parts for _ in pieces) if s} if bpe.special and any(s for _, s, _ in parts) else set()
+        known = bpe.known
+        self.before = list(accumulate((1 if k in self.special else known[p] for k, p in enumerate(self.pieces)) if self.special else map(known.__getitem__, self.pieces), initial=0))
+        self.total = self.before[-1]
+
+    @cached_property
+    def starts(self) -> list[int]:
+        return list(accumulate(map(len, self.pieces), initial=0))
+
+    def _within(self, start: int, end: int) -> list[int]:
+        """The prefix counts of a stretch that is one piece, counted once."""
+        if (start, end) not in self.inside:
+            self.inside[start, end] = self.bpe.piece_prefixes(self.text[start:end])
+        return self.inside[start, end]
 
     def at(self, chars: int) -> int:
         """Tokens of the first ``chars`` code points, as encoding just those would give."""
-        chars = max(0, min(chars, self.chars))
-        if chars in self.space and chars < self.chars:
-            return sum(self.space[chars])
-        k = bisect_right(self.starts, chars - 1) - 1
-        return self.before[k] + self.inside[k][chars - self.starts[k]] if k >= 0 else 0
+        chars = max(0, min(chars, len(self.text)))
+        k = bisect_right(self.starts, chars) - 1
+        if chars == self.starts[k] and not (k and k < len(self.pieces) and self.text[chars - 1].isspace()):
+            return self.before[k]
+        low = chars
+        while low and self.text[low - 1].isspace():
+            low -= 1
+        if chars - low > 1:  # the run of white space ends here now
+            j = bisect_right(self.starts, low) - 1
+            if self.starts[j] == low and j not in self.special:
+                end = _SPACES.match(self.text, low).end()
+                if end >= chars:
+                    return self.before[j] + self._within(low, end)[chars - low]
+        if chars == self.starts[k]:
+            return self.before[k]
+        if k not in self.special:
+            return self.before[k] + self._within(self.starts[k], self.starts[k + 1])[chars - self.starts[k]]
+        if k and k - 1 not in self.special:  # the beginning of a special token may join the piece before it
+            k -= 1
+        return self.before[k] + self.bpe.of_prefix(self.text[self.starts[k] : chars])
 
     def cut(self, tokens: int) -> int:
-        """The most code points whose tokens, and those of every shorter prefix at a piece border, fit the budget."""
-        k = bisect_right(self.before, tokens) - 1
-        if k < 0:
-            return 0
-        best = self.starts[k]
-        for i, n in enumerate(self.inside[k]):
-            if self.before[k] + n <= tokens:
-                best = max(best, self.starts[k] + i)
-        return best
-
-
-def _piece_prefixes(self: Bpe, piece: str) -> list[int]:
-    """Tokens of the first i code points of a piece."""
-    if regex.fullmatch(r"'(?:ll|ve|re)", piece):
-        return [0, *(self.prefixes_of_text(piece[:i]) for i in (1, 2)), self.prefixes(piece.encode())[-1]]
-    by_byte, at, out = self.prefixes(piece.encode()), 0, [0]
-    for c in piece:
-        at += len(c.encode())
-        out.append(by_byte[at])
-    return out
-
+        """The most code points, up to the end of the first piece that overflows the budget, whose tokens fit it."""
+        if self.total <= tokens:
+            return len(self.text)
+        k = bisect_right(self.before, tokens) - 1  # pieces before k fit
+        k = next((j for j in range(k, len(self.pieces)) if self.before[j + 1] > tokens), k)
+        start, end = self.starts[k], self.starts[k + 1]
+        if k in self.special:
+            return next((c for c in range(end, start, -1) if self.at(c) <= tokens), start)
+        inside = self._within(start, end)
+        fits = next((i for i in range(len(inside) - 1, 1, -1) if self.before[k] + inside[i] <= tokens), 0)
+        return start + (fits or int(self.at(start + 1) <= tokens))
 
-def _prefixes_of_text(self: Bpe, text: str) -> int:
-    return sum(self.prefixes(p.encode())[-1] for p in PIECES.findall(text))
 
-
-Bpe.piece_prefixes, Bpe.prefixes_of_text = _piece_prefixes, _prefixes_of_text
 _loaded: dict[str, Bpe] = {}
 
 
@@ -313,31 +311,29 @@ def load(path: str) -> Bpe:
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row ``doc_id, n_bytes, n_tokens, over_limit`` for whole texts; null counts as empty.
+    """Per row ``doc_id, n_bytes, n_tokens, over_limit, chars_in_limit`` for whole texts.
 
-    A map over the rows: no shuffle, one batch of texts and a bounded memory of pieces at a time.
+    ``chars_in_limit`` is how many code points of the text fit ``limit`` tokens, from its prefix counts. Null counts as empty (0 of
+    all); rows that repeat an id, and those of null id, are counted one by one; an empty table gives an empty one; other columns are
+    not read. A map over the rows: no shuffle, one batch of texts and a bounded memory of pieces at a time.
     """
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = load(vocabulary)
-        for batch in batches:
-            n = np.fromiter(bpe.counts(batch["t"]), np.int64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": n, "over_limit": n > limit})
-
-    text_batches(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("t"))
-    return slim.mapInPandas(count, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    out = prefix_counts(docs, vocabulary, [limit], id_col, text_col)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.col("cuts")[limit].alias("chars_in_limit"))
 
 
 def prefix_counts(docs: DataFrame, vocabulary: str, budgets: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row the code points that fit each budget: ``doc_id, n_tokens, cuts map<int,int>``; no text is encoded twice."""
+    """Per row the code points that fit each budget: ``doc_id, n_bytes, n_tokens, cuts map<int,int>``; no text is encoded twice."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(vocabulary)
         for batch in batches:
-            held = [PrefixCounts(t, bpe) for t in batch["t"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [h.total for h in held], "cuts": [{b: h.cut(b) for b in budgets} for h in held]})
+            n, cuts = np.zeros(len(batch), np.int64), []
+            for i, held in enumerate(bpe.prefix_counts(batch["t"])):
+                n[i] = held.total
+                cuts.append({b: held.cut(b) for b in budgets})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": n, "cuts": cuts})
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
-    return slim.mapInPandas(count, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, cuts map<int,int>")
+    text_batches(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("t"))
+    return slim.mapInPandas(count, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, cuts map<int,int>")

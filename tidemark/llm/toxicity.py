@@ -17,10 +17,11 @@ GRAMS = (3, 4, 5)
 
 @dataclass(frozen=True)
 class Toxicity:
-    """Parameters. ``sample`` labelled rows of each class at most are learnt from, of ``longest`` bytes at most each."""
+    """Parameters. ``sample`` labelled rows of each class at most are learnt from; of a text longer
+    than ``longest`` code points a stretch of so many, at a place its id decides, is learnt from. Scores cover whole texts."""
 
     sample: tuple[int, int] = (3000, 1500)
-    longest: int = 100_000
+    longest: int = 50_000
     window: int = 8
     bits: int = 20
     dim: int = 8
@@ -210,8 +211,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, out, most: dict[int,
         picked = part if picked is None else picked.unionByName(part)
     rows = picked.collect()
     small = docs.sparkSession.createDataFrame(rows, picked.schema)
-    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
-    got = slim.join(F.broadcast(small), "doc_id").orderBy("doc_id", "text", "label").collect() if rows else []
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(small), "doc_id")
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - longest)) + 1
+    excerpt = F.when(F.length("text") > longest, F.substring("text", start.cast("int"), F.lit(longest))).otherwise(F.col("text"))
+    got = slim.withColumn("text", excerpt).orderBy("doc_id", "text", "label").collect() if rows else []
     got = list({r.doc_id: r for r in got}.values())
     return [r.text for r in got], np.array([r.label for r in got], np.int64)
 
@@ -222,9 +225,9 @@ def train(docs: DataFrame, labels: DataFrame, conf: Toxicity = Toxicity()) -> Mo
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
-    """``docs`` with the toxicity of every whole text; null counts as empty, which is never toxic.
+    """``docs`` with the toxicity of every whole text in ``out``; null counts as empty, which is never toxic.
 
-    A map of the rows; the model (2**bits floats) is broadcast.
+    A map of the rows; the model (2**bits floats) is broadcast. A column by the name ``out`` is replaced.
     """
     text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -241,7 +244,9 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, conf: Toxicity = Toxicity()) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``; learnt from labels outside the held-out rows.
 
-    Without labels of both classes the score is 0 (or 1 where all are toxic).
+    Null counts as empty, and an empty text is never toxic. Without labels of both classes the score is 0 (or 1 where all are
+    toxic). Rows that repeat an id are scored one by one, and one of them is learnt from; null ids are scored, never held out nor learnt from.
+    An empty table gives an empty one; other columns are not read.
     """
     scored = score(docs.select("doc_id", "text"), train(docs, labels, conf))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= conf.threshold).cast("int").alias("predicted"))
