@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.text import text_of
+from tidemark.functions.text import clean_name, identity_keys, text_of
 from tidemark.operators.components import connected_components
+from tidemark.tables import materialise
 
 
 def clusters(records: DataFrame, record_id: str, keys: Column) -> DataFrame:
@@ -49,3 +50,16 @@ def light_dedupe(records: DataFrame, name: Column, headline: Column, order: str,
     keyed = records.withColumn("_key", key).withColumn("_unknown", unknown)
     first = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(order))).where("_n = 1")
     return first.orderBy("_unknown", order).limit(most).drop("_n", "_key", "_unknown")
+
+
+def hygiene(records: DataFrame, record_id: str, name: str, profile: str, handle: str, repo: str, fingerprint: Column, keep: Column) -> DataFrame:
+    """Clean, cluster, fold, unite evidence, drop: one row per entity, ``cluster, n_records, n_evidence`` and its name, profile, handle and repo.
+
+    Names are cleaned before keys are made of them; the longest name and the first of each address stay, repeats of a fingerprint
+    count once, and entities that ``keep`` (over the row returned) rejects go, as do those without a name.
+    """
+    cleaned = records.withColumn(name, clean_name(F.col(name)))
+    held = materialise(clusters(cleaned, record_id, identity_keys(*(F.col(c) for c in (profile, handle, repo, name)))))
+    people = folded(held, F.col(record_id), longest=[name], first=[profile, handle, repo])
+    united = held.select("cluster", fingerprint.alias("_f")).distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("n_evidence"))
+    return people.join(united, "cluster").where((F.col(name) != "") & keep)

@@ -32,13 +32,16 @@ def rule_score(persons: DataFrame) -> DataFrame:
     """``persons`` with a column for each term, ``score``, ``action``, ``fit``, ``founder_type``, ``confidence``, ``strengths``, ``risks``, ``thesis`` and ``badges``.
 
     It reads name, location, geography, headline, previous_title, previous_company, experience_years,
-    is_second_time_founder, linkedin_url and signals (source, signal_type, description).
+    is_second_time_founder, linkedin_url and signals (source, signal_type, description and, where like signals stand as one, times).
     A location outside the regions gives 5 and ``pass`` whatever else holds.
     """
+    counted = "times" in persons.schema["signals"].dataType.elementType.names
+    times = (lambda s: s["times"].cast("int")) if counted else (lambda s: F.lit(1))
+    summed = lambda value: F.aggregate(F.transform("signals", value), F.lit(0), lambda a, x: a + x)
     types = F.array_distinct(F.transform("signals", lambda s: F.replace(F.lower(s["signal_type"]), F.lit(" "), F.lit("_"))))
     has = lambda *names: F.arrays_overlap(F.col("types"), F.array(*map(F.lit, names)))
     said = F.lower(F.array_join(F.transform("signals", lambda s: text_of(s["description"])), " "))
-    p = persons.withColumns({"types": types, "n_signals": F.size("signals"), "sources": F.array_sort(F.array_distinct(F.transform("signals", lambda s: s["source"])))})
+    p = persons.withColumns({"types": types, "n_signals": summed(times), "sources": F.array_sort(F.array_distinct(F.transform("signals", lambda s: s["source"])))})
     p = p.withColumns({"said": said, "title": F.trim(text_of(F.col("previous_title"))), "years": F.coalesce(F.col("experience_years").try_cast("int"), F.lit(0))})
     p = p.withColumn("senior", (F.col("title") != "") & is_senior(F.col("title")))
     gazetteer = tuple(w for _, ws in W.REGIONS for w in ws)
@@ -50,7 +53,7 @@ def rule_score(persons: DataFrame) -> DataFrame:
     terms = {
         "t_base": F.lit(22),
         "t_region": F.when(inside, 8).otherwise(0),
-        "t_signals": F.aggregate(F.transform("signals", lambda s: type_weight(s["signal_type"])), F.lit(0), lambda a, x: a + x),
+        "t_signals": summed(lambda s: type_weight(s["signal_type"]) * times(s)),
         "t_second_time": F.when(F.col("is_second_time_founder"), 20).otherwise(0),
         "t_years": ladder(F.col("years"), (15, 15), (10, 10), (7, 5)),
         "t_profile": F.when(text_of(F.col("linkedin_url")) != "", 7).otherwise(0),

@@ -69,11 +69,11 @@ class Views:
 
     @cached_property
     def articles(self) -> DataFrame:
-        """``ord, title, summary, source, lang, url``."""
+        """``ord, title, summary, source, lang, url``: a text's first 80 characters are its title, all the rest its summary."""
         text = F.coalesce("text", F.lit(""))
         return self.raw("documents").select(
-            F.col("doc_id").alias("ord"), F.substring(text, 1, 80).alias("title"), F.substring(text, 81, 300).alias("summary"), "source", "lang",
-            F.when(F.col("doc_id") % 10 == 9, "").otherwise(F.concat(F.lit("https://ex.com/"), F.md5(F.substring(text, 1, 80)))).alias("url"),
+            F.col("doc_id").alias("ord"), F.substring(text, 1, 80).alias("title"), F.expr("substring(coalesce(text, ''), 81)").alias("summary"), "source", "lang",
+            F.when(F.col("doc_id") % 10 == 9, "").otherwise(F.concat(F.lit("https://ex.com/"), F.md5(text))).alias("url"),
         )
 
     @cached_property
@@ -100,8 +100,8 @@ persons AS (
   SELECT c_custkey AS pid, c_name AS name, lower(c_mktsegment) AS sector, n_name AS location, r_name AS region, c_acctbal AS p_score
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 articles AS (
-  SELECT doc_id AS ord, substr(coalesce(text, ''), 1, 80) AS title, substr(coalesce(text, ''), 81, 300) AS summary, source, lang,
-    CASE WHEN doc_id % 10 = 9 THEN '' ELSE 'https://ex.com/' || md5(substr(coalesce(text, ''), 1, 80)) END AS url FROM documents),
+  SELECT doc_id AS ord, substr(coalesce(text, ''), 1, 80) AS title, substr(coalesce(text, ''), 81) AS summary, source, lang,
+    CASE WHEN doc_id % 10 = 9 THEN '' ELSE 'https://ex.com/' || md5(coalesce(text, '')) END AS url FROM documents),
 themes AS (SELECT p_partkey AS part, p_name || ' ' || p_type AS text, p_brand AS brand, p_retailprice AS price FROM part),
 observations AS (SELECT conv_id AS profile, turn AS ord, coalesce(text, '') AS headline, role FROM conversations)
 """

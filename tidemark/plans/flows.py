@@ -71,25 +71,26 @@ _SOURCES, _TYPES = ("linkedin", "news", "github"), {"purchase": ("exec_departure
 
 
 def _profiles(v: Views) -> DataFrame:
-    """Persons with six signals each at most, from the event stream."""
+    """Persons with all their signals from the event stream; like ones stand as one with their number, counted before they shuffle."""
     s = v.signals.withColumn("u", F.element_at(F.split("person_name", " "), 2).cast("long"))
-    first = ranking.top_per_group(s, ["u"], [F.col("id")], 6)
     kind = F.create_map(*(F.lit(x) for k, (t, _) in _TYPES.items() for x in (k, t)))[F.col("signal_type")]
     source = F.when(F.col("u") % 6 == 0, "linkedin").otherwise(choose(F.col("id"), *_SOURCES))
     said = F.when(F.col("signal_type") == "purchase", "left the firm").otherwise("seen")
-    held = first.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("id", source.alias("source"), kind.alias("signal_type"), said.alias("description")))).alias("signals"))
+    like = s.groupBy("u", source.alias("source"), kind.alias("signal_type"), said.alias("description")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"))
+    held = like.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("id", "source", "signal_type", "description", "times"))).alias("signals"))
     u = F.col("u")
     held = held.select(
         "u", cat("User ", u).alias("name"), choose(u, "Mumbai", "Paris", "", "Jakarta").alias("location"), choose(u, "Founder, stealth", "Building at Grab", "clerk").alias("headline"),
         choose(u, "CTO", "", "Analyst").alias("previous_title"), choose(u, "Swiggy", "Acme").alias("previous_company"), (u % 20).cast("string").alias("experience_years"),
-        (u % 11 == 0).alias("is_second_time_founder"), F.when(u % 3 == 0, "https://www.linkedin.com/in/x").otherwise("").alias("linkedin_url"), F.slice("signals", 1, (u % 6 + 1).cast("int")).alias("signals"),
+        (u % 11 == 0).alias("is_second_time_founder"), F.when(u % 3 == 0, "https://www.linkedin.com/in/x").otherwise("").alias("linkedin_url"), "signals",
     )
     return held.withColumn("geography", T.geography(F.col("location"), F.lit(""), F.lit(""), {"none": ["zzzz"]}))
 
 
 _W = " ".join(f"WHEN '{k}' THEN {w}" for k, (_, w) in _TYPES.items())
-_SCORED = f"""e AS (SELECT event_id AS id, user_id AS u, event_type AS k, CASE WHEN user_id % 6 = 0 THEN 'linkedin' ELSE {list(_SOURCES)}[event_id % 3 + 1] END AS source, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-  g AS (SELECT u, count(*) AS c, sum(CASE k {_W} END) AS w, count(DISTINCT source) AS ns, bool_or(k = 'purchase') AS gone, list_sort(list_distinct(list(source))) AS src FROM e WHERE n <= u % 6 + 1 GROUP BY u),
+_NAMED = " ".join(f"WHEN '{k}' THEN '{t}'" for k, (t, _) in _TYPES.items())
+_SCORED = f"""e AS (SELECT event_id AS id, user_id AS u, event_type AS k, CASE WHEN user_id % 6 = 0 THEN 'linkedin' ELSE {list(_SOURCES)}[event_id % 3 + 1] END AS source FROM events),
+  g AS (SELECT u, count(*) AS c, sum(CASE k {_W} END) AS w, count(DISTINCT source) AS ns, bool_or(k = 'purchase') AS gone, list_sort(list_distinct(list(source))) AS src, bool_or(k IN ('purchase', 'signup')) AS act, list_sort(list_distinct(list(CASE k {_NAMED} END))) AS kinds FROM e GROUP BY u),
   t AS (SELECT *, ['CTO', '', 'Analyst'][u % 3 + 1] AS title, u % 20 AS y FROM g),
   s AS (SELECT *, 22 + CASE WHEN u % 4 IN (0, 3) THEN 8 ELSE 0 END + w + CASE WHEN u % 11 = 0 THEN 20 ELSE 0 END + CASE WHEN y >= 15 THEN 15 WHEN y >= 10 THEN 10 WHEN y >= 7 THEN 5 ELSE 0 END
     + CASE WHEN u % 3 = 0 THEN 7 ELSE 0 END + CASE WHEN u % 3 = 0 THEN 10 ELSE 0 END + CASE WHEN u % 2 = 0 OR u % 3 = 1 THEN 8 ELSE 0 END + CASE WHEN u % 3 IN (0, 1) THEN 8 ELSE 0 END + CASE WHEN u % 3 = 0 THEN 6 ELSE 0 END
@@ -106,23 +107,26 @@ def c02_c05_rule_scores(v: Views) -> DataFrame:
     return s.select("u", F.col("score").cast("int").alias("score"), "action", "fit", "founder_type", "confidence")
 
 
-_SAID = """CASE WHEN u % 4 = 1 THEN '' ELSE array_to_string(list_filter([CASE WHEN u % 11 = 0 THEN 'Second-time founder' END, CASE WHEN y >= 10 THEN y || '+ years of experience' END, CASE WHEN u % 3 = 0 THEN 'Senior role: CTO' END], lambda x: x IS NOT NULL), '; ') END"""
+_STRENGTHS = """CASE WHEN u % 4 = 1 THEN '' ELSE coalesce(nullif(array_to_string(list_filter([CASE WHEN u % 11 = 0 THEN 'Second-time founder' END, CASE WHEN y >= 10 THEN y || '+ years of experience' END,
+  CASE WHEN title = 'CTO' THEN 'Senior role: CTO' END, CASE WHEN act THEN 'Active departure / stealth signal' END, CASE WHEN ns >= 2 THEN 'Corroborated across ' || ns || ' sources' END], lambda x: x IS NOT NULL)[1:4], '; '), ''), 'Signal detected from sourcing pipeline') END"""
+_THESIS = """'User ' || u || ' (' || CASE WHEN title <> '' THEN 'ex-' || title || ' at ' ELSE 'ex-' END || ['Swiggy', 'Acme'][u % 2 + 1] || ')' || CASE WHEN action = 'investigate' THEN ' is a strong early lead.' WHEN action = 'watchlist' THEN ' is worth watching.'
+  ELSE ' has too little evidence so far.' END || ' Signals: ' || replace(array_to_string(kinds[1:3], ', '), '_', ' ') || '.'"""
 
 
-@query(f"""WITH {_SCORED} SELECT u, {_SAID} AS first_strengths, CASE WHEN u % 4 = 1 THEN 'Location outside the regions' ELSE array_to_string(list_filter([CASE WHEN c < 2 THEN 'Single signal — needs corroboration' END, CASE WHEN y < 7 THEN 'Limited experience (<7 yrs)' END,
+@query(f"""WITH {_SCORED} SELECT u, {_STRENGTHS} AS strengths, CASE WHEN u % 4 = 1 THEN 'Location outside the regions' ELSE array_to_string(list_filter([CASE WHEN c < 2 THEN 'Single signal — needs corroboration' END, CASE WHEN y < 7 THEN 'Limited experience (<7 yrs)' END,
   CASE WHEN u % 4 = 2 THEN 'Geography unconfirmed' END, CASE WHEN title = '' THEN 'Previous role unclear' END, CASE WHEN c >= 2 AND y >= 7 AND u % 4 <> 2 AND title <> '' THEN 'Early stage — limited public information' END], lambda x: x IS NOT NULL)[1:3], '; ') END AS risks FROM scored""")
 def c06_strengths_and_risks(v: Views) -> DataFrame:
     s = scoring.rule_score(_profiles(v))
-    personal = F.filter("strengths", lambda x: x.startswith("Second") | x.endswith("experience") | x.startswith("Senior"))
-    return s.select("u", F.array_join(personal, "; ").alias("first_strengths"), F.array_join("risks", "; ").alias("risks"))
+    return s.select("u", F.array_join("strengths", "; ").alias("strengths"), F.array_join("risks", "; ").alias("risks"))
 
 
 @query(f"""WITH {_SCORED} SELECT u, array_to_string(list_filter([CASE WHEN u % 11 = 0 THEN '2x founder' END, CASE WHEN u % 2 = 0 OR u % 3 = 1 THEN 'Ex-unicorn/top co' END, CASE WHEN y >= 10 THEN y || 'y operator' END,
-  CASE WHEN ns >= 2 THEN 'Multi-source' END, CASE WHEN u % 3 = 0 THEN 'Ex-CTO' END], lambda x: x IS NOT NULL)[1:5], '; ') AS badges, action, CASE WHEN u % 5 = 0 AND action = 'investigate' THEN 'watchlist' ELSE action END AS after_stage FROM scored""")
+  CASE WHEN ns >= 2 THEN 'Multi-source' END, CASE WHEN u % 3 = 0 THEN 'Ex-CTO' END], lambda x: x IS NOT NULL)[1:5], '; ') AS badges, u % 2 = 0 AND true AS schooled, {_THESIS} AS thesis, CASE WHEN u % 5 = 0 AND action = 'investigate' THEN 'later-stage company' ELSE '' END AS reason, action, CASE WHEN u % 5 = 0 AND action = 'investigate' THEN 'watchlist' ELSE action END AS after_stage FROM scored""")
 def c07_c08_c09_badges_and_demotion(v: Views) -> DataFrame:
     s = scoring.rule_score(_profiles(v)).withColumn("stage", F.when(F.col("u") % 5 == 0, "later_stage").otherwise("seed_stage"))
     d = scoring.demoted(s.withColumn("after_stage", F.col("action")), "after_stage", "stage")
-    return d.select("u", F.array_join("badges", "; ").alias("badges"), "action", "after_stage")
+    schooled = scoring.with_education_badge(F.col("badges"), F.when(F.col("u") % 2 == 0, "IIT"))
+    return d.select("u", F.array_join("badges", "; ").alias("badges"), (F.array_position(schooled, "IIT") == F.size("badges") + 1).alias("schooled"), "thesis", "reason", "action", "after_stage")
 
 
 @query(f"""WITH {_SCORED}, b AS (SELECT u, CASE WHEN u % 7 = 0 THEN 77 ELSE score END::INT AS score FROM scored) SELECT u, score FROM b WHERE score >= 45""")
@@ -139,13 +143,13 @@ def k02_digest(v: Views) -> DataFrame:
     return lines.select("ord", F.col("line").startswith("##").alias("has_section"), name.alias("name"))
 
 
-@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) SELECT user_id AS u, least(8, count(*)) AS n_signals, min(event_id) AS first FROM e WHERE n <= 12 GROUP BY user_id""")
+@query("""SELECT user_id AS u, least(8, count(*)) AS n_signals, array_to_string((list(event_id || ':src' || (user_id % 5) ORDER BY event_id))[1:8], ' ') AS held FROM events GROUP BY user_id""")
 def k01_dashboard_json(v: Views) -> DataFrame:
-    s = ranking.top_per_group(v.signals, ["person_name"], [F.col("id")], 12)
+    s = ranking.top_per_group(v.signals, ["person_name"], [F.col("id")], 8)  # the export holds eight
     p = s.groupBy("person_name").agg(F.array_sort(F.collect_list(F.struct("id", "source"))).alias("signals"))
     j = sinks.dashboard_json(p, "person_name")
     got = F.from_json("json", "signals array<struct<id:long,source:string>>")["signals"]
-    return j.select(F.element_at(F.split("person_name", " "), 2).cast("long").alias("u"), F.size(got).cast("long").alias("n_signals"), got[0]["id"].alias("first"))
+    return j.select(F.element_at(F.split("person_name", " "), 2).cast("long").alias("u"), F.size(got).cast("long").alias("n_signals"), F.array_join(F.transform(got, lambda x: F.concat_ws(":", x["id"], x["source"])), " ").alias("held"))
 
 
 @query("""SELECT pid, lower(sector) AS sector, CASE WHEN pid % 2 = 0 THEN 'b' ELSE 'a' END AS win, p_score FROM persons WHERE pid % 2 = 0 UNION ALL SELECT pid, sector, 'a', p_score + 1 FROM persons WHERE pid % 2 = 1""")
@@ -178,3 +182,24 @@ def t04_ledger_from_nothing(v: Views) -> DataFrame:
     s = v.signals.select(F.concat("source", "signal_type").alias("key"), F.col("detected_at").cast("date").alias("day"))
     none = s.where("false").select("key", F.col("day").alias("first_seen"), F.col("day").alias("last_seen"), F.lit(0).cast("long").alias("times"))
     return state.merge_ledger(none, s, "key", "day").select("key", "first_seen", "times")
+
+
+@query("""WITH r AS (SELECT *, 'User ' || translate(split_part(person_name, ' ', 2), '0123456789', 'abcdefghij') AS name FROM signals WHERE person_name IS NOT NULL)
+  SELECT min(id) AS cluster, count(*) AS n_records, count(DISTINCT signal_type || '|' || lower(url)) AS n_evidence, name, max(person_linkedin) AS person_linkedin FROM r GROUP BY name HAVING count(*) >= 2""")
+def g04_hygiene_pass(v: Views) -> DataFrame:
+    """Every signal as a record with a scraped name: cleaned, clustered by profile and name, folded, evidence united, entities seen once dropped."""
+    who = F.translate(F.element_at(F.split("person_name", " "), 2), "0123456789", "abcdefghij")
+    r = v.signals.select("id", "source", "signal_type", "url", "description", "person_linkedin", cat("User ", who, F.when(F.col("id") % 3 == 0, " 14 ☀").otherwise("")).alias("name"), F.lit("").alias("handle"), F.lit("").alias("repo"))
+    mark = T.signal_fingerprint(F.col("source"), F.col("signal_type"), F.col("url"), F.col("description"))
+    out = resolve.hygiene(r, "id", "name", "person_linkedin", "handle", "repo", mark, F.col("n_records") >= 2)
+    return out.select("cluster", "n_records", "n_evidence", "name", "person_linkedin")
+
+
+@query(f"""WITH {_SCORED}, o AS (SELECT u, action, score, row_number() OVER (ORDER BY NOT EXISTS (SELECT 1 FROM events v WHERE v.user_id = scored.u AND v.ts >= TIMESTAMP '{AS_OF}' - INTERVAL 2 DAY),
+  CASE action WHEN 'investigate' THEN 0 WHEN 'watchlist' THEN 1 ELSE 2 END, score DESC, u) AS place FROM scored) SELECT u, action, score::INT AS score, place, place <= 20 AS top FROM o""")
+def w08_report_order(v: Views) -> DataFrame:
+    """The report's order over all persons: new evidence first, then action, then score; the first twenty stand above."""
+    recent = v.signals.where(gates.within(F.col("detected_at"), AS_OF, 2)).select(F.element_at(F.split("person_name", " "), 2).cast("long").alias("u")).distinct().withColumn("new", F.lit(True))
+    s = scoring.rule_score(_profiles(v)).select("u", "action", "score").join(recent, "u", "left")
+    placed = ranking.report_rank(s, F.coalesce("new", F.lit(False)), F.col("action"), F.col("score"), "u", 20)
+    return placed.select("u", "action", F.col("score").cast("int").alias("score"), F.col("place").cast("long").alias("place"), "top")

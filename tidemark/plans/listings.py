@@ -69,13 +69,13 @@ def j06_portfolio_matches(v: Views) -> DataFrame:
     return top.select("brand", "n_matches", F.array_join("shown", ",").alias("shown"))
 
 
-@query("""WITH old AS (SELECT ord, source, url FROM articles WHERE ord % 3 = 0 AND url <> '' AND ord < 60), new AS (SELECT ord, source, url FROM articles WHERE ord % 2 = 0 AND url <> ''),
+@query("""WITH old AS (SELECT ord, source, url FROM articles WHERE lang = 'en' AND url <> ''), new AS (SELECT ord, source, url FROM articles WHERE url <> ''),
   both_ AS (SELECT *, 0 AS f FROM old UNION ALL SELECT n.*, 1 FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.source = n.source AND o.url = n.url)),
   placed AS (SELECT ord AS article, source, url, row_number() OVER (PARTITION BY source ORDER BY f, ord) AS ord FROM both_)
   SELECT * FROM placed WHERE ord <= 6""")
 def j07_append_new_links(v: Views) -> DataFrame:
-    a = v.articles.where("url <> ''").select(F.col("ord").alias("article"), "source", "url")
-    return joins.append_new(a.where("article % 3 = 0 and article < 60"), a.where("article % 2 = 0"), "source", "url", "article", 6)
+    a = v.articles.where("url <> ''").select(F.col("ord").alias("article"), "source", "url", "lang")
+    return joins.append_new(a.where("lang = 'en'").drop("lang"), a.drop("lang"), "source", "url", "article", 6)
 
 
 @query("""WITH k AS (SELECT person_name, url FROM signals), led AS (SELECT DISTINCT url FROM signals WHERE detected_at < '2024-01-12')
@@ -236,10 +236,10 @@ def w06_candidates_before_scoring(v: Views) -> DataFrame:
     return ranking.ranked(v.persons, order, most=80).select("pid", "place")
 
 
-@query("SELECT pid, row_number() OVER (ORDER BY CASE WHEN p_score >= 6000 THEN 0 ELSE 1 END, p_score DESC, pid) AS place FROM persons WHERE pid % 5 = 0 ORDER BY place LIMIT 10")
+@query("SELECT pid, row_number() OVER (ORDER BY CASE WHEN p_score >= 6000 THEN 0 ELSE 1 END, p_score DESC, pid) AS place FROM persons ORDER BY place LIMIT 10")
 def w07_enrichment_candidates(v: Views) -> DataFrame:
     order = [F.when(F.col("p_score") >= 6000, 0).otherwise(1), F.desc("p_score"), F.col("pid")]
-    return ranking.ranked(v.persons.where("pid % 5 = 0"), order, most=10).select("pid", "place")
+    return ranking.ranked(v.persons, order, most=10).select("pid", "place")
 
 
 @query("SELECT pid, place, place <= 20 AS top FROM (SELECT pid, row_number() OVER (PARTITION BY region ORDER BY p_score DESC, pid) AS place FROM persons)")

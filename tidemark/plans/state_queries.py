@@ -46,10 +46,10 @@ def t04_ledger(v: Views) -> DataFrame:
     return state.merge_ledger(held, s.where("day >= '2024-01-18'"), "key", "day")
 
 
-@query(f"""WITH l AS (SELECT url AS key, CASE WHEN min(id) % 9 = 0 THEN NULL ELSE max(detected_at::DATE) END AS last_seen FROM signals WHERE id % 13 = 0 GROUP BY url)
+@query(f"""WITH l AS (SELECT url AS key, CASE WHEN min(id) % 9 = 0 THEN NULL ELSE max(detected_at::DATE) END AS last_seen FROM signals GROUP BY url)
   SELECT key, last_seen FROM l WHERE last_seen IS NULL OR last_seen >= DATE '{AS_OF[:10]}' - 18 ORDER BY last_seen DESC NULLS FIRST, key LIMIT 150""")
 def t05_expiry(v: Views) -> DataFrame:
-    led = v.signals.where("id % 13 = 0").groupBy(F.col("url").alias("key")).agg(F.when(F.min("id") % 9 != 0, F.max(F.col("detected_at").cast("date"))).alias("last_seen"))
+    led = v.signals.groupBy(F.col("url").alias("key")).agg(F.when(F.min("id") % 9 != 0, F.max(F.col("detected_at").cast("date"))).alias("last_seen"))
     return state.unexpired(led, "last_seen", AS_OF[:10], 18, newest=150, tie="key")
 
 
@@ -69,16 +69,32 @@ def t07_first_within_window(v: Views) -> DataFrame:
 
 @query("SELECT pid, sector, CASE WHEN pid % 10 = 3 AND region = 'ASIA' THEN 'departed' ELSE 'active' END AS status FROM persons WHERE sector <> 'furniture'")
 def t09_conditional_updates(v: Views) -> DataFrame:
-    status = F.when((F.col("pid") % 10 == 3) & (F.col("region") == "ASIA"), "departed").otherwise("active")
-    return v.persons.where("sector <> 'furniture'").select("pid", "sector", status.alias("status"))
-
-
-@query("""WITH t AS (SELECT oid AS id, signal_id, o_linkedin FROM outreach WHERE oid % 50 = 0), links AS (SELECT DISTINCT o_linkedin FROM t WHERE o_linkedin <> ''), sids AS (SELECT DISTINCT signal_id FROM t WHERE signal_id <> 0),
-  f AS (SELECT id AS signal_id, person_linkedin AS o_linkedin FROM signals WHERE id % 20 = 0 AND id NOT IN (SELECT signal_id FROM sids) AND person_linkedin NOT IN (SELECT o_linkedin FROM links))
+    active = v.persons.withColumn("status", F.lit("active"))
+    marked = state.mark(active, (F.col("pid") % 10 == 3) & (F.col("region") == "ASIA"), "status", "departed")
+    left, _ = state.delete_types(marked, "sector", ["furniture"])
+    return left.select("pid", "sector", "status")
+
+
+@query("""SELECT 'departed' AS operation, count(*) FILTER (pid % 10 = 3 AND region = 'ASIA') AS affected FROM persons UNION ALL SELECT 'again', 0
+  UNION ALL SELECT 'reported', count(*) FILTER (signal_type = 'purchase' AND score > 100) FROM signals UNION ALL SELECT 'deleted', count(*) FILTER (sector IN ('furniture', 'machinery')) FROM persons""")
+def t09_affected_counts(v: Views) -> DataFrame:
+    """How many rows each conditional update changes: marking twice changes none the second time."""
+    hit = (F.col("pid") % 10 == 3) & (F.col("region") == "ASIA")
+    once = state.mark(v.persons.withColumn("status", F.lit("active")), hit, "status", "departed")
+    again = state.mark(once.drop("changed"), hit, "status", "departed")
+    ids = v.signals.where("signal_type = 'purchase' and score > 100").select("id")
+    listed = state.mark_listed(v.signals.select("id", F.lit("new").alias("state")), ids, "id", "state", "reported")
+    _, gone = state.delete_types(v.persons, "sector", ["furniture", "machinery"])
+    count = lambda df, name: df.agg(F.count_if("changed").alias("affected")).select(F.lit(name).alias("operation"), "affected")
+    return count(once, "departed").unionByName(count(again, "again")).unionByName(count(listed, "reported")).unionByName(gone.select(F.lit("deleted").alias("operation"), "affected"))
+
+
+@query("""WITH t AS (SELECT oid AS id, signal_id, o_linkedin FROM outreach WHERE created_at < DATE '1995-06-17'), links AS (SELECT DISTINCT o_linkedin FROM t WHERE o_linkedin <> ''), sids AS (SELECT DISTINCT signal_id FROM t WHERE signal_id <> 0),
+  f AS (SELECT id AS signal_id, person_linkedin AS o_linkedin FROM signals WHERE id NOT IN (SELECT signal_id FROM sids) AND person_linkedin NOT IN (SELECT o_linkedin FROM links))
   SELECT id, signal_id, o_linkedin FROM t UNION ALL SELECT (SELECT max(id) FROM t) + row_number() OVER (ORDER BY signal_id), signal_id, o_linkedin FROM f""")
 def t10_insert_if_absent(v: Views) -> DataFrame:
-    t = v.outreach.where("oid % 50 = 0").select(F.col("oid").alias("id"), F.nullif(F.col("signal_id"), F.lit(0)).alias("signal_id"), "o_linkedin")
-    rows = v.signals.where("id % 20 = 0").select(F.col("id").alias("signal_id"), F.col("person_linkedin").alias("o_linkedin"))
+    t = v.outreach.where("created_at < date '1995-06-17'").select(F.col("oid").alias("id"), F.nullif(F.col("signal_id"), F.lit(0)).alias("signal_id"), "o_linkedin")
+    rows = v.signals.select(F.col("id").alias("signal_id"), F.col("person_linkedin").alias("o_linkedin"))
     out = state.insert_absent(t, rows, ["signal_id", "o_linkedin"], "id", "signal_id")
     return out.select("id", F.coalesce("signal_id", F.lit(0)).alias("signal_id"), "o_linkedin")
 
@@ -150,15 +166,23 @@ def t14_running_counts_stream(v: Views) -> DataFrame:
 
     spark, base = v.spark, f"{shared_dir(v.spark)}/stream-{uuid.uuid4().hex}"
     v.themes.select("part", "text").write.parquet(f"{base}/in")
-    name = f"counts_{uuid.uuid4().hex}"
     counts = state.running_counts(spark.readStream.schema("part long, text string").parquet(f"{base}/in"), T.all_labels(F.col("text"), THEMES))
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/marks").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    renew = lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")
+    counts.writeStream.outputMode("complete").foreachBatch(renew).option("checkpointLocation", f"{base}/marks").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("label string, n long").parquet(f"{base}/out")
 
 
-@query("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY url ORDER BY detected_at, id) AS n FROM signals) WHERE n = 1")
+@query("SELECT DISTINCT CASE WHEN id % 4 = 0 THEN source || '|' || signal_type || '|' || person_linkedin ELSE url END AS key FROM signals")
 def t07_first_sightings(v: Views) -> DataFrame:
-    """First signal of each URL: the batch form of the stream that drops repeats within its watermark."""
-    from tidemark.operators.ranking import keep_first
+    """Each signal once within 90 days, by a stream that drops repeats within its watermark; without a URL by source, type and profile."""
+    import uuid
 
-    return keep_first(v.signals, "url", ["detected_at", "id"]).select("id")
+    from tidemark.tables import shared_dir
+
+    spark, base = v.spark, f"{shared_dir(v.spark)}/stream-{uuid.uuid4().hex}"
+    url = F.when(F.col("id") % 4 != 0, F.col("url"))
+    key = state.sighting_key(url, F.col("source"), F.col("signal_type"), F.col("person_linkedin"))
+    v.signals.select(key.alias("key"), F.col("detected_at").cast("timestamp").alias("ts")).write.parquet(f"{base}/in")
+    seen = state.first_sightings(spark.readStream.schema("key string, ts timestamp").parquet(f"{base}/in"), "key", "ts")
+    state.run_available(seen, f"{base}/out", f"{base}/marks")
+    return spark.read.schema("key string, ts timestamp").parquet(f"{base}/out").select("key")

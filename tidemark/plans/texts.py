@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions import gates, text as T
 from tidemark.functions.words import REGIONS
 from tidemark.operators.scoring import percent_change, snippet_score, type_weight
+from tidemark.operators.ranking import top_per_group
 from tidemark.plans.bindings import TONGUES, Views, contains_sql
 from tidemark.plans.registry import query
 from tidemark.sources import landed
@@ -196,7 +197,7 @@ def p32_work_history(v: Views) -> DataFrame:
 @query("""WITH s AS (SELECT *, row_number() OVER (PARTITION BY person_name ORDER BY id) AS n FROM signals)
   SELECT person_name, string_agg('[' || upper(source) || '] ' || signal_type || ': ' || substr(description, 1, 120), chr(10) ORDER BY id) AS block FROM s WHERE n <= 10 GROUP BY person_name""")
 def p35_evidence_block(v: Views) -> DataFrame:
-    held = v.signals.groupBy("person_name").agg(F.array_sort(F.collect_list(F.struct("id", "source", "signal_type", "description"))).alias("signals"))
+    held = top_per_group(v.signals, ["person_name"], [F.col("id")], 10).groupBy("person_name").agg(F.array_sort(F.collect_list(F.struct("id", "source", "signal_type", "description"))).alias("signals"))
     return held.select("person_name", T.evidence_text(F.col("signals")).alias("block"))
 
 
@@ -280,11 +281,11 @@ def s13_trending(v: Views) -> DataFrame:
     return landed.trending(rows, 1200).select(F.col("ord").alias("part"), "brand", "n_stars")
 
 
-@query("SELECT o_orderkey AS symbol, CASE WHEN o_custkey % 10 = 0 THEN 0.0 ELSE abs(round((o_totalprice - o_custkey % 10 * 7001.3::DOUBLE) / (o_custkey % 10 * 7001.3::DOUBLE) * 100, 2)) END AS change_pct FROM orders", plain=True)
+@query("SELECT o_orderkey AS symbol, CASE WHEN o_custkey % 10 = 0 THEN 0.0 ELSE (round((o_totalprice - o_custkey % 10 * 7001.3::DOUBLE) / (o_custkey % 10 * 7001.3::DOUBLE) * 100, 2)) END AS change_pct FROM orders", plain=True)
 def s14_c11_quotes(v: Views) -> DataFrame:
     meta = F.struct(F.col("o_totalprice").alias("regularMarketPrice"), F.lit(None).cast("double").alias("chartPreviousClose"), (F.col("o_custkey") % 10 * 7001.3).cast("double").alias("previousClose"))
     raw = v.raw("orders").select(F.col("o_orderkey").alias("symbol"), F.col("o_orderpriority").alias("geo"), (F.col("o_custkey") % 2 == 0).alias("is_index"), meta.alias("meta"))
-    return landed.quotes(raw).select("symbol", F.abs(F.coalesce("change_pct", percent_change(F.lit(1.0), F.lit(0.0)))).alias("change_pct"))
+    return landed.quotes(raw).select("symbol", F.coalesce("change_pct", percent_change(F.lit(1.0), F.lit(0.0))).alias("change_pct"))
 
 
 @query("""WITH r AS (SELECT pid, ['VP at Grab building something', 'founder and co-founder', 'webinar for founder', 'serial founder, stealth'][pid % 4 + 1] AS t FROM persons)

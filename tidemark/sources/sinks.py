@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tidemark.operators.ranking import numbered
 
 from tidemark.functions.text import text_of
 
@@ -22,7 +24,7 @@ def source_breakdown(signals: DataFrame) -> DataFrame:
 
 def digest(persons: DataFrame, order: Sequence[Column], top: int) -> DataFrame:
     """Digest lines in order: a section for each of the first ``top`` persons, one table line for each other."""
-    ranked = persons.withColumn("ord", F.row_number().over(Window.orderBy(*order)))
+    ranked = numbered(persons, order, "ord")
     bar = F.concat(F.repeat(F.lit("#"), (F.col("score") / 10).cast("int")), F.repeat(F.lit("."), 10 - (F.col("score") / 10).cast("int")))
     head = F.format_string("## %d. %s [%s] %d (%s)", "ord", "name", bar, F.col("score").cast("int"), "action")
     more = F.concat_ws("\n", head, F.concat(F.lit("+ "), F.array_join(F.slice("strengths", 1, 3), "; ")), F.concat(F.lit("- "), F.array_join(F.slice("risks", 1, 2), "; ")))

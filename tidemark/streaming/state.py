@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.operators.ranking import numbered
 from tidemark.functions.text import headline_key, text_of
 from tidemark.operators.ranking import keep_first
 
@@ -57,11 +59,41 @@ def upsert(held: DataFrame, rows: DataFrame, key: str, keep: Sequence[str] = (),
     return both.select(F.coalesce(held[key], F.col("_key")).alias(key), *(F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) for c in keep), *(F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) for c in overwrite))
 
 
+def sighting_key(url: Column, source: Column, kind: Column, profile: Column) -> Column:
+    """What makes two signals the same: the URL, or where there is none source, type and profile."""
+    return F.when(F.trim(text_of(url)) != "", url).otherwise(F.concat_ws("|", text_of(source), text_of(kind), text_of(profile)))
+
+
 def exists_within(rows: DataFrame, held: DataFrame, keys: Sequence[str], ts: str, days: int) -> DataFrame:
-    """``rows`` that the held signals do not already have within ``days`` before them."""
-    old = held.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(ts).alias("_ts"))
-    same = [rows[k] == old[f"_{k}"] for k in keys]
-    return rows.join(old, [*same, old["_ts"] < rows[ts], old["_ts"] >= rows[ts] - F.make_dt_interval(F.lit(days))], "left_anti")
+    """``rows`` that the held signals do not already have within ``days`` before them; a null key or time is never had.
+
+    Both meet in one order per key, and each row looks at the last held one before it: a key with many signals costs a sort, not pairs.
+    """
+    old = held.select(*keys, ts, F.lit(1).alias("_old"))
+    both = rows.withColumn("_old", F.lit(0)).unionByName(old, allowMissingColumns=True)
+    before = Window.partitionBy(*keys).orderBy(ts, "_old").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("_old") == 1, F.col(ts))).over(before)
+    whole = reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.lit(True))
+    had = F.coalesce(whole & (F.col("_last") >= F.col(ts) - F.make_dt_interval(F.lit(days))), F.lit(False))
+    return both.withColumn("_last", last).where((F.col("_old") == 0) & ~had).select(*rows.columns)
+
+
+def mark(table: DataFrame, hit: Column, column: str, value: str) -> DataFrame:
+    """``column`` set to ``value`` where ``hit`` holds and it has another one, with ``changed``: a second run changes nothing."""
+    changed = F.coalesce(hit, F.lit(False)) & ~F.col(column).eqNullSafe(F.lit(value))
+    return table.withColumn("changed", changed).withColumn(column, F.when(F.col("changed"), value).otherwise(F.col(column)))
+
+
+def mark_listed(table: DataFrame, ids: DataFrame, row_id: str, column: str, value: str) -> DataFrame:
+    """The same for the rows whose id is in the first column of ``ids``."""
+    listed = ids.select(F.col(ids.columns[0]).alias("_id")).distinct().withColumn("_hit", F.lit(True))
+    return mark(table.join(listed, table[row_id] == listed["_id"], "left"), F.col("_hit"), column, value).drop("_id", "_hit")
+
+
+def delete_types(table: DataFrame, column: str, kinds: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows left without those of ``kinds``, and one row with how many went; a null type stays."""
+    gone = F.coalesce(F.col(column).isin(*kinds), F.lit(False))
+    return table.where(~gone), table.where(gone).agg(F.count(F.lit(1)).alias("affected"))
 
 
 def insert_absent(table: DataFrame, rows: DataFrame, keys: Sequence[str], row_id: str, order: str) -> DataFrame:
@@ -71,7 +103,8 @@ def insert_absent(table: DataFrame, rows: DataFrame, keys: Sequence[str], row_id
         have = table.where(text_of(F.col(k).cast("string")) != "").select(k).distinct()
         fresh = fresh.join(have, k, "left_anti")
     top = table.agg(F.coalesce(F.max(row_id), F.lit(0))).first()[0]
-    return table.unionByName(fresh.withColumn(row_id, F.row_number().over(Window.orderBy(order)) + F.lit(top)), allowMissingColumns=True)
+    placed = numbered(fresh, [order], "_n")
+    return table.unionByName(placed.withColumn(row_id, F.col("_n") + F.lit(top)).drop("_n"), allowMissingColumns=True)
 
 
 def apply_transitions(table: DataFrame, events: DataFrame, row_id: str, stages: Sequence[str], legacy: dict[str, str], order: str) -> DataFrame:
@@ -141,8 +174,8 @@ def progressive(baseline: DataFrame, enriched: DataFrame, by: str, value: str) -
     """The baseline where no enriched value has arrived yet, and how much of it has."""
     both = baseline.join(enriched.select(by, F.col(value).alias("_new")), by, "left")
     done = both.withColumns({"final": F.coalesce("_new", value), "arrived": F.col("_new").isNotNull()})
-    share = F.round(100 * F.avg(F.col("arrived").cast("int")).over(Window.partitionBy()), 1)
-    return done.select(by, F.col("final").alias(value), "arrived", share.alias("progress_pct"))
+    share = done.agg(F.round(100 * F.avg(F.col("arrived").cast("int")), 1)).first()[0]  # one number
+    return done.select(by, F.col("final").alias(value), "arrived", F.lit(share).cast("double").alias("progress_pct"))
 
 
 def run_available(frame: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
