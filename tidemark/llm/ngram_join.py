@@ -8,11 +8,13 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm import counters
 from tidemark.llm.hashing import shingle_sets, slices
-from tidemark.llm.members import maybe_members, without
+from tidemark.llm.memory import released
+from tidemark.llm.members import IdFilter, survivors, without
 from tidemark.operators.components import connected_components
 from tidemark.tables import materialise, text_batches
 
@@ -61,7 +63,7 @@ def _summaries(docs: DataFrame, join: Join) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(join.slots, np.uint32)
-        for batch in batches:
+        for batch in released(batches):
             size, one, two, slot = [], [], [], []
             for _, run in slices(batch["text"].tolist()):
                 sets = shingle_sets(run, join.width)
@@ -90,17 +92,16 @@ def _matches(load: np.ndarray, n: int, overlap: int, join: Join) -> int:
     return int(m[np.argmin(m + postings + join.verify * n * postings / m)])
 
 
-def _postings(docs: DataFrame, seen: np.ndarray, join: Join) -> DataFrame:
+def _postings(docs: DataFrame, seen: Broadcast, usual: float, join: Join, but: IdFilter | None = None) -> DataFrame:
     """``token, salt, salts, doc_id, matches, short`` for the prefix of every set; ``short`` marks the part that
-    suffices against sets that are not smaller. Long lists are dealt by ``salt`` in ``salts`` parts.
+    suffices against sets that are not smaller. Long lists are dealt by ``salt`` in ``salts`` parts. Documents that pass ``but`` are left out.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(seen)
     shift = np.uint64(64 - (join.slots - 1).bit_length())
-    usual = float(np.median(seen))
-
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = sent.value
-        for batch in batches:
+        counts = seen.value
+        for batch in released(batches):
+            if but is not None:
+                batch = batch[~but(batch["doc_id"].to_numpy())]
             ids = batch["doc_id"].to_numpy()
             for first, run in slices(batch["text"].tolist()):
                 out: list[tuple[np.ndarray, ...]] = []
@@ -145,10 +146,11 @@ def _post(docs: DataFrame, join: Join) -> _Posted:
     rows = materialise(rows.join(classes, ["n", "one", "two"], "left").select("doc_id", "n", "class_id"))
     sizes = rows.where("doc_id = class_id").select("doc_id", "n").distinct()
     copies = materialise(rows.where("doc_id <> class_id").select("doc_id"))
-    docs = without(docs.where("doc_id is not null"), "doc_id", copies)
-
+    docs = docs.where("doc_id is not null")
     in_list = Window.partitionBy("token", "salt").orderBy("doc_id")
-    lists = _postings(docs, seen, join).repartition("token", "salt")
+    sent, usual, copy = docs.sparkSession.sparkContext.broadcast(seen), float(np.median(seen)), IdFilter(copies)
+    lists = _postings(docs, sent, usual, join, copy).unionByName(_postings(survivors(docs, "doc_id", copies, copy), sent, usual, join))
+    lists = lists.repartition("token", "salt")
     lists = lists.withColumns({"before": F.lag("doc_id").over(in_list), "next": F.lead("doc_id").over(in_list)})
     lists = lists.where("next is not null or before is not null or salts > 1")
     lists = lists.select("token", "doc_id", "matches", "short", F.col("doc_id").alias("component"))
@@ -157,16 +159,17 @@ def _post(docs: DataFrame, join: Join) -> _Posted:
 
 def _sets(docs: DataFrame, ids: DataFrame, join: Join) -> DataFrame:
     """``id, tokens`` of the documents among ``ids``, read again; a few others may come along."""
-    some = maybe_members(docs, "doc_id", ids, out="maybe").where("maybe").select("doc_id", "text")
+    wanted = IdFilter(ids)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in released(batches):
+            batch = batch[wanted(batch["doc_id"].to_numpy())]
             ids = batch["doc_id"].to_numpy()
             for first, run in slices(batch["text"].tolist()):
                 sets = shingle_sets(run, join.width)
                 yield pd.DataFrame({"id": ids[first : first + len(sets)], "tokens": [s.view(np.int64) for s in sets]})
 
-    return some.mapInPandas(read, "id long, tokens array<long>")
+    return docs.mapInPandas(read, "id long, tokens array<long>")
 
 
 def _links_in_unit(ids: np.ndarray, tokens: np.ndarray, inner: int, join: Join) -> Iterator[tuple[int, int]]:
@@ -206,7 +209,7 @@ def _linked(inner: DataFrame, outer: DataFrame, docs: DataFrame, join: Join) ->
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
-        for batch in chain(batches, [None]):
+        for batch in chain(released(batches), [None]):
             if batch is not None:
                 rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             if rest is None or not len(rest):

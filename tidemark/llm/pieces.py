@@ -9,15 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.hashing import Spans, mix, slices
+from tidemark.llm.memory import released
 from tidemark.llm.token_counts import Lookup
 from tidemark.tables import text_batches
 
 #: Bytes by which longer pieces are sought only where their beginning fits.
 STEM = 6
 #: Bytes of texts that are sampled at once.
-RUN = 1 << 18
+RUN = 1 << 16
 #: Arcs of chunk lattices that a Python worker remembers (about 16 bytes each); when there are more it starts anew.
-ARCS = 1 << 21
+ARCS = 1 << 20
 
 
 class _Lattices:
@@ -255,7 +256,7 @@ def encode(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0, key_c
     @F.pandas_udf("array<int>")
     def drawn(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         pieces = load(model)
-        for keys, texts in batches:
+        for keys, texts in released(batches):
             hashed, ids = keys.to_numpy().astype(np.int64).view(np.uint64), []
             for first, run in slices(texts.tolist(), RUN):
                 ids += pieces.sample(run, hashed[first : first + len(run)], alpha)
@@ -270,7 +271,7 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out: str = "decode
     @F.pandas_udf("string")
     def spelt(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = load(model)
-        for ids in batches:
+        for ids in released(batches):
             yield pd.Series([None if x is None else pieces.decode(np.asarray(x, np.int64)).decode() for x in ids], dtype=object)
 
     return rows.withColumn(out, spelt(F.col(ids_col)))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.hashing import Spans, _lower, _space, mix, slices
+from tidemark.llm.memory import released
 from tidemark.tables import text_batches
 
 #: The ASCII marks whose shares are features of their own.
@@ -212,7 +213,7 @@ def _features(docs: DataFrame, conf: Quality) -> DataFrame:
 
     @F.pandas_udf("array<double>")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in released(batches):
             yield pd.Series([row for _, run in slices(texts.tolist()) for row in features(run, conf.window)])
 
     return docs.withColumn("features", measured(F.coalesce("text", F.lit("")))).drop("text")
@@ -248,7 +249,7 @@ def quality(docs: DataFrame, labels: DataFrame, conf: Quality = Quality()) -> Da
 
     @F.pandas_udf("double")
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in released(batches):
             parts = [sent.value(features(run, conf.window)) for _, run in slices(texts.tolist())]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.hashing import Spans, _lower, _space, mix, slices
+from tidemark.llm.memory import released
 from tidemark.tables import text_batches
 
 GRAMS = (3, 4, 5)
@@ -235,7 +236,7 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     @F.pandas_udf("double")
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = sent.value
-        for texts in batches:
+        for texts in released(batches):
             yield pd.Series(model(texts.tolist()))
 
     return docs.withColumn(out, probability(F.coalesce("text", F.lit(""))))
