@@ -112,3 +112,19 @@ def test_a_large_source_lands_in_bounded_files(spark):
     rows = spark.range(2500).select(F.col("id").alias("ord"), F.lit("s").alias("source"))
     files = [r.x for r in evidence._files(rows, F.col("ord"), "x").collect()]
     assert max(map(len, files)) <= 1000 and sorted(sum(files, [])) == list(range(2500))
+
+
+def test_exists_within_looks_at_the_last_earlier_signal(spark):
+    from tidemark.streaming import state
+
+    held = spark.sql("select * from values ('a', timestamp '2024-01-01 00:00:00'), ('a', timestamp '2024-01-09 00:00:00'), ('b', timestamp '2024-01-05 00:00:00'), (null, timestamp '2024-01-05 00:00:00') as t(k, ts)")
+    rows = spark.sql("select * from values (1, 'a', timestamp '2024-01-01 00:00:00'), (2, 'a', timestamp '2024-01-02 00:00:00'), (3, 'a', timestamp '2024-01-08 00:00:00'), (4, 'b', timestamp '2024-01-05 00:00:01'), (5, 'c', timestamp '2024-01-05 00:00:00'), (6, null, timestamp '2024-01-06 00:00:00') as t(id, k, ts)")
+    assert sorted(r.id for r in state.exists_within(rows, held, ["k"], "ts", 2).collect()) == [1, 3, 5, 6]
+
+
+def test_numbered_equals_one_sort(spark):
+    from tidemark.operators.ranking import numbered
+
+    df = spark.range(500).selectExpr("id", "id * 7919 % 13 as k").repartition(5)
+    got = sorted((r.place, r.k, r.id) for r in numbered(df, ["k", "id"]).collect())
+    assert got == [(i + 1, k, x) for i, (k, x) in enumerate(sorted((i * 7919 % 13, i) for i in range(500)))]

@@ -101,3 +101,24 @@ def test_model_rows_survive_prose_and_bad_indexes(spark):
     raw = [("b", 2, 'Here: [{"idx":0,"person":"A B","event":"departure"},{"idx":5,"person":"C"},{"idx":1,"person":"none","event":""}] ok'), ("c", 2, "no json")]
     rows = landed.extraction_rows(spark.createDataFrame(raw, "batch_id string, batch_size int, raw_text string")).collect()
     assert [(r.idx, r.person) for r in rows] == [(0, "A B"), (1, None)]
+
+
+@pytest.mark.parametrize(
+    ("title", "summary", "name"),
+    [
+        ("Priya Nair quits Acme to start up", "", "Priya Nair"),
+        ("Why Former Acme VP Arjun Mehta is back", "", "Arjun Mehta"),
+        ("Fund led by Zoë O'Neil closes", "", "Zoë O'Neil"),
+        ("Quiet week", "Anita Rao Kulkarni, the co-founder, spoke", "Anita Rao Kulkarni"),
+        ("New Delhi hosts Tech Group", "", "Unknown"),
+        ("Digital India launches", "nothing", "Unknown"),
+        (None, None, "Unknown"),
+    ],
+)
+def test_person_name(spark, title, summary, name):
+    assert one(spark, T.person_name, title, summary) == name
+
+
+@pytest.mark.parametrize(("text", "company"), [("She left Acme Labs today", "Acme Labs"), ("resigned from Grab", "Grab"), ("ex-Swiggy CTO", "Swiggy"), ("Former Acme VP speaks", "Acme"), ("nobody", ""), (None, "")])
+def test_previous_company(spark, text, company):
+    assert one(spark, T.previous_company, text) == company
