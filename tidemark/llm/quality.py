@@ -106,7 +106,7 @@ def features(run: list[bytes], window: int = 64) -> np.ndarray:
     put("distinct_words", np.bincount(of, weights=fresh * many, minlength=len(run)) / n)
     for name, value, sign in (("most_marks", np.bincount(number, weights=noisy) / many, 1), ("most_upper", np.bincount(number, weights=shout) / many, 1), ("least_distinct", fresh, -1)):
         most = np.full(len(run), -np.inf)
-        np.maximum.at(most, of, np.where(many >= min(window, 16), sign * value, -sign * (sign < 0)))
+        np.maximum.at(most, of, np.where(many >= min(window, 16), sign * value, min(sign, 0)))
         put(name, np.where(np.isinf(most), 0, most))
     out[words == 0] = 0
     return out
