@@ -93,8 +93,8 @@ def _matches(load: np.ndarray, n: int, overlap: int, join: Join) -> int:
 
 
 def _postings(docs: DataFrame, seen: Broadcast, usual: float, join: Join, but: IdFilter | None = None) -> DataFrame:
-    """``token, salt, salts, doc_id, matches, short`` for the prefix of every set; ``short`` marks the part that
-    suffices against sets that are not smaller. Long lists are dealt by ``salt`` in ``salts`` parts. Documents that pass ``but`` are left out.
+    """``token, salt, doc_id, matches, place`` for the prefix of every set; ``place`` counts the set's tokens before this one.
+    Long lists are dealt in parts by ``salt``, which is -1 for others. Documents that pass ``but`` are left out.
     """
     shift = np.uint64(64 - (join.slots - 1).bit_length())
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,14 +116,13 @@ def _postings(docs: DataFrame, seen: Broadcast, usual: float, join: Join, but: I
                     m = _matches(load, n, overlap, join)
                     take = order[: n - overlap + m]
                     salts = (load[: len(take)] / join.part).astype(np.int32) + 1
-                    large = -(-2 * n * join.numerator // (join.numerator + join.denominator))
-                    short = np.arange(len(take)) < n - large + m
-                    out.append((tokens[take].view(np.int64), salts, np.full(len(take), doc), np.full(len(take), m, np.int32), short))
+                    salt = np.where(salts > 1, doc % salts, -1).astype(np.int32)
+                    out.append((tokens[take].view(np.int64), salt, np.full(len(take), doc), np.full(len(take), m, np.int32), np.arange(len(take), dtype=np.int32)))
                 if out:
-                    token, salts, doc, m, short = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pd.DataFrame({"token": token, "salt": (doc % salts).astype(np.int32), "salts": salts, "doc_id": doc, "matches": m, "short": short})
+                    token, salt, doc, m, place = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pd.DataFrame({"token": token, "salt": salt, "doc_id": doc, "matches": m, "place": place})
 
-    return docs.mapInPandas(emit, "token long, salt int, salts int, doc_id long, matches int, short boolean")
+    return docs.mapInPandas(emit, "token long, salt int, doc_id long, matches int, place int")
 
 
 @dataclass(frozen=True)
@@ -152,8 +151,8 @@ def _post(docs: DataFrame, join: Join) -> _Posted:
     lists = _postings(docs, sent, usual, join, copy).unionByName(_postings(survivors(docs, "doc_id", copies, copy), sent, usual, join))
     lists = lists.repartition("token", "salt")
     lists = lists.withColumns({"before": F.lag("doc_id").over(in_list), "next": F.lead("doc_id").over(in_list)})
-    lists = lists.where("next is not null or before is not null or salts > 1")
-    lists = lists.select("token", "doc_id", "matches", "short", F.col("doc_id").alias("component"))
+    lists = lists.where("next is not null or before is not null or salt >= 0")
+    lists = lists.select("token", "doc_id", "matches", "place", F.col("doc_id").alias("component"))
     return _Posted(rows, sizes, docs, materialise(lists))
 
 
@@ -250,15 +249,23 @@ def _pairs_of_components(lists: DataFrame, join: Join) -> DataFrame:
     """``component_a, component_b`` where the prefixes of two components share as many tokens as two linked sets of theirs would.
 
     A linked pair shares as many prefix tokens as one of both asks for at least, in the short part of the smaller
-    set's prefix; two components share no fewer tokens than any two of their sets.
+    set's prefix; two components share no fewer tokens than any two of their sets. Each token that a linked pair
+    shares leaves room for its overlap: what both share before it is in lists of several components
+    (``lists`` holds no others), and after it each has only the rest of its set.
     """
-    groups = lists.groupBy("token", "component").agg(F.bool_or("short").alias("short"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("matches").alias("least"))
-    groups = materialise(groups)
-    of = lambda s: groups.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("component", "short", "low", "high", "least")))
+    both = join.numerator + join.denominator
+    large = F.ceil(2 * join.numerator * F.col("n") / both)
+    lists = lists.withColumns({"short": F.col("place") < F.col("n") - large + F.col("matches"), "after": F.col("n") - F.col("place") - 1})
+    lists = lists.withColumn("before", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")).cast("long") - 1)
+    ends = [F.bool_or("short").alias("short"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("matches").alias("least")]
+    groups = materialise(lists.groupBy("token", "component").agg(*ends, F.max("before").alias("before"), F.max("after").alias("after")))
+    of = lambda s: groups.select("token", *(F.col(c).alias(f"{c}_{s}") for c in groups.columns[1:]))
     like = (F.col("low_b") * join.numerator <= F.col("high_a") * join.denominator) & (F.col("low_a") * join.numerator <= F.col("high_b") * join.denominator)
     able = F.when(F.col("low_a") > F.col("high_b"), F.col("short_b")).when(F.col("low_b") > F.col("high_a"), F.col("short_a"))
     able = able.otherwise(F.col("short_a") | F.col("short_b"))
-    met = of("a").join(of("b"), "token").where((F.col("component_a") < F.col("component_b")) & like & able)
+    room = F.least("before_a", "before_b") + 1 + F.least("after_a", "after_b")
+    fits = room * both >= (F.col("low_a") + F.col("low_b")) * join.numerator
+    met = of("a").join(of("b"), "token").where((F.col("component_a") < F.col("component_b")) & like & able & fits)
     met = met.groupBy("component_a", "component_b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("least_a", "least_b")).alias("asked"))
     return materialise(met.where("shared >= asked").select("component_a", "component_b"))
 
