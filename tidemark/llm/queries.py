@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, embeddings, exact_dedup as dedup, mixing, ngram_join as ngrams, pieces, quality as good, secrets, token_counts as counts, toxicity as toxic
+from tidemark.llm import chat, embeddings, exact_dedup as dedup, mixing, ngram_join as ngrams, pieces, phrases, quality as good, secrets, token_counts as counts, toxicity as toxic, urls, whitening
 from tidemark.tables import table
 
 
@@ -70,7 +70,34 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_quality, op3_ngram_join, op4_exact_dedup, op5_sampled_pieces, op6_chat_windows, op7_weighted_mix, op8_secret_scan, op9_toxicity, op10_token_counts)}
+#: Fixed values.
+RULES = (urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/"))
+
+
+def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """``url, bad`` of the pages whose path names a labelled document: bad if that is of low quality or toxic.
+
+    A page shows the document whose id is the last number segment of its path.
+    """
+    ids = F.regexp_extract(urls.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
+    named = pages.select("url").distinct().select("url", F.nullif(ids, F.lit("")).cast("long").alias("doc_id"))
+    return named.join(labels, "doc_id").select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, page_labels(pages, table(spark, sf_dir, "labels")), RULES).drop("url")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_quality, op3_ngram_join, op4_exact_dedup, op5_sampled_pieces, op6_chat_windows, op7_weighted_mix, op8_secret_scan, op9_toxicity, op10_token_counts, op11_url_filter, op12_whitening, op13_collocations)}
 
 SQL = {
     "op1_embedding_near_dedup": """
@@ -162,6 +189,33 @@ SQL = {
                sha256(coalesce(string_agg(span, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256,
                coalesce(string_agg(span, ',' ORDER BY s, k), '') AS spans
         FROM texts t LEFT JOIN found f ON f.r = t.r GROUP BY t.r, t.doc_id""",
+    "op13_collocations": """
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+          FROM documents),
+        said AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+        f AS (
+          SELECT lang, k, phrase, count(*) AS n FROM (
+            SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+            FROM (SELECT lang, w, unnest(range(1, 5)) AS k FROM said) WHERE len(w) >= k)
+          GROUP BY ALL HAVING count(*) >= 30 OR k = 1),
+        candidates AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+        split AS (
+          SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail
+          FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)),
+        cuts AS (
+          SELECT s.lang, s.phrase, s.a, s.cut, l.n AS l, r.n AS r, (2000000::HUGEINT * s.a) // (l.n + r.n) AS score
+          FROM split s JOIN f l ON l.lang = s.lang AND l.phrase = s.head JOIN f r ON r.lang = s.lang AND r.phrase = s.tail),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        inner_ AS (
+          SELECT lang, a, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, k - m + 2)]) AS phrase
+          FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates)),
+        covered AS (SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY ALL),
+        ranked AS (
+          SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+          FROM best b LEFT JOIN covered c ON c.lang = b.lang AND c.phrase = b.phrase WHERE c.most IS NULL OR 100 * c.most < 80 * b.a)
+        SELECT r.lang, rank, phrase, a, l, r.r, t.n, score::BIGINT AS score
+        FROM ranked r JOIN (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang) t ON t.lang = r.lang WHERE rank <= 2000""",
     "op7_weighted_mix": """
         WITH sized AS (
           SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
