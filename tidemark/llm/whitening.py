@@ -51,6 +51,7 @@ def refine(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]
     distance below which two eigenvalues cannot be told apart yet."""
     r = np.eye(len(a), dtype=a.dtype) - x.T @ x
     s = x.T @ (a @ x)
+    r, s = (r + r.T) / 2, (s + s.T) / 2  # else rounding, over small gaps, would spoil orthogonality
     values = np.diag(s) / (1 - np.diag(r))
     off = s - np.diag(values)
     norm = lambda m: float(np.sqrt((m * m).sum()))
@@ -98,7 +99,8 @@ def eigen(a: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
                 break
             x, last = _split_clusters(b, x, values, near), near
     x, values, _ = refine(b, x)
-    x = x / np.sqrt((x * x).sum(axis=0))
+    for _ in range(2):  # a last large turn within a cluster leaves its square
+        x = x + x @ (np.eye(len(x), dtype=x.dtype) - x.T @ x) / 2
     order = np.argsort(-values, kind="stable")
     x, values = x[:, order], values[order] * scale
     sign = np.sign(x[np.abs(x).argmax(axis=0), np.arange(len(x))])
