@@ -400,7 +400,7 @@ def test_toxicity_scores_equal_a_plain_version():
         return int(toxicity.mix(np.array([h], np.uint64))[0] >> np.uint64(64 - conf.bits)) if n else int(np.uint64(h) >> np.uint64(64 - conf.bits))
 
     def plain(text):
-        words = list(dict.fromkeys(w for w in bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode()).split(b" ") if w))
+        words = [w for w in bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode()).split(b" ") if w]
         feats = []
         for w in words:
             own = [bucket(int(toxicity.Spans(np.frombuffer(w, np.uint8)).of(np.array([0]), np.array([len(w)]))[0]))]
@@ -408,9 +408,8 @@ def test_toxicity_scores_equal_a_plain_version():
             for n in toxicity.GRAMS:
                 own += [bucket(int.from_bytes(padded[i : i + n]), n) for i in range(len(padded) - n + 1)]
             feats.append(own)
-        starts = list(range(0, len(words), conf.window))
-        if starts:
-            starts[-1] = max(0, min(starts[-1], len(words) - conf.window))
+        last = max(0, len(words) - conf.window)
+        starts = sorted({min(s, last) for s in range(0, last + conf.window // 2, conf.window // 2)}) if words else []
         means = [np.mean([value[b] for f in feats[s : s + conf.window] for b in f], dtype=np.float64) for s in starts]
         return 1 / (1 + math.exp(-(max(means) + 0.25))) if means else 1 / (1 + math.exp(1.0))
 
@@ -418,6 +417,52 @@ def test_toxicity_scores_equal_a_plain_version():
     assert np.allclose(got, [plain(t) for t in texts], atol=1e-5)
 
 
+def test_toxicity_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(3)
+    table, soft, bias = rng.normal(size=(40, 3)), rng.normal(size=(2, 3)), rng.normal(size=2)
+    n = np.array([3, 1, 7, 4])
+    at, target = rng.integers(0, 40, n.sum()), np.array([0, 1, 1, 0])
+    loss, pull, grad_soft, grad_bias = toxicity.gradient(table, soft, bias, at, n, target)
+    exact = {"table": pull[:, None] * (soft[1] - soft[0]), "soft": grad_soft, "bias": grad_bias}
+    for name, array in (("table", table), ("soft", soft), ("bias", bias)):
+        for place in np.ndindex(array.shape):
+            ends = []
+            for h in (1e-6, -1e-6):
+                array[place] += h
+                ends.append(toxicity.gradient(table, soft, bias, at, n, target)[0])
+                array[place] -= h
+            assert math.isclose((ends[0] - ends[1]) / 2e-6, exact[name][place], rel_tol=1e-5, abs_tol=1e-7)
+    assert loss > 0
+
+
+def test_toxicity_finds_passages_at_any_place_of_texts_of_any_length():
+    rng = random.Random(9)
+    clean = [f"{a}{b}" for a in ("mo", "ti", "re", "la", "su") for b in ("lan", "der", "wit", "por", "nes", "kal")]
+    vile = [f"grob{x}" for x in ("ling", "bler", "nak", "fitz")]
+
+    def text(words, place):
+        out = [rng.choice(clean) for _ in range(words)]
+        if place is not None:
+            out[int(place * (words - 8)) : int(place * (words - 8)) + 8] = [rng.choice(vile + clean[:3]) for _ in range(5)] + [rng.choice(vile) for _ in range(3)]
+        return " ".join(out)
+
+    lengths = (10, 60, 400, 3000)
+    texts = [text(rng.choice(lengths), rng.random() if i % 3 == 0 else None) for i in range(420)]
+    model = toxicity.fit(texts, np.array([i % 3 == 0 for i in range(420)]).astype(int), toxicity.Toxicity(bits=14))
+    for words in (*lengths, 12_000):
+        for place in (0, 0.31, 0.5, 0.77, 1):
+            assert (model([text(words, place) for _ in range(8)]) >= 0.5).mean() >= 0.85, (words, place)
+        assert (model([text(words, None) for _ in range(20)]) >= 0.5).mean() <= 0.1, words
+
+
+def test_toxicity_learns_from_whole_texts_within_a_bound(spark):
+    rows = [(i, "w" * (1000 if i == 3 else 10)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    texts, marks = toxicity.sample(docs, labels, "toxic", lambda c: F.lit(False), {0: 5, 1: 5}, 75)
+    assert sorted(map(len, texts)) == [10] * 7 and abs(int(marks.sum()) * 2 - 7) == 1
+
+
 def test_held_out_accuracy_on_the_table(spark):
     """Few labels here: quality was measured at 84 of 94 held-out rows right (5089 of 5099 on check_s)."""
     folder = "/root/testdata/sf0.01"

@@ -18,11 +18,11 @@ GRAMS = (3, 4, 5)
 
 @dataclass(frozen=True)
 class Toxicity:
-    """Parameters. ``sample`` labelled rows of each class at most are learnt from; of a text longer
-    than ``longest`` code points a stretch of so many, at a place its id decides, is learnt from. Scores cover whole texts."""
+    """Parameters. ``sample`` labelled rows of each class at most are learnt from, in an order their ids decide and with whole texts, of
+    ``most_bytes`` in all: a row whose text no longer fits is passed over. Scores cover whole texts."""
 
     sample: tuple[int, int] = (3000, 1500)
-    longest: int = 50_000
+    most_bytes: int = 16_000_000
     window: int = 8
     bits: int = 20
     dim: int = 8
@@ -37,56 +37,67 @@ class Toxicity:
 
 
 class Bags:
-    """The subword features of the distinct words of each text: bucket numbers by byte, and the bytes of every window of words."""
+    """The words of some texts as they stand, the features of each distinct one, and windows of words at half their length's stride.
 
-    def __init__(self, run: list[bytes], conf: Toxicity):
+    ``feats[first[u]:first[u + 1]]`` are the buckets of distinct word ``u``, ``word`` numbers every occurrence's, and window ``k``
+    covers ``word[low[k]:high[k]]`` of text ``text[k]``; the last window of a text ends with it.
+    """
+
+    def __init__(self, feats: np.ndarray, first: np.ndarray, word: np.ndarray, low: np.ndarray, high: np.ndarray, text: np.ndarray):
+        self.feats, self.first, self.word, self.low, self.high, self.text = feats, first, word, low, high, text
+
+    @classmethod
+    def read(cls, run: list[bytes], conf: Toxicity) -> Bags:
         data = _lower[np.frombuffer(b"\n".join(run) + b"\n", np.uint8)]
         space = _space[data]
         start = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
         end = np.flatnonzero(space & ~np.concatenate(([True], space[:-1])))
         text = np.searchsorted(np.cumsum([len(x) + 1 for x in run]), start, side="right")
-        words = Spans(data).of(start, end)
-        once = np.sort(np.unique(words ^ mix(text.astype(np.uint64)), return_index=True)[1])  # a text's repeated words count once
-        start, end, text, words = start[once], end[once], text[once], words[once]
+        words, once, word = np.unique(Spans(data).of(start, end), return_index=True, return_inverse=True)
+        windows = _windows(np.searchsorted(text, np.arange(len(run) + 1)), conf.window)
+        start, end = start[once], end[once]
         size = end - start + 1
         word_start = np.cumsum(size) - size + 1
         total = int(size.sum())
-        self.data = np.full(total + 1, 32, np.uint8)
+        own = np.full(total + 1, 32, np.uint8)
         source = np.arange(total) + np.repeat(start - word_start + 1, size)
-        self.data[1:] = np.where(np.arange(total) == np.repeat(word_start + size - 2, size), 32, data[source])
-        space = self.data == 32
-        first = np.searchsorted(text, np.arange(len(run) + 1))
+        own[1:] = np.where(np.arange(total) == np.repeat(word_start + size - 2, size), 32, data[source])
+        space = own == 32
         shift = np.uint64(64 - conf.bits)
-        self.buckets = np.full((len(self.data), 1 + len(GRAMS)), -1, np.int32)
-        self.buckets[word_start, 0] = (words >> shift).astype(np.int32)
-        code, inside = np.zeros(len(self.data), np.uint64), np.zeros(len(self.data), bool)
+        buckets = np.full((len(own), 1 + len(GRAMS)), -1, np.int32)
+        buckets[word_start, 0] = (words >> shift).astype(np.int32)
+        code, inside = np.zeros(len(own), np.uint64), np.zeros(len(own), bool)
         for n in range(1, max(GRAMS) + 1):
-            size = len(self.data) - n + 1
+            size = len(own) - n + 1
             if size <= 0:
                 break
-            code = (code[:size] << np.uint64(8)) | self.data[n - 1 :].astype(np.uint64)
+            code = (code[:size] << np.uint64(8)) | own[n - 1 :].astype(np.uint64)
             inside = inside[:size] | space[n - 2 : n - 2 + size] if n > 2 else np.zeros(size, bool)
             if n in GRAMS:
-                self.buckets[:size, 1 + GRAMS.index(n)] = np.where(inside, -1, (mix(code + np.uint64(n)) >> shift).astype(np.int32))
-        bounds = np.concatenate((word_start - 1, [len(self.data) - 1]))
-        lows, highs, owners = [], [], []
-        for i, (s, e) in enumerate(zip(first[:-1], first[1:], strict=True)):
-            if e > s:
-                starts = np.arange(s, e, conf.window)
-                starts[-1] = max(s, min(starts[-1], e - conf.window))
-                lows.append(starts)
-                highs.append(np.minimum(starts + conf.window, e))
-                owners.append(np.full(len(starts), i))
-        none = np.zeros(0, np.int64)
-        self.low, self.high = bounds[np.concatenate([none, *lows])], bounds[np.concatenate([none, *highs])]
-        self.text = np.concatenate([none, *owners])
+                buckets[:size, 1 + GRAMS.index(n)] = np.where(inside, -1, (mix(code + np.uint64(n)) >> shift).astype(np.int32))
+        used = buckets >= 0
+        first = np.concatenate(([0], np.cumsum(used.sum(axis=1))))[np.concatenate((word_start - 1, [len(own) - 1]))]
+        return cls(buckets[used], first, word, *windows)
 
     def scores(self, value: np.ndarray) -> np.ndarray:
         """The mean value of each window's features."""
-        used = self.buckets >= 0
-        sums = np.concatenate(([0.0], np.cumsum(np.where(used, value[self.buckets], 0).sum(axis=1, dtype=np.float64))))
-        counts = np.concatenate(([0], np.cumsum(used.sum(axis=1))))
-        return (sums[self.high] - sums[self.low]) / np.maximum(1, counts[self.high] - counts[self.low])
+        if not len(self.low):
+            return np.zeros(0)
+        of_word = np.add.reduceat(value[self.feats], self.first[:-1], dtype=np.float64)
+        sums = np.concatenate(([0.0], np.cumsum(of_word[self.word])))
+        counts = np.concatenate(([0], np.cumsum(np.diff(self.first)[self.word])))
+        return (sums[self.high] - sums[self.low]) / (counts[self.high] - counts[self.low])
+
+
+def _windows(bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last word, and text, of every window over texts whose words begin at ``bounds``."""
+    stride = max(1, window // 2)
+    n = np.diff(bounds)
+    many = np.where(n > window, 1 - (window - n) // stride, np.minimum(n, 1))
+    text = np.repeat(np.arange(len(n)), many)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    low = bounds[text] + np.minimum(k * stride, np.maximum(0, n[text] - window))
+    return low, np.minimum(low + window, bounds[text + 1]), text
 
 
 @dataclass(frozen=True)
@@ -101,7 +112,7 @@ class Model:
         """Of each text the largest probability over its windows; the bias alone decides where it has no words."""
         best = np.full(len(texts), -np.inf)
         for first, run in slices(texts):
-            bags = Bags(run, self.conf)
+            bags = Bags.read(run, self.conf)
             np.maximum.at(best, first + bags.text, bags.scores(self.value) + self.bias)
         best[np.isinf(best)] = min(self.bias, 0.0) - 1.0
         return 1 / (1 + np.exp(-np.clip(best, -50, 50)))
@@ -132,59 +143,76 @@ def fit(texts: list[str], labels: np.ndarray, conf: Toxicity) -> Model:
     return Model(model.value, model.bias - float(edges[cut[0]] + edges[cut[-1] + 1]) / 2, conf)
 
 
+def gradient(table: np.ndarray, soft: np.ndarray, bias: np.ndarray, at: np.ndarray, n: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """The summed cross entropy of windows of ``n`` features each (``at``, one window after the other), and its gradients.
+
+    Those of the embeddings come as one number for each: both classes' errors are opposite, so all lie along ``soft[1] - soft[0]``.
+    """
+    mean = np.add.reduceat(table[at], np.cumsum(n) - n) / n[:, None]
+    logits = mean @ soft.T + bias
+    off = np.exp(logits - logits.max(axis=1, keepdims=True))
+    off /= off.sum(axis=1, keepdims=True)
+    row = np.arange(len(n))
+    loss = -float(np.log(np.maximum(off[row, target], 1e-30)).sum())
+    off[row, target] -= 1
+    pull = np.bincount(at, weights=np.repeat(off[:, 1] / n, n), minlength=len(table))
+    return loss, pull, off.T @ mean, off.sum(axis=0)
+
+
+def _joined(texts: list[str], conf: Toxicity) -> tuple[Bags, np.ndarray]:
+    """The words and windows of all ``texts``, and in how many texts each bucket occurs."""
+    texts_of = np.zeros(1 << conf.bits, np.int64)
+    parts: dict[str, list[np.ndarray]] = {k: [] for k in ("feats", "first", "word", "low", "high", "text")}
+    words = feats = distinct = 0
+    for begin, run in slices(texts):
+        bags = Bags.read(run, conf)
+        if len(bags.low):
+            owner = np.zeros(len(bags.word), np.int64)
+            owner[bags.low] = bags.text
+            owner = np.maximum.accumulate(owner)
+            pair = np.unique(owner * len(bags.first) + bags.word)
+            of, many = pair // len(bags.first), np.diff(bags.first)[pair % len(bags.first)]
+            inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(bags.first[pair % len(bags.first)], many)
+            texts_of += np.bincount(np.unique(np.repeat(of, many) << conf.bits | bags.feats[inner]) & ((1 << conf.bits) - 1), minlength=len(texts_of))
+            for name, value in (("feats", bags.feats), ("first", bags.first[:-1] + feats), ("word", (bags.word + distinct).astype(np.int32)), ("low", bags.low + words), ("high", bags.high + words), ("text", bags.text + begin)):
+                parts[name].append(value)
+            words, feats, distinct = words + len(bags.word), feats + len(bags.feats), distinct + len(bags.first) - 1
+    parts["first"].append(np.array([feats]))
+    none = np.zeros(0, np.int32)
+    return Bags(**{name: np.concatenate([none, *value]) for name, value in parts.items()}), texts_of
+
+
 def _fit(texts: list[str], labels: np.ndarray, conf: Toxicity) -> Model:
     buckets = 1 << conf.bits
-    ids, sizes, owner, texts_of = [], [], [], np.zeros(buckets, np.int32)
-    for first, run in slices(texts):
-        bags = Bags(run, conf)
-        for low, high, text in zip(bags.low, bags.high, bags.text, strict=True):
-            part = bags.buckets[low:high].ravel()
-            ids.append(part[part >= 0])
-            sizes.append(len(ids[-1]))
-            owner.append(first + text)
-    sizes, owner = np.array(sizes), np.array(owner)
-    flat, starts = np.concatenate(ids), np.cumsum(sizes) - sizes
-    del ids
-    ends = np.searchsorted(owner, np.arange(len(texts)), side="right")
-    edges = np.concatenate(([0], (starts + sizes)[np.maximum(ends - 1, 0)] * (ends > 0)))
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        if high > low:
-            texts_of[np.unique(flat[low:high])] += 1
+    bags, texts_of = _joined(texts, conf)
     rare = texts_of < min(conf.least_texts, max(1, len(texts) // 100))
     rng = np.random.default_rng(conf.seed)
     table = np.zeros((buckets, conf.dim), np.float32)
     soft, bias = rng.normal(0, 1, (2, conf.dim)).astype(np.float32), np.array([2.0, -2.0], np.float32)
     seen_table, seen_soft, seen_bias = np.full(buckets, 1e-6, np.float32), np.full(soft.shape, 1e-6), np.full(2, 1e-6)
-    target = labels[owner].astype(np.float32)
-    batch = int(min(conf.batch, max(64, len(sizes) // 50)))
+    windows = len(bags.low)
+    target = labels[bags.text]
+    batch = int(min(conf.batch, max(64, windows // 100)))
+    many = np.diff(bags.first)
     for epoch in range(conf.epochs):
         if epoch:
-            value = table @ (soft[1] - soft[0])
-            sums = np.empty(len(sizes))
-            for low in range(0, len(sizes), 1 << 14):  # in parts, to hold little at once
-                first, high = starts[low : low + (1 << 14)], min(low + (1 << 14), len(sizes)) - 1
-                sums[low : high + 1] = np.add.reduceat(value[flat[first[0] : starts[high] + sizes[high]]], first - first[0])
-            score = sums / sizes + bias[1] - bias[0]
+            score = bags.scores(table @ (soft[1] - soft[0])) + bias[1] - bias[0]
             best = np.full(len(texts), -np.inf)
-            np.maximum.at(best, owner, score)
-            target = ((labels[owner] == 1) & ((score > 0) | (score == best[owner]))).astype(np.float32)
-        order = rng.permutation(len(sizes))
+            np.maximum.at(best, bags.text, score)
+            target = ((labels[bags.text] == 1) & ((score > 0) | (score == best[bags.text]))).astype(np.int64)
+        order = rng.permutation(np.arange(epoch % 2, windows, 2))  # windows overlap by half: each epoch learns from every other one
         for b in range(0, len(order), batch):
             pick = order[b : b + batch]
-            n = sizes[pick]
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[pick], n)
-            at = flat[inner]
-            mean = np.add.reduceat(table[at], np.cumsum(n) - n) / n[:, None]
-            logits = mean @ soft.T + bias
-            off = np.exp(logits - logits.max(axis=1, keepdims=True))
-            off /= off.sum(axis=1, keepdims=True)
-            off[np.arange(len(pick)), target[pick].astype(int)] -= 1
-            # both classes' errors are opposite, so one number a window and one direction hold the gradient
+            long = bags.high[pick] - bags.low[pick]
+            word = bags.word[np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long) + np.repeat(bags.low[pick], long)]
+            f = many[word]
+            n = np.add.reduceat(f, np.cumsum(long) - long)
+            at = bags.feats[np.arange(f.sum()) - np.repeat(np.cumsum(f) - f, f) + np.repeat(bags.first[word], f)]
+            _, pull, grad_soft, grad_bias = gradient(table, soft, bias, at, n, target[pick])
             toward = soft[1] - soft[0]
-            pull = np.bincount(at, weights=np.repeat(off[:, 1] / n, n), minlength=buckets).astype(np.float32)
+            pull = pull.astype(np.float32)
             pull[rare] = 0
             hit = np.flatnonzero(pull)
-            grad_soft, grad_bias = off.T @ mean, off.sum(axis=0)
             seen_table[hit] += pull[hit] ** 2 * float(toward @ toward) / conf.dim
             table[hit] *= 1 - conf.decay
             table[hit] -= conf.rate * (pull[hit] / np.sqrt(seen_table[hit]))[:, None] * toward
@@ -200,28 +228,39 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, out, most: dict[int, int], longest: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``most[c]`` labelled rows of each class outside ``out``, by a hash of their ids.
+def sample(docs: DataFrame, labels: DataFrame, label: str, out, most: dict[int, int], most_bytes: int) -> tuple[list[str], np.ndarray]:
+    """Whole texts and labels of at most ``most[c]`` labelled rows of each class outside ``out``, by a hash of their ids, of ``most_bytes`` in all.
 
-    Only ids of so many rows are gathered first; they meet the documents by broadcast, so texts that are not picked do not move.
+    Only ids and sizes of so many rows are gathered first; they meet the documents by broadcast, so texts that are not picked do not move.
     """
     known = labels.where(F.col("doc_id").isNotNull() & ~out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     picked = None
     for value, n in most.items():
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = part if picked is None else picked.unionByName(part)
-    rows = picked.collect()
-    small = docs.sparkSession.createDataFrame(rows, picked.schema)
-    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(small), "doc_id")
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - longest)) + 1
-    excerpt = F.when(F.length("text") > longest, F.substring("text", start.cast("int"), F.lit(longest))).otherwise(F.col("text"))
-    got = slim.withColumn("text", excerpt).orderBy("doc_id", "text", "label").collect() if rows else []
+    rows, kept = picked.collect(), []
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    of = lambda found: slim.join(F.broadcast(docs.sparkSession.createDataFrame(found, picked.schema)), "doc_id")
+    if rows:
+        sizes: dict[int, list[int]] = {}
+        for r in of(rows).select("doc_id", F.octet_length("text").alias("bytes")).collect():
+            sizes.setdefault(r.doc_id, []).append(r.bytes)
+        room, place, turns = most_bytes, dict.fromkeys(most, 0), []
+        for r in rows:
+            place[r.label] += 1
+            turns.append((place[r.label], r.label, r))
+        for _, _, r in sorted(turns, key=lambda t: t[:2]):  # the classes in turn, so that none is left without room
+            size = sum(sizes.get(r.doc_id, []))
+            if size <= room:
+                kept.append(r)
+                room -= size
+    got = of(kept).orderBy("doc_id", "text", "label").collect() if kept else []
     got = list({r.doc_id: r for r in got}.values())
     return [r.text for r in got], np.array([r.label for r in got], np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, conf: Toxicity = Toxicity()) -> Model:
-    texts, marks = sample(docs, labels, "toxic", held_out, dict(enumerate(conf.sample)), conf.longest)
+    texts, marks = sample(docs, labels, "toxic", held_out, dict(enumerate(conf.sample)), conf.most_bytes)
     return fit(texts, marks, conf)
 
 
