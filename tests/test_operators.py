@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -95,10 +97,48 @@ def test_profile_deltas(spark):
     assert got == {("p", 0): "new", ("p", 1): "seen", ("p", 2): "changed", ("", 0): "new", ("", 1): "new"}
 
 
-def test_merge_json_prefers_new_values(spark):
-    df = spark.createDataFrame([('{"a":"1","b":"2"}',), (None,)], "j string")
-    got = [r.x for r in df.select(state.merge_json(F.col("j"), F.create_map(F.lit("b"), F.lit("9"))).alias("x")).collect()]
-    assert got == ['{"a":"1","b":"9"}', '{"b":"9"}']
+def test_merge_json_keeps_types_and_shapes(spark):
+    rows = ['{"n":1,"b":true,"o":{"x":[1,2]},"z":null}', "[1]", "{cut", None, '{"a":1,"a":"2"}', '{"b":{"deep":null}}', "{}"]
+    df = spark.createDataFrame([(r,) for r in rows], "j string")
+    extra = '{"b":[true,{"c":1.5}],"new":"é"}'
+    got = [json.loads(r.x) for r in df.select(state.merge_json(F.col("j"), F.lit(extra)).alias("x")).collect()]
+    held = [json.loads(rows[0]), {}, {}, {}, {"a": "2"}, {"b": {"deep": None}}, {}]
+    assert got == [h | json.loads(extra) for h in held]
+    got = [json.loads(r.x) for r in df.select(state.merge_json(F.col("j"), F.lit(extra), "enrichment").alias("x")).collect()]
+    assert got == [h | {"enrichment": json.loads(extra)} for h in held]
+
+
+def inserted_one_by_one(table, rows):
+    """The ids that inserts return, one after another: by signal, else by profile, else a new row."""
+    held = sorted(table)
+    top = max((i for i, *_ in held), default=0)
+    out = {}
+    for order, *keys in sorted(rows):
+        found = next((min(h for h in held if h[1 + k] == key)[0] for k, key in enumerate(keys) if key not in (None, "") and any(h[1 + k] == key for h in held)), None)
+        if found is None:
+            found = top = top + 1
+            held.append((found, *keys))
+        out[order] = found
+    return out
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from([None, 1, 2, 3, 4, 5, 6]), st.sampled_from(["", None, "a", "b", "c", "d"])), max_size=25), st.integers(0, 4))
+def test_inserts_equal_one_by_one(spark, pairs, head):
+    table = [(10 + i, s, p) for i, (s, p) in enumerate(pairs[:head])]
+    rows = [(i * 3, s, p) for i, (s, p) in enumerate(pairs[head:])]
+    t = spark.createDataFrame(table, "id long, signal_id long, profile string")
+    r = spark.createDataFrame(rows, "ord long, signal_id long, profile string")
+    got = {x.ord: x.id for x in state.insert_claims(t, r, ["signal_id", "profile"], "id", "ord").collect()}
+    assert got == inserted_one_by_one(table, rows)
+
+
+def test_inserts_along_a_chain_and_of_a_hot_key(spark):
+    chain = [(i, i // 2 + 1, f"p{(i + 1) // 2}") for i in range(40)] + [(100 + i, 1000 + i, "hot") for i in range(300)] + [(2000, 7, "x"), (2001, 8, "x"), (2002, 7, "y"), (2003, 9, "z")]
+    r = spark.createDataFrame(chain, "ord long, signal_id long, profile string")
+    t = spark.createDataFrame([], "id long, signal_id long, profile string")
+    assert {x.ord: x.id for x in state.insert_claims(t, r, ["signal_id", "profile"], "id", "ord").collect()} == inserted_one_by_one([], chain)
+    assert state.insert_absent(t, r, ["signal_id", "profile"], "id", "ord").count() == len(set(inserted_one_by_one([], chain).values()))
 
 
 def test_upsert_keeps_and_overwrites(spark):

@@ -18,7 +18,7 @@ def one(spark, make, *values, types=None):
 
 @pytest.mark.parametrize(
     ("raw", "clean"),
-    [("Vaibhav Singh 1409", "Vaibhav Singh"), ("unknown", ""), ("-", ""), (None, ""), ("PRIYA NAIR", "Priya Nair"), ("priya o'neil-rao", "Priya O'Neil-Rao"), ("Ｐｒｉｙａ Nair ☀", "Priya Nair"), ("Cher", "Cher"), ("12", "")],
+    [("Vaibhav Singh 1409", "Vaibhav Singh"), ("unknown", ""), ("-", ""), (None, ""), ("PRIYA NAIR", "Priya Nair"), ("priya o'neil-rao", "Priya O'Neil-Rao"), ("Ｐｒｉｙａ Nair ☀", "Priya Nair"), ("Cher", "Cher"), ("12", ""), ("Priya Nair (he/him)", "Priya Nair"), ("Priya Nair (ex-Grab)", "Priya Nair"), ("Priya Nair (she/her), (ex-Grab) 🚀", "Priya Nair"), ("Priya (Pri) Nair", "Priya (Pri) Nair")],
 )
 def test_clean_name(spark, raw, clean):
     assert one(spark, lambda c: T.clean_name(c, unicode_form=True), raw) == clean

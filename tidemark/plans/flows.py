@@ -26,16 +26,16 @@ def flagship_signals_by_source(v: Views) -> DataFrame:
     return first.groupBy("source", T.first_label(t, [("german", _DE), ("french", _FR)], "other").alias("signal_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_KEYS = """SELECT pid, 'li:' || pid // 3 AS key FROM persons UNION ALL SELECT pid, 'nm:' || (pid + 1) // 4 FROM persons WHERE pid % 5 = 0 UNION ALL SELECT pid, 'gh:' || sector FROM persons WHERE pid % 211 = 0"""
+_KEYS = """SELECT pid, 'li:' || pid // 3 AS key FROM persons UNION ALL SELECT pid, 'nm:' || (pid + 1) // 4 FROM persons WHERE pid % 5 = 0 UNION ALL SELECT pid, 'gh:' || sector FROM persons WHERE sector <> 'machinery'"""
 
 
 def _keys() -> F.Column:
     pid = F.col("pid")
-    keys = F.array(cat("li:", F.floor(pid / 3)), F.when(pid % 5 == 0, cat("nm:", F.floor((pid + 1) / 4))), F.when(pid % 211 == 0, cat("gh:", F.col("sector"))))
+    keys = F.array(cat("li:", F.floor(pid / 3)), F.when(pid % 5 == 0, cat("nm:", F.floor((pid + 1) / 4))), F.when(F.col("sector") != "machinery", cat("gh:", F.col("sector"))))
     return F.filter(keys, lambda k: k.isNotNull())
 
 
-_CLUSTER = f"""k AS ({_KEYS}), e AS (SELECT DISTINCT a.pid AS a, b.pid AS b FROM k a JOIN k b ON a.key = b.key),
+_CLUSTER = f"""k AS ({_KEYS}), h AS (SELECT key, min(pid) AS head FROM k GROUP BY key), d AS (SELECT pid AS a, head AS b FROM k JOIN h USING (key) WHERE pid <> head), e AS (SELECT a, b FROM d UNION SELECT b, a FROM d),
   reach AS (SELECT pid AS a, pid AS c FROM persons UNION SELECT e.b, r.c FROM reach r JOIN e ON e.a = r.a), cl AS (SELECT a AS pid, min(c) AS cluster FROM reach GROUP BY a)"""
 
 

@@ -102,12 +102,12 @@ def j15_hot_label_boost(v: Views) -> DataFrame:
     return joins.hot_boost(v.persons, "sector", "p_score", ["build", "machine", "household goods"]).select("pid", "p_score")
 
 
-@query("""WITH now_ AS (SELECT pid, p_score, region FROM persons WHERE pid % 3 = 0), old AS (SELECT pid, p_score, CASE WHEN region = 'ASIA' THEN 'Unknown' ELSE region END AS region FROM persons WHERE pid % 2 = 0)
+@query("""WITH now_ AS (SELECT pid, p_score, region FROM persons WHERE pid % 3 < 2), old AS (SELECT pid, p_score, CASE WHEN region = 'ASIA' THEN 'Unknown' ELSE region END AS region FROM persons WHERE pid % 3 > 0)
   SELECT pid, p_score, region, false AS archived FROM now_ UNION ALL SELECT *, true FROM old WHERE pid NOT IN (SELECT pid FROM now_) AND p_score >= 40 AND region <> 'Unknown'""")
 def j16_archive_merge(v: Views) -> DataFrame:
     p = v.persons.select("pid", "p_score", "region")
-    old = p.where("pid % 2 = 0").withColumn("region", F.when(F.col("region") == "ASIA", "Unknown").otherwise(F.col("region")))
-    return joins.archive_merge(p.where("pid % 3 = 0"), old, "pid", "p_score", 40, "region")
+    old = p.where("pid % 3 > 0").withColumn("region", F.when(F.col("region") == "ASIA", "Unknown").otherwise(F.col("region")))
+    return joins.archive_merge(p.where("pid % 3 < 2"), old, "pid", "p_score", 40, "region")
 
 
 @query("""WITH m AS (SELECT person_name, source, id, description || ' said so' AS said, score > 20 AS liked, row_number() OVER (PARTITION BY person_name, source ORDER BY id) AS n FROM signals WHERE length(description || ' said so') > 20),

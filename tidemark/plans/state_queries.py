@@ -53,12 +53,12 @@ def t05_expiry(v: Views) -> DataFrame:
     return state.unexpired(led, "last_seen", AS_OF[:10], 18, newest=150, tie="key")
 
 
-@query("""WITH a AS (SELECT pid AS key, 'first' AS first_surfaced, p_score FROM persons WHERE pid % 2 = 0), b AS (SELECT pid AS key, 'second' AS first_surfaced, p_score + 1 AS p_score FROM persons WHERE pid % 3 = 0)
+@query("""WITH a AS (SELECT pid AS key, 'first' AS first_surfaced, p_score FROM persons WHERE pid % 3 < 2), b AS (SELECT pid AS key, 'second' AS first_surfaced, p_score + 1 AS p_score FROM persons WHERE pid % 3 > 0)
   SELECT coalesce(a.key, b.key) AS key, coalesce(a.first_surfaced, b.first_surfaced) AS first_surfaced, coalesce(b.p_score, a.p_score) AS p_score FROM a FULL JOIN b ON a.key = b.key""")
 def t06_t08_upserts(v: Views) -> DataFrame:
     p = v.persons.withColumn("key", F.col("pid"))
-    a = p.where("pid % 2 = 0").select("key", F.lit("first").alias("first_surfaced"), "p_score")
-    b = p.where("pid % 3 = 0").select("key", F.lit("second").alias("first_surfaced"), (F.col("p_score") + 1).alias("p_score"))
+    a = p.where("pid % 3 < 2").select("key", F.lit("first").alias("first_surfaced"), "p_score")
+    b = p.where("pid % 3 > 0").select("key", F.lit("second").alias("first_surfaced"), (F.col("p_score") + 1).alias("p_score"))
     return state.upsert(a, b, "key", keep=["first_surfaced"], overwrite=["p_score"])
 
 
@@ -89,14 +89,31 @@ def t09_affected_counts(v: Views) -> DataFrame:
     return count(once, "departed").unionByName(count(again, "again")).unionByName(count(listed, "reported")).unionByName(gone.select(F.lit("deleted").alias("operation"), "affected"))
 
 
-@query("""WITH t AS (SELECT oid AS id, signal_id, o_linkedin FROM outreach WHERE created_at < DATE '1995-06-17'), links AS (SELECT DISTINCT o_linkedin FROM t WHERE o_linkedin <> ''), sids AS (SELECT DISTINCT signal_id FROM t WHERE signal_id <> 0),
-  f AS (SELECT id AS signal_id, person_linkedin AS o_linkedin FROM signals WHERE id NOT IN (SELECT signal_id FROM sids) AND person_linkedin NOT IN (SELECT o_linkedin FROM links))
-  SELECT id, signal_id, o_linkedin FROM t UNION ALL SELECT (SELECT max(id) FROM t) + row_number() OVER (ORDER BY signal_id), signal_id, o_linkedin FROM f""")
+_INSERTS = """WITH t AS (SELECT oid AS id, signal_id AS s, coalesce(try_cast(regexp_extract(o_linkedin, '[0-9]+$') AS BIGINT), -1) AS l FROM outreach WHERE created_at < DATE '1995-06-17'),
+  r AS (SELECT 2 * id AS ord, id AS s, coalesce(try_cast(regexp_extract(person_linkedin, '[0-9]+$') AS BIGINT), -1) AS l FROM signals
+    UNION ALL SELECT 2 * oid + 1, signal_id, coalesce(try_cast(regexp_extract(o_linkedin, '[0-9]+$') AS BIGINT), -1) FROM outreach WHERE created_at >= DATE '1995-06-17'),
+  todo AS (SELECT list({'ord': ord, 's': s, 'l': l, 'id': 0::BIGINT, 'top': 0::BIGINT, 'ss': []::BIGINT[], 'si': []::BIGINT[], 'ls': []::BIGINT[], 'li': []::BIGINT[], 'got': []::BIGINT[]} ORDER BY ord) AS rows FROM r),
+  start AS (SELECT {'ord': 0::BIGINT, 's': 0::BIGINT, 'l': 0::BIGINT, 'id': 0::BIGINT, 'top': max(id), 'ss': list(s ORDER BY id), 'si': list(id ORDER BY id), 'ls': list(l ORDER BY id), 'li': list(id ORDER BY id), 'got': []::BIGINT[]} AS z FROM t),
+  walk AS (SELECT rows, list_reduce(rows, lambda a, x: CASE
+      WHEN x.s > 0 AND list_contains(a.ss, x.s) THEN {'ord': x.ord, 's': 0::BIGINT, 'l': 0::BIGINT, 'id': 0::BIGINT, 'top': a.top, 'ss': a.ss, 'si': a.si, 'ls': a.ls, 'li': a.li, 'got': list_append(a.got, a.si[list_position(a.ss, x.s)])}
+      WHEN x.l >= 0 AND list_contains(a.ls, x.l) THEN {'ord': x.ord, 's': 0::BIGINT, 'l': 0::BIGINT, 'id': 0::BIGINT, 'top': a.top, 'ss': a.ss, 'si': a.si, 'ls': a.ls, 'li': a.li, 'got': list_append(a.got, a.li[list_position(a.ls, x.l)])}
+      ELSE {'ord': x.ord, 's': 0::BIGINT, 'l': 0::BIGINT, 'id': 0::BIGINT, 'top': a.top + 1, 'ss': list_append(a.ss, x.s), 'si': list_append(a.si, a.top + 1), 'ls': list_append(a.ls, x.l), 'li': list_append(a.li, a.top + 1), 'got': list_append(a.got, a.top + 1)} END, z) AS e FROM todo, start)
+  SELECT unnest(list_transform(rows, lambda x: x.ord)) AS ord, unnest(e.got) AS id FROM walk"""
+
+
+def _inserts(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Outreach rows of the first half as the table; all signals and all later outreach rows as the batch, in turn by id."""
+    t = v.outreach.select(F.col("oid").alias("id"), F.nullif(F.col("signal_id"), F.lit(0)).alias("signal_id"), "o_linkedin", "created_at")
+    s = v.signals.select((2 * F.col("id")).alias("ord"), F.nullif(F.col("id"), F.lit(0)).alias("signal_id"), F.col("person_linkedin").alias("o_linkedin"))
+    later = t.where("created_at >= date '1995-06-17'").select((2 * F.col("id") + 1).alias("ord"), "signal_id", "o_linkedin")
+    return t.where("created_at < date '1995-06-17'").drop("created_at"), s.unionByName(later)
+
+
+@query(_INSERTS)
 def t10_insert_if_absent(v: Views) -> DataFrame:
-    t = v.outreach.where("created_at < date '1995-06-17'").select(F.col("oid").alias("id"), F.nullif(F.col("signal_id"), F.lit(0)).alias("signal_id"), "o_linkedin")
-    rows = v.signals.select(F.col("id").alias("signal_id"), F.col("person_linkedin").alias("o_linkedin"))
-    out = state.insert_absent(t, rows, ["signal_id", "o_linkedin"], "id", "signal_id")
-    return out.select("id", F.coalesce("signal_id", F.lit(0)).alias("signal_id"), "o_linkedin")
+    """The id that each insert of the batch returns."""
+    table, rows = _inserts(v)
+    return state.insert_claims(table, rows, ["signal_id", "o_linkedin"], "id", "ord").select("ord", "id")
 
 
 @query(f"""WITH e AS (SELECT l_orderkey AS oid, l_linenumber AS step, ['new', 'contacted', 'lead', 'oops', 'meeting', 'passed', 'replied'][l_linenumber] AS st, CASE WHEN l_linenumber % 2 = 0 THEN 'n' || l_linenumber ELSE '' END AS notes FROM lineitem),
@@ -119,11 +136,16 @@ def t12_score_write_back(v: Views) -> DataFrame:
     return state.write_back(s, v.outreach.select("o_linkedin", "o_name", F.col("lead_score").alias("score")), "o_linkedin", "o_name").select("id", "score")
 
 
-@query("SELECT id, CASE WHEN id % 2 = 0 THEN (raw_data->>'k') ELSE source END AS k, signal_type AS kind FROM signals")
+@query("""SELECT id, CASE WHEN id % 5 = 0 THEN '{' ELSE '{"k":' || (raw_data->>'k') || ',' END || '"enrichment":{"score":' || id % 7 || ',"hot":' || CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END || ',"tags":["' || signal_type || '",null],"at":{"source":"' || source || '"}}}' AS raw FROM signals""")
 def t13_merge_json(v: Views) -> DataFrame:
-    extra = F.when(F.col("id") % 2 == 0, F.create_map(F.lit("kind"), F.col("signal_type"))).otherwise(F.create_map(F.lit("kind"), F.col("signal_type"), F.lit("k"), F.col("source")))
-    j = v.signals.select("id", state.merge_json(F.col("raw_data"), extra).alias("j"))
-    return j.select("id", F.get_json_object("j", "$.k").alias("k"), F.get_json_object("j", "$.kind").alias("kind"))
+    """An enrichment object put into the raw data of every signal, some of which hold no object; the whole text is compared."""
+    extra = F.concat(F.lit('{"score":'), F.col("id") % 7, F.lit(',"hot":'), (F.col("id") % 2 == 0).cast("string"), F.lit(',"tags":["'), "signal_type", F.lit('",null],"at":{"source":"'), "source", F.lit('"}}'))
+    held = F.when(F.col("id") % 15 == 0, "[1]").when(F.col("id") % 15 == 5, "{cut").when(F.col("id") % 15 != 10, F.col("raw_data"))
+    named = F.from_json(extra, "struct<score:long,hot:boolean,tags:array<string>,at:struct<source:string>>")
+    merged = state.merge_json(held, extra, "enrichment")
+    whole = F.from_json(merged, "struct<k:long,enrichment:struct<score:long,hot:boolean,tags:array<string>,at:struct<source:string>>>")
+    same = F.when(whole["enrichment"].eqNullSafe(named), F.concat(F.when(whole["k"].isNotNull(), F.concat(F.lit('{"k":'), whole["k"], F.lit(","))).otherwise("{"), F.lit('"enrichment":'), extra, F.lit("}")))
+    return v.signals.select("id", same.alias("raw"))
 
 
 _N = " UNION ALL ".join(f"SELECT '{name}' AS label, count(*) FILTER ({contains_sql('text', ws)}) AS n, count(*) FILTER ({contains_sql('text', ws)} AND part % 2 = 0) AS e FROM themes" for name, ws in THEMES[:4])

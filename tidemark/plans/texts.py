@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions import gates, text as T
+from tidemark.functions import html as H, gates, text as T
 from tidemark.functions.words import REGIONS
 from tidemark.operators.scoring import percent_change, snippet_score, type_weight
 from tidemark.operators.ranking import top_per_group
@@ -32,12 +32,13 @@ def _cased(labels, text: str, default: str) -> str:
 
 
 
-@query(rf"""WITH r AS (SELECT pid, ['  ' || name || ' ☀_' || sector, upper(sector) || ' ' || location, '-', 'jo de ' || sector, name || ' | '][pid % 5 + 1] AS raw FROM persons),
-  c AS (SELECT pid, lower(trim(raw)) AS low, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(raw), '[\p{{S}}\p{{C}}]', '', 'g'), '[_\d#@*~^|/\\<>\[\]{{}}()]+', ' ', 'g'), '\s+', ' ', 'g'), '^[ .,|\-·]+|[ .,|\-·]+$', '', 'g') AS n FROM r),
-  d AS (SELECT pid, low, CASE WHEN upper(n) = n OR lower(n) = n THEN {_titled("n")} ELSE n END AS n FROM c)
+@query(rf"""WITH r AS (SELECT pid, ['  ' || name || ' ☀_' || sector, upper(sector) || ' ' || location, '-', 'jo de ' || sector || ' (he/him)', name || ' lee (ex-Grab) ', name || ' ma, 1409'][pid % 6 + 1] AS raw FROM persons),
+  c AS (SELECT pid, lower(trim(raw)) AS low, regexp_replace(regexp_replace(trim(raw), '[\p{{S}}\p{{C}}]', '', 'g'), '[_\d#@~^*=+<>{{}}\[\]\\/]+', ' ', 'g') AS m FROM r),
+  t AS (SELECT pid, low, regexp_replace(regexp_replace(regexp_replace(m, '[\s\-_·|,]*(\(.*?\))+\s*$', ''), '\s\s+', ' ', 'g'), '^[ .,|\-·]+|[ .,|\-·]+$', '', 'g') AS n FROM c),
+  d AS (SELECT pid, low, CASE WHEN upper(n) = n OR lower(n) = n THEN {_titled("n")} ELSE n END AS n FROM t)
   SELECT pid, CASE WHEN low IN ('unknown', 'n/a', 'none', '-') OR len(list_filter(string_split(n, ' '), lambda t: length(t) >= 2 AND regexp_matches(t, '\p{{L}}'))) < 1 THEN '' ELSE n END AS clean FROM d""")
 def p01_clean_name(v: Views) -> DataFrame:
-    raw = choose(F.col("pid"), cat("  ", F.col("name"), " ☀_", F.col("sector")), cat(F.upper("sector"), " ", F.col("location")), "-", cat("jo de ", F.col("sector")), cat(F.col("name"), " | "))
+    raw = choose(F.col("pid"), cat("  ", F.col("name"), " ☀_", F.col("sector")), cat(F.upper("sector"), " ", F.col("location")), "-", cat("jo de ", F.col("sector"), " (he/him)"), cat(F.col("name"), " lee (ex-Grab) "), cat(F.col("name"), " ma, 1409"))
     return v.persons.select("pid", T.clean_name(raw, unicode_form=True).alias("clean"))
 
 
@@ -251,18 +252,31 @@ def f13_f14_f15_page_tests(v: Views) -> DataFrame:
     return v.raw("pages").select("page_id", gates.listed_source(F.col("url"), F.col("html"), [".example.com/fr"], ["<title>the"]).alias("listed"), gates.headcount_change(pct, text).alias("headcount"))
 
 
-@query(r"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'),
-    '(?is)<nav\b.*?</nav>', ' ', 'g'), '(?is)<header\b.*?</header>', ' ', 'g'), '(?is)<footer\b.*?</footer>', ' ', 'g') AS h, html FROM pages)
-  SELECT page_id, substr(trim(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 1, 5000) AS visible,
-    substr(array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1), lambda p: trim(regexp_replace(p, '<[^>]+>', '', 'g'))), lambda p: length(p) > 40), ' '), 1, 800) AS article FROM c""")
+_READ = "replace(replace(replace(replace(replace(replace({}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query(rf"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?s)<(nav|header)\b.*?</(nav|header)>', ' ', 'g'), '(?s)<footer\b.*?</footer>', ' ', 'g') AS h FROM pages),
+  p AS (SELECT page_id, h, list_transform(string_split_regex(h, '<p>')[2:], lambda p: trim(regexp_replace({_READ.format("regexp_replace(string_split_regex(p, '</?(?:p|article|div|ul|body|html)[ >]')[1], '<[^>]+>', ' ', 'g')")}, '\s+', ' ', 'g'))) AS ps FROM b)
+  SELECT page_id, substr(trim(regexp_replace({_READ.format("regexp_replace(h, '<[^>]+>', ' ', 'g')")}, '\s+', ' ', 'g')), 1, 5000) AS visible,
+    substr(array_to_string(list_filter(ps, lambda p: length(p) > 40), ' '), 1, 800) AS article FROM p""")
 def s11_page_text(v: Views) -> DataFrame:
-    return v.raw("pages").select("page_id", landed.visible_text(F.col("html")).alias("visible"), landed.article_text(F.col("html")).alias("article"))
+    return v.raw("pages").select("page_id", H.visible_text(F.col("html")).alias("visible"), H.article_text(F.col("html")).alias("article"))
 
 
-@query("""WITH l AS (SELECT page_id, unnest(range(3)) AS k FROM pages) SELECT page_id, 'https://www.linkedin.com/in/p' || (page_id % 7 + k) AS url, (k + 1)::INT AS place FROM l""")
+@query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS pos FROM pages),
+  u AS (SELECT page_id, 'https://ex.com' || lower(replace(href, '&amp;', '&')) AS url, min(pos) AS pos FROM l WHERE starts_with(href, '/') GROUP BY ALL)
+  SELECT page_id, url, place FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos)::INT AS place FROM u) WHERE place <= 10""")
 def s12_result_links(v: Views) -> DataFrame:
-    link = lambda k: cat('<a href="/l/?uddg=https%3A%2F%2Fin.linkedin.com%2Fin%2Fp', F.col("page_id") % 7 + k, '%3Fx&rut=1">a</a><a href="https://ex.com/">b</a>')
-    pages = v.raw("pages").select("page_id", F.concat(link(0), link(1), link(0), link(2)).alias("html"))
+    """The site's own links of each page."""
+    site = lambda u: F.when(u.startswith("/"), F.concat(F.lit("https://ex.com"), F.lower(u))).otherwise("")
+    return landed.result_links(v.raw("pages"), "page_id", "html", canonical=site).select("page_id", "url", "place")
+
+
+@query("""WITH l AS (SELECT page_id, unnest(range(3)) AS k FROM pages) SELECT page_id, 'https://www.linkedin.com/in/p' || (page_id % 7 + k) AS url, (k + 1)::INT AS place FROM l""")
+def s12_profile_links(v: Views) -> DataFrame:
+    """Profile links behind redirects, added to each page."""
+    link = lambda k: cat('<a class=r href="/l/?uddg=https%3A%2F%2Fin.linkedin.com%2Fin%2Fp', F.col("page_id") % 7 + k, "%3Fx&amp;rut=1\">a</a><a href='https://ex.com/'>b</a>")
+    pages = v.raw("pages").select("page_id", F.concat(F.col("html"), link(0), link(1), link(0), link(2)).alias("html"))
     return landed.result_links(pages, "page_id", "html").select("page_id", "url", "place")
 
 

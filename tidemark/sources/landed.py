@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.functions.text import any_of, batch_key, domain, parse_date, profile_url, strip_tags, text_of
+from tidemark.functions.html import links
+from tidemark.functions.text import any_of, batch_key, parse_date, profile_url, strip_tags, text_of
 from tidemark.operators.ranking import keep_first, recent_groups, top_per_group
 from tidemark.operators.scoring import percent_change
 
@@ -93,25 +94,11 @@ def registry_lines(pages: DataFrame, page: str, text: str, most: int = 20) -> Da
     return top_per_group(fit, [page], ["pos"], most)
 
 
-def visible_text(html: Column, chars: int = 5000) -> Column:
-    """A page's text without scripts, styles and page furniture."""
-    bare = text_of(html)
-    for tag in ("script", "style", "nav", "header", "footer"):
-        bare = F.regexp_replace(bare, rf"(?is)<{tag}\b.*?</{tag}>", " ")
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]+>", " "), r"\s+", " ")), 1, chars)
-
-
-def article_text(html: Column, least: int = 40, chars: int = 800) -> Column:
-    """The paragraphs of more than ``least`` characters, joined and truncated."""
-    found = F.transform(F.regexp_extract_all(text_of(html), F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), lambda p: strip_tags(p))
-    return F.substring(F.array_join(F.filter(found, lambda p: F.length(p) > least), " "), 1, chars)
-
-
-def result_links(pages: DataFrame, page: str, html: str, most: int = 10, pattern: str = r"uddg=([^&\"]+)") -> DataFrame:
-    """Profile links of a result page: redirects unwrapped, canonical, the first of each, ``most`` at most."""
-    hrefs = pages.select(page, F.posexplode(F.regexp_extract_all(text_of(F.col(html)), F.lit(r'href="([^"]+)"'), F.lit(1))).alias("pos", "href"))
+def result_links(pages: DataFrame, page: str, html: str, most: int = 10, pattern: str = r"uddg=([^&]+)", canonical: Callable[[Column], Column] = profile_url) -> DataFrame:
+    """Links of a result page that ``canonical`` knows (blank: no): redirects unwrapped, the first of each, ``most`` at most."""
+    hrefs = pages.select(page, F.posexplode(links(F.col(html))).alias("pos", "href"))
     inner = F.regexp_extract("href", pattern, 1)
-    url = profile_url(F.coalesce(F.try_url_decode(F.when(inner != "", inner)), F.col("href")))
+    url = canonical(F.coalesce(F.try_url_decode(F.when(inner != "", inner)), F.col("href")))
     first = keep_first(hrefs.withColumn("url", url).where("url <> ''"), F.concat_ws("|", F.col(page).cast("string"), "url"), ["pos"])
     return top_per_group(first, [page], ["pos"], most)
 
@@ -161,7 +148,3 @@ def extraction_signals(rows: DataFrame, events: dict[str, str]) -> DataFrame:
     kind = F.create_map(*(F.lit(x) for kv in events.items() for x in kv))[F.lower("event")]
     named = rows.withColumn("person", F.when(~is_organisation(F.col("person")), F.col("person"))).withColumn("signal_type", kind)
     return named.where(F.col("signal_type").isNotNull() & (F.col("person").isNotNull() | (F.col("signal_type") == "funding_news")))
-
-
-def host(url: Column) -> Column:
-    return domain(url)

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidemark.operators.ranking import numbered
 from tidemark.functions.text import headline_key, text_of
 from tidemark.operators.ranking import keep_first
+from tidemark.tables import materialise
 
 
 def profile_deltas(observations: DataFrame, key: str, order: Sequence[str], headline: str) -> DataFrame:
@@ -96,15 +97,57 @@ def delete_types(table: DataFrame, column: str, kinds: Sequence[str]) -> tuple[D
     return table.where(~gone), table.where(gone).agg(F.count(F.lit(1)).alias("affected"))
 
 
-def insert_absent(table: DataFrame, rows: DataFrame, keys: Sequence[str], row_id: str, order: str) -> DataFrame:
-    """``table`` and the rows none of whose non-blank keys it has, with ids above its largest."""
-    fresh = rows
+def _claims(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The rows that a walk in ``order`` would put in: each whose keys no row put in before has.
+
+    A round puts in the rows that come first among all undecided ones for each of their keys, and leaves out those that share a key with them;
+    the rest goes on. At least the first undecided row of every connected group is decided in a round, and only undecided rows are read again.
+    """
+    spark, schema = rows.sparkSession, rows.schema
+    left, chosen = materialise(rows), []
+    while not left.isEmpty():
+        marked, free = left, F.lit(True)
+        for i, k in enumerate(keys):
+            first = left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_first{i}"))
+            marked = marked.join(first, k, "left")
+            free = free & (F.col(k).isNull() | (F.col(f"_first{i}") == F.col(order)))
+        marked = materialise(marked.withColumn("_in", free).select(*schema.names, "_in"))
+        won = marked.where("_in").drop("_in")
+        left = marked.where("not _in").drop("_in")
+        for k in keys:
+            left = left.join(won.select(k).where(F.col(k).isNotNull()).distinct(), k, "left_anti")
+        left = materialise(left.select(*schema.names))
+        chosen.append(won)
+    return reduce(DataFrame.unionByName, chosen, spark.createDataFrame([], schema))
+
+
+def insert_claims(table: DataFrame, rows: DataFrame, keys: Sequence[str], row_id: str, order: str) -> DataFrame:
+    """Each of ``rows`` with the id its insert returns, and ``inserted``: as if they came one after another in ``order`` (distinct numbers).
+
+    A row whose first key a row of ``table``, or one inserted before it, has gets that row's id; else the same for the next key; else it is inserted with an
+    id of its own, above the largest. Blank and null keys are none; a row without keys is always inserted. Of several rows of ``table`` with a key the one with the smallest id counts.
+    """
+    bare = lambda df: df.withColumns({k: F.when(F.trim(F.col(k).cast("string")) != "", F.col(k)) for k in keys})
+    held, new = bare(table), materialise(bare(rows))
+    slim = new.select(order, *keys)
     for k in keys:
-        have = table.where(text_of(F.col(k).cast("string")) != "").select(k).distinct()
-        fresh = fresh.join(have, k, "left_anti")
+        slim = slim.join(held.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
     top = table.agg(F.coalesce(F.max(row_id), F.lit(0))).first()[0]
-    placed = numbered(fresh, [order], "_n")
-    return table.unionByName(placed.withColumn(row_id, F.col("_n") + F.lit(top)).drop("_n"), allowMissingColumns=True)
+    won = materialise(numbered(_claims(slim.select(order, *keys), keys, order), [order], "_n").select(F.col(order).alias("_at"), *keys, (F.col("_n") + F.lit(top)).alias("_id")))
+    out = new.join(won.select(F.col("_at").alias(order), F.col("_id").alias("_own")), order, "left")
+    found = [F.col("_own")]
+    for i, k in enumerate(keys):
+        old = held.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(row_id).alias(f"_old{i}"))
+        mine = won.where(F.col(k).isNotNull()).select(k, F.col("_at").alias(f"_at{i}"), F.col("_id").alias(f"_new{i}"))
+        out = out.join(old, k, "left").join(mine, k, "left")
+        found += [F.col(f"_old{i}"), F.when(F.col(f"_at{i}") < F.col(order), F.col(f"_new{i}"))]
+    return out.select(*rows.columns, F.coalesce(*found).alias(row_id), F.col("_own").isNotNull().alias("inserted"))
+
+
+def insert_absent(table: DataFrame, rows: DataFrame, keys: Sequence[str], row_id: str, order: str) -> DataFrame:
+    """``table`` and the rows that are inserted, by the rule of ``insert_claims``."""
+    claimed = insert_claims(table, rows, keys, row_id, order).where("inserted").drop("inserted")
+    return table.unionByName(claimed.select(*(c for c in claimed.columns if c in table.columns)), allowMissingColumns=True)
 
 
 def apply_transitions(table: DataFrame, events: DataFrame, row_id: str, stages: Sequence[str], legacy: dict[str, str], order: str) -> DataFrame:
@@ -123,11 +166,23 @@ def write_back(signals: DataFrame, scores: DataFrame, key: str, name: str) -> Da
     return out.withColumn("score", F.coalesce("_by_key", F.when(F.col("score") == 0, F.col("_by_name")), "score")).drop("_by_key", "_by_name")
 
 
-def merge_json(current: Column, extra: Column) -> Column:
-    """The object ``extra`` (a map) merged into a JSON object text, its values winning."""
-    held = F.coalesce(F.from_json(current, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    kept = F.map_filter(held, lambda k, _: ~F.array_contains(F.map_keys(extra), k))
-    return F.to_json(F.map_concat(kept, extra))
+def merge_json(current: Column, extra: Column, under: str | None = None) -> Column:
+    """The JSON object text ``extra`` merged into the JSON object text ``current``, its values winning; with ``under`` it is put, whole, under that name.
+
+    Values keep their types and nested ones their shape, as VARIANT. A text that is no object counts as an empty one, as does null; of a
+    name that comes twice the last value counts. Names keep their places, new ones follow.
+    """
+
+    def entries(text: Column) -> Column:
+        found = F.map_entries(F.from_json(text, "map<string,variant>"))
+        names = F.transform(found, lambda e: e["key"])
+        last = F.filter(found, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"]))
+        return F.coalesce(last, F.array().cast("array<struct<key:string,value:variant>>"))
+
+    new = entries(extra) if under is None else F.array(F.struct(F.lit(under).alias("key"), F.try_parse_json(extra).alias("value")))
+    names = F.transform(new, lambda e: e["key"])
+    kept = F.filter(entries(current), lambda e: ~F.array_contains(names, e["key"]))
+    return F.to_json(F.map_from_entries(F.concat(kept, new)))
 
 
 class ProfileWatch(StatefulProcessor):
