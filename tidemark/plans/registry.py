@@ -26,7 +26,7 @@ def query(sql: str | None = None, plain: bool = False):
 
 
 def _load() -> None:
-    from tidemark.plans import evidence, flows, landings, listings, state_queries, texts  # noqa: F401
+    from tidemark.plans import evidence, flows, landings, lexicons, listings, state_queries, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
