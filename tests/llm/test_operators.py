@@ -417,6 +417,29 @@ def test_toxicity_scores_equal_a_plain_version():
     assert np.allclose(got, [plain(t) for t in texts], atol=1e-5)
 
 
+def test_hash_ranges_flag_what_one_filter_flags(spark):
+    rng = random.Random(7)
+    values = [rng.getrandbits(62) for _ in range(3000)]
+    values += values[:50] + [5] * 4000
+    rows = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "h long, n int").repartition(5)
+    times = Counter(values)
+    for slots in (256, 4096, 1 << 20):
+        got = exact_dedup.flag_repeats(rows, "h", slots).collect()
+        assert len(got) == len(values) and all(r.maybe_repeated for r in got if times[r.h] > 1)
+        assert sum(r.maybe_repeated for r in got if times[r.h] == 1) < 400, slots
+
+
+def test_pieces_of_several_spaces_are_drawn(spark):
+    model = tokenizer_file("piece_bpe_32k.model")
+    texts = ["a" + " " * n + "b" for n in (0, 1, 2, 3, 17, 63, 64, 65, 300)] + [" " * 200, "   lead", "tail   "]
+    docs = spark.createDataFrame([(i, t) for i in range(6) for t in texts], "doc_id long, text string")
+    held = pieces.load(model)
+    rows = pieces.decode(pieces.encode(docs, model), model).collect()
+    assert all(r.decoded == r.text for r in rows)
+    drawn = {held.raw[i] for r in rows for i in r.ids}
+    assert {b"  ", b" " * 16} <= drawn
+
+
 def test_toxicity_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(3)
     table, soft, bias = rng.normal(size=(40, 3)), rng.normal(size=(2, 3)), rng.normal(size=2)

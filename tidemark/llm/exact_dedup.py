@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import counters
 from tidemark.llm.hashing import mix
-from tidemark.llm.members import own, slots_for, unused
+from tidemark.llm.members import IdFilter, maybe_members, own, slots_for, unused
 from tidemark.tables import materialise
 
 PROBES = 4
 #: Slots for each row; and the most slots of one filter, 16 MB as bits at the driver and in each Python worker.
 PER_ROW, MOST = 8, 1 << 27
+#: Rows of one range of hashes, where they are too many for one filter: 8 MB of hashes and 8 MB of filter in a task.
+RANGE_ROWS = 1 << 20
 
 
 def _probes(keys: np.ndarray, slots: int) -> np.ndarray:
@@ -36,22 +38,42 @@ def _flagged(rows: DataFrame, hash_col: str, slots: int, out: str) -> DataFrame:
     return rows.withColumn(out, repeated(F.col(hash_col)))
 
 
+def _thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct hashes of each batch and whether they come twice in it: a hash of a third of all rows leaves a task once a batch."""
+    for batch in batches:
+        values, times = np.unique(batch.iloc[:, 0].to_numpy(), return_counts=True)
+        yield pd.DataFrame({"h": values, "n": np.minimum(times, 2).astype(np.int32)})
+
+
+def _found_in_ranges(hashes: DataFrame, ranges: int, slots: int) -> DataFrame:
+    """The hashes that may be repeated, in ``ranges`` partitions of the hashes with a filter of ``slots`` each, built and looked up in one task."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.concat([pd.DataFrame({"h": np.zeros(0, np.int64), "n": np.zeros(0, np.int32)}), *batches])
+        values, at = np.unique(held["h"].to_numpy(np.int64), return_inverse=True)
+        times = np.minimum(np.bincount(at, weights=held["n"].to_numpy(), minlength=len(values)), 2)
+        counts = np.zeros(slots, np.uint8)
+        for probe in _probes(values, slots):
+            counts = np.minimum(counts + np.bincount(probe, weights=times, minlength=slots), 2).astype(np.uint8)
+        yield pd.DataFrame({"h": values[(counts[_probes(values, slots)] >= 2).all(axis=0)]})
+
+    return hashes.mapInPandas(_thinned, "h long, n int").repartition(ranges, "h").mapInPandas(find, "h long")
+
+
 def flag_repeats(rows: DataFrame, hash_col: str, slots: int | None = None, out: str = "maybe_repeated", most: int = MOST) -> DataFrame:
     """``rows`` with ``out``: false only where no other row has the same ``hash_col`` (long, not null).
 
-    A filter has ``slots`` at most (by default PER_ROW for each row, up to ``most``). Where the rows ask for more, the
-    hashes are split in as many ranges as it takes, by their remainder; ``rows`` are then written once, by range, and each range is
-    filtered by itself. So the filter is as selective, and the driver holds as little, at any number of rows.
+    A filter has ``slots`` at most (by default PER_ROW for each row, up to ``most``). Where the rows ask for more, their hashes alone, thinned
+    before, are dealt in ranges of RANGE_ROWS rows at most; in one job each task fills and looks up the filter of its range, and the hashes it finds are
+    told from the others by a bitmap of bounded size. So work stays in proportion to the rows, and the driver holds no more at any number of them. Rows do not move.
     """
     number = rows.count()
-    slots = slots or slots_for(number, PER_ROW, most)
-    ranges = max(1, -(-number * PER_ROW // (2 * slots)))
-    if ranges == 1:
-        return _flagged(rows, hash_col, slots, out)
-    (part,) = unused(rows, "part")
-    split = materialise(rows.withColumn(part, F.pmod(F.col(hash_col), F.lit(ranges)).cast("int")), part)
-    found = [materialise(_flagged(split.where(F.col(part) == r), hash_col, slots, out).select(*own(rows), out)) for r in range(ranges)]
-    return reduce(DataFrame.unionByName, found)
+    full = slots or slots_for(number, PER_ROW, most)
+    if number * PER_ROW <= 2 * full:
+        return _flagged(rows, hash_col, full, out)
+    share = min(RANGE_ROWS, max(1, full // PER_ROW))
+    found = materialise(_found_in_ranges(rows.select(hash_col), -(-number // share), slots_for(share, PER_ROW, PER_ROW * RANGE_ROWS)))
+    return maybe_members(rows, hash_col, IdFilter(found), out)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int | None = None) -> DataFrame:
@@ -76,7 +98,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sl
     """The rows of ``docs`` that stay, with their own columns alone: one of each text (rows that share text and id leave one).
 
     Null texts count as empty, so one of those stays; a null id loses to any other. The same two passes; texts are read where they lie and only possibly
-    repeated rows meet others, while hashes fit one filter; beyond that texts are written once more, by range.
+    repeated rows meet others.
     """
     h, maybe, sha, key = unused(docs, "h", "maybe_repeated", "sha", "key")
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -17,6 +17,8 @@ from tidemark.tables import text_batches
 STEM = 6
 #: Bytes of texts that are sampled at once.
 RUN = 1 << 16
+#: Spaces of a run that a chunk holds at most; the longest piece of spaces has 16 in the public models.
+BLANKS = 64
 #: Arcs of chunk lattices that a Python worker remembers (about 16 bytes each); when there are more it starts anew.
 ARCS = 1 << 20
 
@@ -63,8 +65,8 @@ class Pieces:
 
     The meta symbol for a space is the space byte here, so that a meta symbol in a text is an
     ordinary character, written as byte pieces. A piece's weight follows Zipf's
-    law in its rank by score (a merge model's scores are ranks, not probabilities). Pieces that hold a space anywhere but at
-    their beginning (runs of spaces and phrases) are never drawn, since chunks end before every space; decoding knows them all.
+    law in its rank by score (a merge model's scores are ranks, not probabilities). Pieces of spaces, and of a word after spaces, are all in the lattice. A
+    piece that holds a space after other characters (the public models have none) is never drawn, since chunks end before a run of spaces; decoding knows them all.
     """
 
     def __init__(self, path: str):
@@ -82,7 +84,7 @@ class Pieces:
                 self.raw[i] = bytes([int(piece[3:5], 16)])
             elif not (held.is_control(i) or held.is_unknown(i) or held.is_unused(i)):
                 self.raw[i] = piece.replace("▁", " ").encode()
-                if b" " not in self.raw[i][1:]:
+                if b" " not in self.raw[i].lstrip(b" "):
                     usual.append(i)
         usual.sort(key=lambda i: (-held.get_score(i), i))
         self.weight = np.full(n, -np.inf)
@@ -171,9 +173,13 @@ class Pieces:
         data = np.frombuffer(b"".join(b" " + r for r in run), np.uint8)
         text_at = np.cumsum([0, *(len(r) + 1 for r in run)])
         border = self.border[data]
-        opens = (data == 32) | border
-        opens[1:] |= border[:-1]
+        space = data == 32
+        opens = space & np.concatenate(([True], ~space[:-1]))
         opens[text_at[:-1]] = True
+        index = np.arange(len(data))
+        opens |= space & ((index - np.maximum.accumulate(np.where(opens, index, 0))) % BLANKS == 0)
+        opens |= border
+        opens[1:] |= border[:-1]
         start = np.flatnonzero(opens)
         size = np.diff(start, append=len(data))
         key, index, back = np.unique(Spans(data).of(start, start + size), return_index=True, return_inverse=True)
@@ -243,7 +249,7 @@ def load(path: str) -> Pieces:
 def encode(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0, key_col: str = "doc_id", text_col: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with ``ids``, one sampled segmentation of every whole text; null counts as empty.
 
-    A text is cut before every space and around control characters no piece holds; pieces never
+    A text is cut before every run of spaces (and within one every BLANKS spaces) and around control characters no piece holds; pieces never
     reach over these cuts, so that each chunk has a lattice of its own, which a Python worker remembers for its next
     occurrences. ``alpha`` sharpens the distribution. The same key, seed and text give the same
     ids in any partitioning and order; a null key counts as a value, rows that repeat a key and text get the same ids. An empty
@@ -266,7 +272,7 @@ def encode(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0, key_c
 
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``rows`` with the text that ``ids`` spell."""
+    """``rows`` with the text that ``ids`` spell: null for null, the empty text for no ids, as for the one space of an empty text. An empty table gives an empty one."""
 
     @F.pandas_udf("string")
     def spelt(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
