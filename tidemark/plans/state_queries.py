@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark.streaming.kept import Kept
+from tidemark.tables import materialise, shared_dir
 from tidemark.functions import text as T
 from tidemark.functions.words import STAGES
 from tidemark.operators.joins import dictionary_matches
@@ -161,31 +166,40 @@ def t14_progressive_themes(v: Views) -> DataFrame:
 @query(f"SELECT profile::VARCHAR AS key, ord, delta FROM ({_DELTAS})")
 def t01_t15_profile_stream(v: Views) -> DataFrame:
     """The same deltas by a stream: state per profile, what has arrived, then stop."""
-    import uuid
-
-    from tidemark.tables import shared_dir
-
     spark, base = v.spark, f"{shared_dir(v.spark)}/stream-{uuid.uuid4().hex}"
     numbered = v.observations.withColumn("ord", F.row_number().over(Window.partitionBy("profile").orderBy("ord", "headline")) - 1)
     numbered.select("profile", "ord", "headline").write.parquet(f"{base}/in")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with state.rocksdb(spark):
         seen = spark.readStream.schema("profile long, ord int, headline string").parquet(f"{base}/in")
         state.run_available(state.watch_profiles(seen, "profile", "ord", "headline"), f"{base}/out", f"{base}/marks")
-    finally:
-        spark.conf.set(provider, before)
     return spark.read.schema("key string, ord long, delta string").parquet(f"{base}/out")
 
 
+_KEY90 = "substr(trim(regexp_replace(lower(headline), '\\s+', ' ', 'g')), 1, 90)"
+
+
+@query(f"""WITH d AS ({_DELTAS}), o AS (SELECT profile, row_number() OVER (PARTITION BY profile ORDER BY ord, headline) - 1 AS ord, headline, role FROM observations),
+  j AS (SELECT o.*, d.delta FROM o JOIN d ON d.profile = o.profile AND d.ord = o.ord)
+  SELECT a.profile::VARCHAR AS key, a.ord, a.delta, coalesce(arg_min(b.role, b.ord) FILTER (trim(b.role) <> ''), '') AS name,
+    array_to_string(list(substr(b.headline, 1, 150) ORDER BY b.ord DESC) FILTER (b.delta <> 'seen')[1:6], ' / ') AS headlines FROM j a JOIN j b ON b.profile = a.profile AND b.ord <= a.ord GROUP BY ALL""")
+def t02_daily_profile_stream(v: Views) -> DataFrame:
+    """Four daily runs on one checkpoint: three with new files, the last with none. Deltas, the name that is filled once, and six headlines as of each observation, latest first."""
+    spark, base = v.spark, f"{shared_dir(v.spark)}/stream-{uuid.uuid4().hex}"
+    numbered = v.observations.withColumn("ord", F.row_number().over(Window.partitionBy("profile").orderBy("ord", "headline")) - 1)
+    numbered = materialise(numbered.select("profile", "ord", "headline", "role"))
+    with state.rocksdb(spark):
+        for day in ("ord < 2", "ord between 2 and 4", "ord > 4", None):
+            if day:
+                numbered.where(day).write.mode("append").parquet(f"{base}/in")
+            seen = spark.readStream.schema("profile long, ord int, headline string, role string").parquet(f"{base}/in")
+            state.run_available(state.watch_profiles(seen, "profile", "ord", "headline", name="role"), f"{base}/out", f"{base}/marks")
+    out = spark.read.schema("key string, ord long, delta string, name string, headlines array<string>").parquet(f"{base}/out")
+    return out.withColumn("headlines", F.array_join(F.reverse("headlines"), " / "))
+
+
 @query(f"SELECT label, n FROM ({_N}) WHERE n > 0")
 def t14_running_counts_stream(v: Views) -> DataFrame:
     """Theme counts by a stream over arriving files, renewed as each file comes."""
-    import uuid
-
-    from tidemark.tables import shared_dir
-
     spark, base = v.spark, f"{shared_dir(v.spark)}/stream-{uuid.uuid4().hex}"
     v.themes.select("part", "text").write.parquet(f"{base}/in")
     counts = state.running_counts(spark.readStream.schema("part long, text string").parquet(f"{base}/in"), T.all_labels(F.col("text"), THEMES))
@@ -194,17 +208,47 @@ def t14_running_counts_stream(v: Views) -> DataFrame:
     return spark.read.schema("label string, n long").parquet(f"{base}/out")
 
 
-@query("SELECT DISTINCT CASE WHEN id % 4 = 0 THEN source || '|' || signal_type || '|' || person_linkedin ELSE url END AS key FROM signals")
-def t07_first_sightings(v: Views) -> DataFrame:
-    """Each signal once within 90 days, by a stream that drops repeats within its watermark; without a URL by source, type and profile."""
-    import uuid
+_SIGHTING = "CASE WHEN id % 4 = 0 THEN source || '|' || signal_type || '|' || person_linkedin ELSE url END"
+
 
-    from tidemark.tables import shared_dir
+@query(f"SELECT DISTINCT {_SIGHTING} AS key, 0 AS run FROM signals UNION ALL SELECT DISTINCT {_SIGHTING}, 2 FROM signals")
+def t07_first_sightings(v: Views) -> DataFrame:
+    """Each signal once within 90 days, by a stream that drops repeats within its watermark; without a URL by source, type and profile.
 
+    Three runs on one checkpoint: all signals; those of even id 400 days on, which are repeats of keys still held and move the watermark past these; all
+    of them 800 days on, which are first sightings again, with further ones older than the watermark, which come too late.
+    """
     spark, base = v.spark, f"{shared_dir(v.spark)}/stream-{uuid.uuid4().hex}"
     url = F.when(F.col("id") % 4 != 0, F.col("url"))
     key = state.sighting_key(url, F.col("source"), F.col("signal_type"), F.col("person_linkedin"))
-    v.signals.select(key.alias("key"), F.col("detected_at").cast("timestamp").alias("ts")).write.parquet(f"{base}/in")
-    seen = state.first_sightings(spark.readStream.schema("key string, ts timestamp").parquet(f"{base}/in"), "key", "ts")
-    state.run_available(seen, f"{base}/out", f"{base}/marks")
-    return spark.read.schema("key string, ts timestamp").parquet(f"{base}/out").select("key")
+    s = v.signals.select("id", key.alias("key"), F.col("detected_at").cast("timestamp").alias("ts"))
+    later = lambda df, days: df.withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(days)))
+    late = s.withColumn("key", F.concat(F.lit("late "), "key"))
+    for run, rows in enumerate((s, later(s.where("id % 2 = 0"), 400), later(s, 800).unionByName(late))):
+        rows.select("key", "ts", F.lit(run).alias("run")).write.mode("append").parquet(f"{base}/in")
+        seen = state.first_sightings(spark.readStream.schema("key string, ts timestamp, run int").parquet(f"{base}/in"), "key", "ts")
+        state.run_available(seen, f"{base}/out", f"{base}/marks")
+    return spark.read.schema("key string, ts timestamp, run int").parquet(f"{base}/out").select("key", "run")
+
+
+@query("SELECT url AS key, min(detected_at)::DATE AS first_seen, max(detected_at)::DATE AS last_seen, count(*) AS times FROM signals GROUP BY url")
+def t04_kept_ledger(v: Views) -> DataFrame:
+    """The ledger of evidence over four runs of a week each, kept in buckets on disk; a run that fails between two of them changes nothing."""
+    found = v.signals.select(F.col("url").alias("key"), F.col("detected_at").cast("date").alias("day"))
+    empty = found.select("key", F.col("day").alias("first_seen"), F.col("day").alias("last_seen"), F.lit(1).cast("long").alias("times"))
+    ledger = Kept(v.spark, f"{shared_dir(v.spark)}/kept-{uuid.uuid4().hex}", "key", empty.schema)
+
+    def merged(old: DataFrame, news: DataFrame) -> DataFrame:
+        both = old.unionByName(news)
+        return both.groupBy("key").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("times").alias("times"))
+
+    week = F.least(F.lit(3), F.floor((F.dayofmonth("first_seen") - 1) / 7))
+    for run in range(4):
+        ledger.merge(empty.where(week == run), merged)
+        if run == 1:
+            try:
+                ledger.merge(empty, lambda old, _: old.select("key", F.raise_error(F.lit("lost")).cast("date").alias("first_seen"), "last_seen", "times"))
+            except PySparkException as error:
+                if "lost" not in str(error):
+                    raise
+    return ledger.read()

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.ranking import numbered
@@ -186,33 +187,68 @@ def merge_json(current: Column, extra: Column, under: str | None = None) -> Colu
 
 
 class ProfileWatch(StatefulProcessor):
-    """The headline last seen of each key, and how many came before; one delta for each observation, in run order."""
+    """Per key the headline last seen, the last ``most`` that were new or changed, and the first name that is not blank; one row for each observation, in run order."""
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int | None = None, most: int = 6, chars: int = 150):
+        self.ttl_ms, self.most, self.chars = ttl_ms, most, chars
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "form string", ttlDurationMs=self.ttl_ms)
+        self.name = handle.getValueState("name", "name string", ttlDurationMs=self.ttl_ms)
+        self.headlines = handle.getListState("headlines", "headline string", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("ord")
         held = self.last.get()[0] if self.last.exists() else None
+        name = self.name.get()[0] if self.name.exists() else ""
+        shown = [h[0] for h in self.headlines.get()] if held is not None else []
         out = []
-        for form in batch["form"]:
-            out.append("new" if held is None else "seen" if form == held else "changed")
+        for form, headline, called in zip(batch["form"], batch["headline"], batch["name"], strict=True):
+            delta = "new" if held is None else "seen" if form == held else "changed"
+            name = name or (called or "").strip()
+            if delta != "seen":
+                shown = [*shown, (headline or "")[: self.chars]][-self.most :]
+            out.append((delta, name, list(shown)))
             held = form
-        if len(batch):
+        if out:
             self.last.update((held,))
-        yield pd.DataFrame({"key": batch["key"].to_numpy(), "ord": batch["ord"].to_numpy(), "delta": out})
+            self.headlines.put([(h,) for h in shown])
+            if name:
+                self.name.update((name,))
+        yield pd.DataFrame({"key": batch["key"].to_numpy(), "ord": batch["ord"].to_numpy(), "delta": [o[0] for o in out], "name": [o[1] for o in out], "headlines": [o[2] for o in out]})
 
     def close(self) -> None:
         pass
 
 
-def watch_profiles(observations: DataFrame, key: str, order: str, headline: str, ttl_ms: int | None = None) -> DataFrame:
-    """``key, ord, delta`` of a stream of observations, by state held per key (RocksDB)."""
-    slim = observations.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("ord"), headline_key(F.col(headline)).alias("form"))
-    return slim.groupBy("key").transformWithStateInPandas(ProfileWatch(ttl_ms), "key string, ord long, delta string", "Append", "ProcessingTime" if ttl_ms else "None")
+def watch_profiles(observations: DataFrame, key: str, order: str, headline: str, ttl_ms: int | None = None, name: str | None = None) -> DataFrame:
+    """``key, ord, delta, name, headlines`` of a stream of observations, by state held per key (RocksDB).
+
+    ``headlines`` are the last six that were new or changed, as of that observation, oldest first. With ``ttl_ms`` a
+    key that is not seen for so long (by the clock of the run) is forgotten and comes back as new. A null key is a key; a null headline is blank.
+    """
+    called = F.col(name).cast("string") if name else F.lit("")
+    slim = observations.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("ord"), headline_key(F.col(headline)).alias("form"), text_of(F.col(headline)).alias("headline"), text_of(called).alias("name"))
+    return slim.groupBy("key").transformWithStateInPandas(ProfileWatch(ttl_ms), "key string, ord long, delta string, name string, headlines array<string>", "Append", "ProcessingTime" if ttl_ms else "None")
+
+
+@contextmanager
+def session_with(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """The session with ``settings`` (dots as double underscores), as it was after."""
+    settings = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def rocksdb(spark: SparkSession):
+    """The state store that stateful processors need, for the queries started within."""
+    return session_with(spark, spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def first_sightings(signals: DataFrame, key: str, ts: str, delay: str = "90 days") -> DataFrame:
@@ -233,7 +269,11 @@ def progressive(baseline: DataFrame, enriched: DataFrame, by: str, value: str) -
     return done.select(by, F.col("final").alias(value), "arrived", F.lit(share).cast("double").alias("progress_pct"))
 
 
-def run_available(frame: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what has arrived since the last run, then stop: a daily run is this call with the same checkpoint."""
-    query = frame.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_available(frame: DataFrame, out: str, checkpoint: str, mode: str = "append", by_clock: bool = False) -> None:
+    """Process what has arrived since the last run, then stop: a daily run is this call with the same checkpoint.
+
+    ``by_clock`` is for state that expires by the clock: Spark would go on with batches without data there for ever.
+    """
+    with session_with(frame.sparkSession, spark__sql__streaming__noDataMicroBatches__enabled=str(not by_clock).lower()):
+        query = frame.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
