@@ -1,13 +1,18 @@
-"""Registered queries: dictionaries and names, as tables of any size, against whole texts."""
+"""Registered queries: dictionaries, names and searches against whole texts, sketches of days, sources apart from each other."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators import joins, lexicon
+from tidemark.operators import joins, lexicon, sketches
+from tidemark.operators.search import Index
 from tidemark.plans.bindings import Views
 from tidemark.plans.registry import query
 from tidemark.plans.texts import cat
+from tidemark.sources.isolated import union_of
+from tidemark.tables import shared_dir
 
 _T = r"regexp_extract_all(lower(text), '[\p{L}\p{N}#]+')"
 
@@ -52,3 +57,44 @@ def j09_employed_by_table(v: Views) -> DataFrame:
     line = F.when(n == 0, cat("ex-", text)).when(n == 1, text).when(n == 2, cat("previously at ", text)).otherwise(cat("now Former ", text, " and ", text))
     companies = v.raw("part").select(F.explode(F.split("p_name", " ")).alias("company"))
     return lexicon.employed(v.themes.select("part", line.alias("line")), "part", "line", companies, "company")
+
+
+@query("SELECT doc_id, length(coalesce(text, '')) AS chars FROM documents WHERE contains(lower(text), 'tion') AND contains(lower(text), 'the') AND (contains(lower(text), 'rc1') OR contains(lower(source), 'rc1'))", plain=True)
+def f12_indexed_search(v: Views) -> DataFrame:
+    """All documents posted in two runs, then three terms in two columns."""
+    docs, columns = v.raw("documents"), ["text", "source"]
+    index = Index(v.spark, f"{shared_dir(v.spark)}/index-{uuid.uuid4().hex}")
+    index.add(docs.where("doc_id % 2 = 0"), "doc_id", columns)
+    index.add(docs.where("doc_id % 2 <> 0"), "doc_id", columns)
+    return index.search(docs, "doc_id", columns, "tion the rc1").select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
+
+
+_DAY = "detected_at::DATE > DATE '2024-01-31' - w"
+
+
+@query(f"""SELECT w::INT AS days, signal_type, count(*) AS n, count(DISTINCT person_name) AS n_distinct FROM signals JOIN (SELECT unnest([1, 7, 30]) AS w) ON {_DAY} AND detected_at::DATE <= DATE '2024-01-31' GROUP BY ALL""")
+def a02_a04_sketched_windows(v: Views) -> DataFrame:
+    """Signals and distinct persons by type in 1, 7 and 30 days, merged from rows of days."""
+    days = sketches.day_sketches(v.signals, F.col("detected_at").cast("date"), F.col("person_name"), ["signal_type"], lg=16)
+    return sketches.windows(days, "2024-01-31", (1, 7, 30), ["signal_type"])
+
+
+@query("""SELECT signal_type AS item, count(*) AS n FROM signals WHERE detected_at::DATE > DATE '2024-01-31' - 30 AND detected_at::DATE <= DATE '2024-01-31' GROUP BY 1 ORDER BY n DESC LIMIT 5""")
+def a08_sketched_top_labels(v: Views) -> DataFrame:
+    """The most frequent types of 30 days, merged from rows of days."""
+    return sketches.top_of(sketches.day_tops(v.signals, F.col("detected_at").cast("date"), F.col("signal_type")), "2024-01-31", 30, 5)
+
+
+@query("""SELECT 'news' AS source, 'completed' AS status, count(*) AS n FROM articles UNION ALL SELECT 'event', 'completed', count(*) FROM signals UNION ALL SELECT 'part', 'completed', count(*) FROM themes
+  UNION ALL SELECT 'gone', 'failed', 0 UNION ALL SELECT 'odd', 'failed', 0""")
+def u01_failing_sources(v: Views) -> DataFrame:
+    """Five sources, of which one has no folder and one words for numbers: the others' rows, and what became of each."""
+    odd = lambda: v.articles.select(F.col("title").alias("ref"), F.col("title").alias("text"))
+    sources = {
+        "news": lambda: v.articles.select(F.col("ord").alias("ref"), F.col("title").alias("text")), "event": lambda: v.signals.select(F.col("id").alias("ref"), F.col("description").alias("text"), "score"),
+        "part": lambda: v.themes.select(F.col("part").alias("ref"), "text"), "gone": lambda: v.raw("no_such_table"), "odd": odd,
+    }
+    rows, status = union_of(v.spark, sources, "ref long, text string, score double")
+    if status.agg(F.sum("rows")).first()[0] != rows.count():
+        raise ValueError("rows of a source are missing")
+    return status.select("source", "status", F.col("rows").alias("n"))
