@@ -24,6 +24,13 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def turned_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all vectors and as many turned copies, each near its own: the table by itself may hold no link at all."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    turned = F.transform("embedding", lambda x, i: F.when(i == F.pmod("vec_id", F.lit(64)), x + 0.15).otherwise(x))
+    return embeddings.near_vectors(v.unionByName(v.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), "label", turned.alias("embedding"))))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -97,7 +104,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_quality, op3_ngram_join, op4_exact_dedup, op5_sampled_pieces, op6_chat_windows, op7_weighted_mix, op8_secret_scan, op9_toxicity, op10_token_counts, op11_url_filter, op12_whitening, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_quality, op3_ngram_join, op4_exact_dedup, op5_sampled_pieces, op6_chat_windows, op7_weighted_mix, op8_secret_scan, op9_toxicity, op10_token_counts, op11_url_filter, op12_whitening, op13_collocations, turned_near_dedup)}
 
 SQL = {
     "op1_embedding_near_dedup": """
@@ -243,6 +250,13 @@ SQL = {
         LEFT JOIN times x ON x.doc_id = s.doc_id AND x.source IS NOT DISTINCT FROM s.source""",
 }
 
+SQL["turned_near_dedup"] = SQL["op1_embedding_near_dedup"].replace("embeddings", "turned").replace(
+    "WITH RECURSIVE",
+    """WITH RECURSIVE turned AS (
+          SELECT vec_id, label, embedding::DOUBLE[] AS embedding FROM embeddings
+          UNION ALL SELECT vec_id + 1000000000, label, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN i = vec_id % 64 + 1 THEN x + 0.15 ELSE x END) FROM embeddings),""",
+)
+
 
 def queries() -> dict:
     return dict(QUERIES)
