@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import gates, text as T
 from tidemark.operators import ranking, resolve, scoring
+from tidemark.operators.entities import Entities
 from tidemark.plans.bindings import AS_OF, TONGUES, Views, contains_sql
 from tidemark.plans.registry import query
 from tidemark.plans.texts import cat, choose
 from tidemark.sources import sinks
 from tidemark.streaming import state
+from tidemark.tables import materialise, shared_dir
 
 _T = "title || ' ' || summary"
 _EN, _FR, _DE, _ES = (ws for _, ws in TONGUES)
@@ -44,6 +48,17 @@ def g01_clusters(v: Views) -> DataFrame:
     return resolve.clusters(v.persons, "pid", _keys()).select("pid", "cluster")
 
 
+@query(f"WITH {_CLUSTER} SELECT pid, cluster FROM cl")
+def g01_clusters_over_runs(v: Views) -> DataFrame:
+    """The same from three runs of a third of the persons each, in turn, so that later ones join what earlier ones held apart; clusters by their smallest id."""
+    held = Entities(v.spark, f"{shared_dir(v.spark)}/entities-{uuid.uuid4().hex}", buckets=8)
+    for run in range(3):
+        held.add(v.persons.where(F.col("pid") % 3 == run), "pid", _keys())
+    found = materialise(held.resolved())
+    least = found.groupBy("entity").agg(F.min("id").alias("cluster"))
+    return found.join(least, "entity").select(F.col("id").alias("pid"), "cluster")
+
+
 @query(f"""WITH {_CLUSTER}, p AS (SELECT cl.cluster, p.*, CASE WHEN p.pid % 4 = 0 THEN 0 ELSE 100000 END + p.pid AS o FROM persons p JOIN cl ON cl.pid = p.pid)
   SELECT cluster, count(*) AS n_records, arg_max(sector, length(sector) * 1000000 - o) AS sector, coalesce(arg_min(location, o) FILTER (pid % 3 <> 0), '') AS location, max(p_score) AS p_score, bool_or(region = 'ASIA') AS asian FROM p GROUP BY cluster""")
 def g02_g04_folded_entities(v: Views) -> DataFrame:

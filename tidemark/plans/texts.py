@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions import html as H, gates, text as T
 from tidemark.functions.words import REGIONS
 from tidemark.operators.scoring import percent_change, snippet_score, type_weight
-from tidemark.operators.ranking import top_per_group
+from tidemark.operators.ranking import numbered, top_per_group
 from tidemark.plans.bindings import TONGUES, Views, contains_sql
 from tidemark.plans.registry import query
 from tidemark.sources import landed
@@ -302,6 +302,19 @@ def s14_c11_quotes(v: Views) -> DataFrame:
     return landed.quotes(raw).select("symbol", F.coalesce("change_pct", percent_change(F.lit(1.0), F.lit(0.0))).alias("change_pct"))
 
 
+@query("SELECT o_orderkey AS symbol, row_number() OVER (ORDER BY o_custkey % 2 = 0 DESC, o_orderpriority, o_orderkey) AS place FROM orders", plain=True)
+def w11_quote_order(v: Views) -> DataFrame:
+    """The places of all quotes: indexes first, then by region and name, numbered by a sort in ranges."""
+    rows = v.raw("orders").select(F.col("o_orderkey").alias("symbol"), F.col("o_orderpriority").alias("geo"), (F.col("o_custkey") % 2 != 0).alias("_rest"))
+    return numbered(rows, ["_rest", "geo", "symbol"]).select("symbol", "place")
+
+
+@query("""SELECT doc_id, contains(lower(text), 'tion') OR contains(lower(text), 'ing ') AS tech FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""", plain=True)
+def f14_tech_terms(v: Views) -> DataFrame:
+    """Registry texts by technical terms, over all documents."""
+    return v.raw("documents").select("doc_id", T.any_of(F.col("text"), ("tion", "ing ")).alias("tech"))
+
+
 @query("""WITH r AS (SELECT pid, ['VP at Grab building something', 'founder and co-founder', 'webinar for founder', 'serial founder, stealth'][pid % 4 + 1] AS t FROM persons)
   SELECT pid, [50, 44, 0, 59][pid % 4 + 1]::INT AS score, [15, 18, 10, 0][pid % 4 + 1]::INT AS weight FROM r""")
 def c01_snippet_scores(v: Views) -> DataFrame:
