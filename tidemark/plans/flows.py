@@ -151,11 +151,48 @@ def c10_preferred_scores(v: Views) -> DataFrame:
     return scoring.preferred_score(s, given, "u", 45).select("u", F.col("score").cast("int").alias("score"))
 
 
-@query(f"""WITH {_SCORED} SELECT row_number() OVER (ORDER BY score DESC, u) AS ord, row_number() OVER (ORDER BY score DESC, u) <= 10 AS has_section, 'User ' || u AS name FROM scored""")
+_KINDS = {"F": "github_launch", "O": "funding_news", "P": "odd_kind"}
+_BUYERS = """p AS (SELECT pid, name, greatest(0, least(100, p_score / 100)) AS score FROM persons), q AS (SELECT *, CASE WHEN score >= 60 THEN 'investigate' WHEN score >= 42 THEN 'watchlist' WHEN pid % 9 = 0 THEN 'none' ELSE 'pass' END AS action FROM p),
+  s AS (SELECT o_custkey AS pid, o_orderkey AS ord, o_orderpriority AS source, CASE o_orderstatus WHEN 'F' THEN 'github_launch' WHEN 'O' THEN 'funding_news' ELSE 'odd_kind' END AS kind, 'Order ' || o_orderkey || repeat(' of many', o_orderkey % 20) AS said FROM orders),
+  r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY ord) AS k FROM s)"""
+
+
+def _buyers(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Customers as scored persons, and their orders as signals."""
+    pid, score = F.col("pid"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("p_score") / 100))
+    p = v.persons.select("pid", "name", score.alias("score"), "sector", "location")
+    action = F.when(F.col("score") >= 60, "investigate").when(F.col("score") >= 42, "watchlist").when(pid % 9 == 0, "none").otherwise("pass")
+    strengths = F.slice(F.array(F.col("sector"), F.col("location"), F.lit("third"), F.lit("fourth")), 1, (pid % 5).cast("int"))
+    p = p.select("pid", "name", "score", action.alias("action"), strengths.alias("strengths"), F.slice(F.array(F.lit("one"), F.lit("two"), F.lit("three")), 1, (pid % 4).cast("int")).alias("risks"))
+    kind = F.create_map(*(F.lit(x) for kv in _KINDS.items() for x in kv))[F.col("o_orderstatus")]
+    o = F.col("o_orderkey")
+    s = v.raw("orders").select(F.col("o_custkey").alias("pid"), o.alias("id"), F.col("o_orderpriority").alias("source"), F.coalesce(kind, F.lit("odd_kind")).alias("signal_type"), F.concat(cat("Order ", o), F.repeat(F.lit(" of many"), (o % 20).cast("int"))).alias("description"))
+    return p, s
+
+
+@query(f"""WITH {_BUYERS}, b AS (SELECT pid, string_agg('- ' || CASE kind WHEN 'github_launch' THEN '🐙 GitHub' WHEN 'funding_news' THEN '💰 Funding' ELSE '• odd_kind' END || ': ' || substr(said, 1, 120), chr(10) ORDER BY ord) AS lines, arg_min(said, ord) AS said FROM r WHERE k <= 5 GROUP BY pid),
+  m AS (SELECT q.*, x.sector, x.location, row_number() OVER (ORDER BY q.score DESC, q.pid) AS place, CASE action WHEN 'investigate' THEN '🟢 INVESTIGATE' WHEN 'watchlist' THEN '🟡 WATCHLIST' WHEN 'pass' THEN '🔴 PASS' ELSE '⚪ UNKNOWN' END AS called, round(q.score)::INT AS shown, round(q.score / 10)::INT AS full_ FROM q JOIN persons x ON x.pid = q.pid)
+  SELECT 0::INT AS part, 0::BIGINT AS ord, '**' || (SELECT count(*) FROM s) || ' signals** · **' || (SELECT count(*) FROM p) || ' founders scored**' AS line
+  UNION ALL SELECT 1, place, concat_ws(chr(10), '### ' || place || '. ' || name || chr(10) || '**Score:** `' || shown || '/100` `' || repeat('█', full_) || repeat('░', 10 - full_) || '` ' || called,
+      CASE WHEN m.pid % 5 > 0 THEN '**Strengths:** ' || array_to_string([sector, location, 'third'][1:(m.pid % 5)::INT], ' · ') END, CASE WHEN m.pid % 4 > 0 THEN '**Risks:** ' || array_to_string(['one', 'two'][1:(m.pid % 4)::INT], ' · ') END, lines)
+    FROM m LEFT JOIN b ON b.pid = m.pid WHERE place <= 40
+  UNION ALL SELECT 2, place, '| ' || name || ' | ' || shown || ' | ' || called || ' | ' || coalesce(substr(said, 1, 60), '') || '... |' FROM m LEFT JOIN b ON b.pid = m.pid WHERE place > 40
+  UNION ALL SELECT 3, row_number() OVER (ORDER BY n DESC, source), '| ' || source || ' | ' || n || ' |' FROM (SELECT source, count(*) AS n FROM s GROUP BY source)""")
 def k02_digest(v: Views) -> DataFrame:
-    lines = sinks.digest(scoring.rule_score(_profiles(v)), [F.desc("score"), F.col("u")], 10)
-    name = F.when(F.col("line").startswith("##"), F.regexp_extract("line", r"## \d+\. (User \d+) ", 1)).otherwise(F.regexp_extract("line", r"\| (User \d+) \|", 1))
-    return lines.select("ord", F.col("line").startswith("##").alias("has_section"), name.alias("name"))
+    """The whole text of the digest, line by line."""
+    persons, signals = _buyers(v)
+    return sinks.digest(persons, signals, "pid", "id", [F.desc("score"), F.col("pid")], 40)
+
+
+@query(f"""WITH {_BUYERS}, b AS (SELECT pid, string_agg('{{"source":"' || source || '","signal_type":"' || kind || '","description":"' || said || '"}}', ',' ORDER BY ord) AS j FROM r WHERE k <= 8 GROUP BY pid)
+  SELECT 0::BIGINT AS ord, '{{"total_persons":' || (SELECT count(*) FROM p) || ',"total_signals":' || (SELECT count(*) FROM s) || ',"source_breakdown":{{' || (SELECT string_agg('"' || source || '":' || n, ',' ORDER BY source) FROM (SELECT source, count(*) AS n FROM s GROUP BY source)) || '}}}}' AS json
+  UNION ALL SELECT row_number() OVER (ORDER BY q.score DESC, q.pid), '{{"pid":' || q.pid || ',"name":"' || name || '","action":"' || action || '","signals":[' || coalesce(j, '') || ']}}' FROM q LEFT JOIN b ON b.pid = q.pid""")
+def k01_dashboard_export(v: Views) -> DataFrame:
+    """The dashboard in one table of lines: totals and sources, then persons with up to eight signals."""
+    persons, signals = _buyers(v)
+    place = persons.select("pid", "score")
+    lines = sinks.dashboard_export(persons.select("pid", "name", "action").join(place, "pid"), signals, "pid", "id", [F.desc("score"), F.col("pid")])
+    return lines.select("ord", F.regexp_replace("json", r',"score":[0-9.E-]+', "").alias("json"))
 
 
 @query("""SELECT user_id AS u, least(8, count(*)) AS n_signals, array_to_string((list(event_id || ':src' || (user_id % 5) ORDER BY event_id))[1:8], ' ') AS held FROM events GROUP BY user_id""")
