@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions import html as H, gates, text as T
+from tidemark.functions import gates, html as H, text as T, words as W
 from tidemark.functions.words import REGIONS
 from tidemark.operators.scoring import percent_change, snippet_score, type_weight
 from tidemark.operators.ranking import numbered, top_per_group
@@ -323,3 +323,17 @@ def c01_snippet_scores(v: Views) -> DataFrame:
     return v.persons.select("pid", snippet_score(t).alias("score"), type_weight(kind).alias("weight"))
 
 
+_SCORE = f"20 + CASE WHEN {contains_sql('text', ('tion',))} THEN 8 ELSE 0 END + CASE WHEN {contains_sql('text', ('ing ',))} THEN 16 ELSE 0 END + CASE WHEN {contains_sql('text', W.SENIOR_SNIPPET)} THEN 12 ELSE 0 END + CASE WHEN {contains_sql('text', W.PEDIGREE)} THEN 10 ELSE 0 END + CASE WHEN {contains_sql('text', ('second-time', 'serial'))} THEN 15 ELSE 0 END"
+
+
+@query(f"SELECT doc_id, CASE WHEN {contains_sql('text', ('***', 'http'))} THEN 0 ELSE least(85, {_SCORE}) END::INT AS score FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)", plain=True)
+def c01_document_scores(v: Views) -> DataFrame:
+    """Scores of the whole texts of all documents, with terms that they hold."""
+    return v.raw("documents").select("doc_id", snippet_score(F.col("text"), (("tion", 1), ("ing ", 2)), ("***", "http")).cast("int").alias("score"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b(the|der|les|los|of|of the)\b', 1)) AS x, generate_subscripts(regexp_extract_all(text, '(?i)\b(the|der|les|los|of|of the)\b', 1), 1) AS place FROM documents),
+  f AS (SELECT doc_id, lower(x), min(place) AS place, arg_min(x, place) AS x FROM w GROUP BY 1, 2) SELECT d.doc_id, coalesce(array_to_string(list(f.x ORDER BY f.place)[1:3], ','), '') AS named FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id""", plain=True)
+def p24_document_words(v: Views) -> DataFrame:
+    """The first three listed words of each document, without repeats in another case."""
+    return v.raw("documents").select("doc_id", F.array_join(T.education(F.col("text"), ("the", "der", "les", "los", "of", "of the")), ",").alias("named"))
