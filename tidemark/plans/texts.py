@@ -332,7 +332,7 @@ def c01_document_scores(v: Views) -> DataFrame:
     return v.raw("documents").select("doc_id", snippet_score(F.col("text"), (("tion", 1), ("ing ", 2)), ("***", "http")).cast("int").alias("score"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b(the|der|les|los|of|of the)\b', 1)) AS x, generate_subscripts(regexp_extract_all(text, '(?i)\b(the|der|les|los|of|of the)\b', 1), 1) AS place FROM documents),
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b(the|der|les|los|of|of the)\b', 1)) AS x, generate_subscripts(regexp_extract_all(text, '(?i)\b(the|der|les|los|of|of the)\b', 1), 1) AS place FROM (SELECT doc_id, regexp_replace(text, '[À-ɏ]', 'z', 'g') AS text FROM documents)),
   f AS (SELECT doc_id, lower(x), min(place) AS place, arg_min(x, place) AS x FROM w GROUP BY 1, 2) SELECT d.doc_id, coalesce(array_to_string(list(f.x ORDER BY f.place)[1:3], ','), '') AS named FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id""", plain=True)
 def p24_document_words(v: Views) -> DataFrame:
     """The first three listed words of each document, without repeats in another case."""
