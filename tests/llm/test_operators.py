@@ -417,6 +417,31 @@ def test_toxicity_scores_equal_a_plain_version():
     assert np.allclose(got, [plain(t) for t in texts], atol=1e-5)
 
 
+def test_windows_of_a_conversation_of_very_many_turns(spark):
+    """Greedy windows of 20,000 turns, against a walk; every target text is learnt once."""
+    conf = chat.Window(budget=64, history_turns=2, history_tokens=16)
+    rows = [(1 if i % 3 else None, i, "system" if i == 1 else ("user", "assistant")[i % 2], f"w{i} " * (i % 9), "x") for i in range(30_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string").repartition(4)
+    got = sorted(((r.conv_id or 0, r.window, r.n_context, r.n_tokens, len(r.loss)) for r in chat.format_windows(turns, conf).collect()))
+    want = []
+    for conv in (1, None):
+        own = [(r[2], len(r[3].split()) + chat.MARKS) for r in rows if r[0] == conv]
+        system = int(own[0][0] == "system")
+        room, starts, used = max(1, conf.budget - conf.history_tokens - (own[0][1] if system else 0)), [], 0
+        for i in range(system, len(own)):
+            if not starts or used + own[i][1] > room:
+                starts.append(i)
+                used = 0
+            used += own[i][1]
+        for w, begin in enumerate(starts):
+            end = starts[w + 1] if w + 1 < len(starts) else len(own)
+            back = next(b for b in range(max(system, begin - conf.history_turns), begin + 1) if sum(n for _, n in own[b:begin]) <= conf.history_tokens)
+            shown = own[:system] + own[back:end]
+            context = (system if w else 0) + begin - back
+            want.append((conv or 0, w, context, sum(n for _, n in shown), sum(r == "assistant" for r, _ in shown[context:])))
+    assert got == sorted(want)
+
+
 def test_hash_ranges_flag_what_one_filter_flags(spark):
     rng = random.Random(7)
     values = [rng.getrandbits(62) for _ in range(3000)]

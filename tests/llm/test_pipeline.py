@@ -1,6 +1,12 @@
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+
 import corpus_pipeline
+from tidemark.llm import mixing, pieces, toxicity
+from tidemark.llm.queries import tokenizer_file
 from tests.llm.test_operators import links_of, shingles
 
 FOLDER = "/root/testdata/sf0.001"
@@ -20,9 +26,22 @@ def test_stages_keep_what_brute_force_keeps(spark):
     want = links_of({r.doc_id: shingles(r.text) for r in once.collect()})
     assert near.columns == docs.columns and sorted(r.doc_id for r in near.collect()) == sorted(set(want.values()))
     mixed = stages["mix"](spark, near, FOLDER)
-    assert mixed.columns == docs.columns and mixed.count() > 0
+    times = {r.doc_id: r._times for r in mixing.mix_documents(near).collect()}
+    assert mixed.columns == docs.columns and Counter(r.doc_id for r in mixed.collect()) == +Counter(times)
     out = stages["pieces"](spark, mixed, FOLDER)
     assert out.count() == mixed.count()
+    held, texts = pieces.load(tokenizer_file("piece_bpe_32k.model")), {r.doc_id: r.text for r in docs.collect()}
+    assert all(held.decode(np.array(r.ids)).decode() == (texts[r.doc_id] or "") for r in out.collect())
+
+
+def test_toxic_documents_go_and_all_others_stay(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    toxic = {r.doc_id for r in toxicity.toxicity(docs, labels).where("predicted = 1").collect()}
+    kept = [r.doc_id for r in dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, FOLDER).collect()]
+    assert sorted(kept) == sorted(r.doc_id for r in docs.collect() if r.doc_id not in toxic)
+    marked = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    assert len(marked & toxic) >= 0.8 * len(marked & {r.doc_id for r in docs.collect()}) or not marked
 
 
 def test_run(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 from typing import TypeVar
 
@@ -21,7 +22,9 @@ def release() -> None:
 
 
 def released(items: Iterable[T]) -> Iterator[T]:
-    """``items``, giving freed memory back after each and at the end."""
+    """``items``, giving freed memory back before the first (what the worker's last task left), after each and at the end."""
+    gc.collect()
+    release()
     for item in items:
         yield item
         del item

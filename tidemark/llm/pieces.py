@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.hashing import Spans, mix, slices
-from tidemark.llm.memory import released
+from tidemark.llm.memory import release, released
 from tidemark.llm.token_counts import Lookup
 from tidemark.tables import text_batches
 
@@ -19,8 +19,8 @@ STEM = 6
 RUN = 1 << 16
 #: Spaces of a run that a chunk holds at most; the longest piece of spaces has 16 in the public models.
 BLANKS = 64
-#: Arcs of chunk lattices that a Python worker remembers (about 16 bytes each); when there are more it starts anew.
-ARCS = 1 << 20
+#: Arcs of chunk lattices that a task remembers (about 16 bytes each); when there are more it starts anew.
+ARCS = 1 << 18
 
 
 class _Lattices:
@@ -250,7 +250,7 @@ def encode(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0, key_c
     """``docs`` with ``ids``, one sampled segmentation of every whole text; null counts as empty.
 
     A text is cut before every run of spaces (and within one every BLANKS spaces) and around control characters no piece holds; pieces never
-    reach over these cuts, so that each chunk has a lattice of its own, which a Python worker remembers for its next
+    reach over these cuts, so that each chunk has a lattice of its own, which a task remembers for its next
     occurrences. ``alpha`` sharpens the distribution. The same key, seed and text give the same
     ids in any partitioning and order; a null key counts as a value, rows that repeat a key and text get the same ids. An empty
     text is the one space that stands first. An empty table gives an empty one; other columns stay as they are, but one named
@@ -261,12 +261,15 @@ def encode(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0, key_c
 
     @F.pandas_udf("array<int>")
     def drawn(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        release()
         pieces = load(model)
         for keys, texts in released(batches):
             hashed, ids = keys.to_numpy().astype(np.int64).view(np.uint64), []
             for first, run in slices(texts.tolist(), RUN):
                 ids += pieces.sample(run, hashed[first : first + len(run)], alpha)
             yield pd.Series(ids, dtype=object)
+        pieces.known = _Lattices()  # an idle worker holds none
+        release()
 
     return docs.withColumn(out, drawn(F.xxhash64(F.col(key_col), F.lit(seed)), F.coalesce(F.col(text_col), F.lit(""))))
 

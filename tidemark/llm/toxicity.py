@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.hashing import Spans, _lower, _space, mix, slices
@@ -22,7 +23,7 @@ class Toxicity:
     ``most_bytes`` in all: a row whose text no longer fits is passed over. Scores cover whole texts."""
 
     sample: tuple[int, int] = (3000, 1500)
-    most_bytes: int = 16_000_000
+    most_bytes: int = 12_000_000
     window: int = 8
     bits: int = 20
     dim: int = 8
@@ -164,7 +165,7 @@ def _joined(texts: list[str], conf: Toxicity) -> tuple[Bags, np.ndarray]:
     texts_of = np.zeros(1 << conf.bits, np.int64)
     parts: dict[str, list[np.ndarray]] = {k: [] for k in ("feats", "first", "word", "low", "high", "text")}
     words = feats = distinct = 0
-    for begin, run in slices(texts):
+    for begin, run in slices(texts, 1 << 20):  # distinct words of a longer run are fewer
         bags = Bags.read(run, conf)
         if len(bags.low):
             owner = np.zeros(len(bags.word), np.int64)
@@ -179,7 +180,7 @@ def _joined(texts: list[str], conf: Toxicity) -> tuple[Bags, np.ndarray]:
             words, feats, distinct = words + len(bags.word), feats + len(bags.feats), distinct + len(bags.first) - 1
     parts["first"].append(np.array([feats]))
     none = np.zeros(0, np.int32)
-    return Bags(**{name: np.concatenate([none, *value]) for name, value in parts.items()}), texts_of
+    return Bags(**{name: np.concatenate([none, *parts.pop(name)]) for name in list(parts)}), texts_of
 
 
 def _fit(texts: list[str], labels: np.ndarray, conf: Toxicity) -> Model:
@@ -240,7 +241,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, out, most: dict[int,
         picked = part if picked is None else picked.unionByName(part)
     rows, kept = picked.collect(), []
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    of = lambda found: slim.join(F.broadcast(docs.sparkSession.createDataFrame(found, picked.schema)), "doc_id")
+
+    def of(found: list) -> DataFrame:
+        ids = pa.table({"doc_id": pa.array([r.doc_id for r in found], pa.int64()), "label": pa.array([r.label for r in found], pa.int32())})
+        return slim.join(F.broadcast(docs.sparkSession.createDataFrame(ids)), "doc_id")
+
     if rows:
         sizes: dict[int, list[int]] = {}
         for r in of(rows).select("doc_id", F.octet_length("text").alias("bytes")).collect():
