@@ -35,3 +35,14 @@ def test_windows_merge_from_days(spark, lg, items, error):
         exact = rows.where(f"day > date_sub(date'2024-01-31', {days})").agg(F.count("item"), F.count_distinct("item")).first()
         assert n == exact[0] and abs(estimate - exact[1]) <= error * exact[1]
     assert set(got) == {1, 7, 30}
+
+
+def test_exact_windows_count_every_item(spark):
+    """A sketch is off by hundreds here."""
+    rows = spark.range(400_000).selectExpr("date_sub(date'2024-02-02', cast(id % 45 as int)) as day", "if(id % 11 = 0, null, id * 7919 % 150000) as item", "id % 2 as kind")
+    got = {(r.days, r.kind): (r.n, r.n_distinct) for r in sketches.exact_windows(sketches.day_items(rows, F.col("day"), F.col("item"), ["kind"]), "2024-01-31", (1, 7, 30), ["kind"]).collect()}
+    for days in (1, 7, 30):
+        some = rows.where(f"day <= date'2024-01-31' and day > date_sub(date'2024-01-31', {days})")
+        for r in some.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("item").alias("m")).collect():
+            assert got.pop((days, r.kind)) == (r.n, r.m)
+    assert not got

@@ -1,4 +1,4 @@
-"""Counts of distinct and of frequent items that any window of days merges from day rows. Exact counts stay the default elsewhere."""
+"""Counts of distinct and of frequent items that any window of days merges from day rows: estimated from sketches, or exact from each day's items."""
 
 from __future__ import annotations
 
@@ -23,6 +23,24 @@ def windows(sketches: DataFrame, as_of: str, days: Sequence[int], by: Sequence[s
     return each.groupBy("days", *by).agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("distinct")).alias("n_distinct"))
 
 
+def day_items(rows: DataFrame, day: Column, item: Column, by: Sequence[str] = ()) -> DataFrame:
+    """``day``, ``by``, ``item`` and ``n``: each item of each day once with its number, a null one too. Exact, and as large as a day has distinct items."""
+    return rows.groupBy(day.alias("day"), *by, item.alias("item")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def exact_windows(items: DataFrame, as_of: str, days: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """``days``, ``by``, ``n`` (rows) and ``n_distinct`` (items not null), exact, from rows of ``day_items`` alone.
+
+    An item's last day says in which windows it is: per item one row shuffles, with its count in each window, whatever the days.
+    """
+    ended = F.lit(as_of).cast("date")
+    within = lambda d: F.col("day") > F.date_sub(ended, d)
+    some = items.where((F.col("day") <= ended) & within(max(days)))
+    each = some.groupBy(*by, "item").agg(*(F.sum(F.when(within(d), F.col("n"))).alias(f"_{d}") for d in days))
+    windows = each.select(*by, "item", F.inline(F.array(*(F.struct(F.lit(d).alias("days"), F.col(f"_{d}").alias("n")) for d in days)))).where("n is not null")
+    return windows.groupBy("days", *by).agg(F.sum("n").alias("n"), F.count("item").alias("n_distinct"))
+
+
 def day_tops(rows: DataFrame, day: Column, item: Column, tracked: int = 1000) -> DataFrame:
     """``day, top``: a sketch of each day's frequent items."""
     return rows.withColumn("_item", item).groupBy(day.alias("day")).agg(F.expr(f"approx_top_k_accumulate(_item, {tracked})").alias("top"))
