@@ -193,6 +193,18 @@ def test_recall_just_above_the_threshold(spark):
     assert all(got[r[0]][0] <= k and got[r[0]][1] >= c for r, k, c in zip(rows, n, low))
 
 
+def test_links_without_a_common_bucket_are_found(spark):
+    """With one table most links share no bucket; the exact check over blocks of some vectors each finds them all."""
+    rng, rows = np.random.default_rng(4), []
+    for i in range(60):
+        v = rng.normal(size=16)
+        rows += [(10 * i + k, (v + 0.09 * rng.normal(size=16)).tolist(), i % 2) for k in range(4)]
+    n, low = linked_vectors(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df, embeddings.Lsh(tables=1, block=16, whole=25)).collect()}
+    assert sum(n) > 300 and got == {r[0]: (k, c) for r, k, c in zip(rows, n, low)}
+
+
 def test_embeddings_of_several_lengths_in_one_batch(spark):
     rows = [(1, [1.0, 2.0], 0), (2, [1.0, 2.01], 0), (3, [1.0, 2.0, 0.0], 0), (4, [1.0, 2.0, 0.01], 0), (5, [1.0, 2.0, 3.0, 4.0], 0), (6, [], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1)

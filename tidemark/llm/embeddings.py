@@ -24,6 +24,7 @@ class Lsh:
     width: float = 1.6
     block: int = 512
     seed: int = 17
+    whole: int = 4096
 
 
 def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +118,41 @@ def _compare(rows: DataFrame, lsh: Lsh) -> DataFrame:
     return rows.mapInPandas(work, "row long, links long, low long")
 
 
+def _missed(hashed: DataFrame, lsh: Lsh) -> DataFrame:
+    """The links whose vectors share no bucket, in both directions: ``row, links, low`` as ``_compare`` gives them, one row for each.
+
+    All pairs of a label are compared, quadratic in the label by nature: blocks of about ``whole`` vectors, every two a unit of work of its own, which
+    a task multiplies in strips. Only missed links leave it, one in some thousands of all.
+    """
+    same = ["label", "dim"]
+    dealt = hashed.withColumn("dim", F.size("v"))
+    sizes = dealt.groupBy(*same).agg(F.ceil(F.count(F.lit(1)) / lsh.whole).cast("int").alias("blocks"))
+    dealt = dealt.join(sizes, same).withColumn("part", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*same, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "row", "times", "v", "keys")
+
+    def work(unit: pd.DataFrame) -> pd.DataFrame:
+        vectors, keys = _unit(np.stack(unit["v"].to_numpy()).astype(np.float64))[0], np.stack(unit["keys"].to_numpy())
+        rows, times, part = unit["row"].to_numpy(), unit["times"].to_numpy(), unit["part"].to_numpy()
+        i, j = int(unit["i"].iloc[0]), int(unit["j"].iloc[0])
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        out = [pd.DataFrame({"row": rows[:0], "links": times[:0], "low": rows[:0]})]
+        for s in range(0, len(left), 256):
+            a, b = np.nonzero(vectors[left[s : s + 256]] @ vectors[right].T >= lsh.cosine)
+            a, b = left[s + a], right[b]
+            if i == j:
+                a, b = a[a < b], b[a < b]
+            for at in range(0, len(a), 65536):
+                x, y = a[at : at + 65536], b[at : at + 65536]
+                new = (keys[x] != keys[y]).all(axis=1)
+                x, y = x[new], y[new]
+                low = np.minimum(rows[x], rows[y])
+                out += [pd.DataFrame({"row": rows[p], "links": times[q], "low": low}) for p, q in ((x, y), (y, x))]
+        return pd.concat(out)
+
+    return dealt.groupBy(*same, "i", "j").applyInPandas(work, "row long, links long, low long")
+
+
 def near_vectors(vectors: DataFrame, lsh: Lsh = Lsh(), id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``.
 
@@ -128,6 +164,7 @@ def near_vectors(vectors: DataFrame, lsh: Lsh = Lsh(), id_col: str = "vec_id", v
     Equal vectors of a label are first brought together, in a count that combines before its shuffle, and stand as one with
     their number: links among and to them follow by arithmetic. Buckets of one are dropped; larger ones than ``block`` are dealt in blocks, and every pair of
     blocks is a unit of work of its own. Pairs never leave their task: what shuffles is a count and a smallest reachable row.
+    An exact check follows: the pairs of a label that share no bucket are compared too, so that no link is missing.
     """
     slim = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("v"))
     sound = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x))
@@ -143,7 +180,8 @@ def near_vectors(vectors: DataFrame, lsh: Lsh = Lsh(), id_col: str = "vec_id", v
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("t", "key", "label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "row", "times", "v", "keys")
     unit = ["t", "key", "label", "i", "j"]
-    found = materialise(_compare(met.repartition(*unit).sortWithinPartitions(*unit), lsh))
+    hit = materialise(_compare(met.repartition(*unit).sortWithinPartitions(*unit), lsh))
+    found = hit.unionByName(materialise(_missed(hashed, lsh)))
     links = found.groupBy("row").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("row").alias("a"), F.col("low").alias("b")))
     placed = hashed.select("row", "times", *same).join(links, "row", "left").join(components.withColumnRenamed("node", "row"), "row", "left")
