@@ -112,3 +112,16 @@ def test_hits_profiles_and_quotes_of_several_vendors(spark, tmp_path):
     got = semi.work_histories(semi.read_lines(spark, str(tmp_path / "people.json")))
     assert sorted(tuple(r) for r in got.rows.select("profile", "company", "start_year", "end_year").collect()) == [("p", "x", 2001, 2003), ("q", "y", 2010, None), ("r", "z", 2015, None)]
     assert got.rejected.count() == 1
+
+
+def test_each_line_is_parsed_once(spark, tmp_path):
+    """Both results read typed rows: no condition on them parses a line again. Odd records keep their reasons."""
+    lines = ['{"symbol":"{a","meta":{"regularMarketPrice":"1.5"}}', '{"quotes":[]}', '{"quotes":[null,"x",{"symbol":{"b":1},"meta":{"regularMarketPrice":2}},{"symbol":"c"}]}', "[7]", '"text"', "{cut"]
+    (tmp_path / "q.json").write_text("\n".join(lines))
+    got = semi.records(semi.read_lines(spark, str(tmp_path)), semi.QUOTES)
+    assert [(r.symbol, r.price) for r in got.rows.collect()] == [("{a", 1.5)]
+    assert sorted((r.reason, r.text) for r in got.rejected.collect()) == [
+        ("no object", '"x"'), ("no object", "7"), ("no object", "null"), ("no price", '{"symbol":"c"}'), ("no records", '"text"'), ("no symbol", '{"meta":{"regularMarketPrice":2},"symbol":{"b":1}}'), ("not JSON", "{cut"),
+    ]
+    for df in (got.rows, got.rejected):
+        assert "parsejson" not in df._jdf.queryExecution().optimizedPlan().toString().lower()

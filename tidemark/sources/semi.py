@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.text import any_of, parse_date, text_of
+from tidemark.tables import materialise
 
 
 @dataclass(frozen=True)
@@ -36,8 +37,9 @@ class Landed:
         return self.rejected.groupBy("file", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _kind(v: Column) -> Column:
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+def _is(kind: str, v: Column) -> Column:
+    """Whether a variant is an ``OBJECT`` or an ``ARRAY``."""
+    return F.try_variant_get(v, "$", "map<string,variant>" if kind == "OBJECT" else "array<variant>").isNotNull()
 
 
 def pick(v: Column, kind: str, paths: tuple[str, ...]) -> Column:
@@ -45,7 +47,10 @@ def pick(v: Column, kind: str, paths: tuple[str, ...]) -> Column:
 
     def one(path: str) -> Column:
         got = F.try_variant_get(v, path, kind)
-        return F.when(~_kind(F.try_variant_get(v, path, "variant")).isin("OBJECT", "ARRAY"), got) if kind == "string" else got
+        if kind != "string":
+            return got
+        at = F.try_variant_get(v, path, "variant")
+        return F.when(~(got.startswith("{") & _is("OBJECT", at)) & ~(got.startswith("[") & _is("ARRAY", at)), got)
 
     return F.coalesce(*map(one, paths))
 
@@ -57,24 +62,33 @@ def read_lines(spark: SparkSession, path: str, whole_files: bool = False) -> Dat
 
 
 def records(lines: DataFrame, layout: Layout) -> Landed:
-    """The records of ``lines`` (``file, text``) in the columns of ``layout``, and the rejected lines and records. Other columns of ``lines`` stay with the rows."""
+    """The records of ``lines`` (``file, text``) in the columns of ``layout``, and the rejected lines and records. Other columns of ``lines`` stay with the rows.
+
+    Every line is parsed once, in one pass without filters (Spark would parse again in each condition), whose typed rows are written; both results read those.
+    """
     parsed = lines.withColumn("_v", F.try_parse_json("text"))
 
     def listed(path: str) -> Column:
         at = F.try_variant_get(F.col("_v"), path, "variant")
-        return F.when(_kind(at) == "OBJECT", F.array(at)).otherwise(F.try_variant_get(F.col("_v"), path, "array<variant>"))
+        return F.coalesce(F.try_variant_get(F.col("_v"), path, "array<variant>"), F.when(_is("OBJECT", at), F.array(at)))
 
     parsed = parsed.withColumn("_list", F.coalesce(*map(listed, layout.lists)))
     reason = F.when(F.col("_v").isNull(), "not JSON").when(F.col("_list").isNull(), "no records")
     kept = [c for c in lines.columns if c not in ("file", "text")]
     whole = [pick(F.col("_v"), kind, paths).alias(name) for name, (kind, paths) in layout.whole.items()]
-    each = parsed.where(reason.isNull()).select("file", *kept, *whole, F.explode("_list").alias("_r"))
+    none = F.array(F.lit(None).cast("variant"))
+    parsed = parsed.select("file", *kept, *whole, reason.alias("_reason"), F.when(reason.isNotNull(), F.col("text")).alias("_line"), F.coalesce("_list", none).alias("_list"))
+    each = parsed.select("file", *kept, *layout.whole, "_reason", "_line", F.explode("_list").alias("_r"))
     each = each.withColumns({name: pick(F.col("_r"), kind, paths) for name, (kind, paths) in layout.fields.items()})
     absent = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True))
-    short = reduce(lambda a, c: a.when(absent(c), f"no {c}"), layout.required, F.when(_kind(F.col("_r")) != "OBJECT", "no object"))
-    each = each.withColumn("_short", short)
-    rejected = parsed.where(reason.isNotNull()).select("file", reason.alias("reason"), "text").unionByName(each.where("_short is not null").select("file", F.col("_short").alias("reason"), F.to_json("_r").alias("text")))
-    return Landed(each.where("_short is null").drop("_r", "_short"), rejected)
+    odd = F.col("_r").isNotNull() & ~_is("OBJECT", F.col("_r"))
+    named = [c for c in layout.required if all(p.startswith("$.") for p in layout.fields[c][1])] if set(layout.required) <= set(layout.fields) else []
+    if named:  # what has a name in it is an object
+        odd = absent(named[0]) & odd
+    short = reduce(lambda a, c: a.when(absent(c), f"no {c}"), layout.required, F.when(F.col("_reason").isNotNull(), F.col("_reason")).when(odd, "no object"))
+    each = materialise(each.withColumn("_short", short).withColumn("_line", F.when(F.col("_short").isNotNull(), F.coalesce("_line", F.to_json("_r")))).drop("_r", "_reason"))
+    rejected = each.where("_short is not null").select("file", F.col("_short").alias("reason"), F.col("_line").alias("text"))
+    return Landed(each.where("_short is null").drop("_line", "_short"), rejected)
 
 
 # Layouts of the surveyed vendors.
