@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import html as H
 from tidemark.sources import semi
+from tidemark.streaming import state
 
 STOPS = {*H.FURNITURE, *H.CONTAINERS}
 PAGES = [
@@ -125,3 +126,13 @@ def test_each_line_is_parsed_once(spark, tmp_path):
     ]
     for df in (got.rows, got.rejected):
         assert "parsejson" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_merged_texts_are_parsed_once_each(spark):
+    """Within a lambda a parse written twice is done twice for every element."""
+    df = spark.createDataFrame([('{"a":1,"b":{"c":[1,null]},"a":2}', '{"b":"x","z":true}'), ("[1]", '{"a":1}'), (None, "{cut")], "one string, two string")
+    got = df.select(state.merge_json(F.col("one"), F.col("two")).alias("m"), state.merge_json(F.col("one"), F.col("two"), "u").alias("u"))
+    assert [r.m for r in got.collect()] == ['{"a":2,"b":"x","z":true}', '{"a":1}', "{}"]
+    assert got.first().u == '{"b":{"c":[1,null]},"a":2,"u":{"b":"x","z":true}}'
+    plan = df.select(state.merge_json(F.col("one"), F.col("two")))._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.split("localrelation")[0].split("logicalrdd")[0].count("from_json(") == 2

@@ -149,7 +149,8 @@ def t13_merge_json(v: Views) -> DataFrame:
     named = F.from_json(extra, "struct<score:long,hot:boolean,tags:array<string>,at:struct<source:string>>")
     merged = state.merge_json(held, extra, "enrichment")
     whole = F.from_json(merged, "struct<k:long,enrichment:struct<score:long,hot:boolean,tags:array<string>,at:struct<source:string>>>")
-    same = F.when(whole["enrichment"].eqNullSafe(named), F.concat(F.when(whole["k"].isNotNull(), F.concat(F.lit('{"k":'), whole["k"], F.lit(","))).otherwise("{"), F.lit('"enrichment":'), extra, F.lit("}")))
+    first = lambda w: F.when(w["k"].isNotNull(), F.concat(F.lit('{"k":'), w["k"], F.lit(","))).otherwise("{")
+    same = state.bound(whole, lambda w: F.when(w["enrichment"].eqNullSafe(named), F.concat(first(w), F.lit('"enrichment":'), extra, F.lit("}"))))
     return v.signals.select("id", same.alias("raw"))
 
 

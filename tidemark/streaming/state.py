@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
 
@@ -167,6 +167,11 @@ def write_back(signals: DataFrame, scores: DataFrame, key: str, name: str) -> Da
     return out.withColumn("score", F.coalesce("_by_key", F.when(F.col("score") == 0, F.col("_by_name")), "score")).drop("_by_key", "_by_name")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once for a row however often ``use`` names it: within a lambda Spark computes what it finds written there anew for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def merge_json(current: Column, extra: Column, under: str | None = None) -> Column:
     """The JSON object text ``extra`` merged into the JSON object text ``current``, its values winning; with ``under`` it is put, whole, under that name.
 
@@ -175,15 +180,16 @@ def merge_json(current: Column, extra: Column, under: str | None = None) -> Colu
     """
 
     def entries(text: Column) -> Column:
-        found = F.map_entries(F.from_json(text, "map<string,variant>"))
-        names = F.transform(found, lambda e: e["key"])
-        last = F.filter(found, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"]))
-        return F.coalesce(last, F.array().cast("array<struct<key:string,value:variant>>"))
+        def last(found: Column) -> Column:
+            return bound(F.transform(found, lambda e: e["key"]), lambda names: F.filter(found, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"])))
+
+        return F.coalesce(bound(F.map_entries(F.from_json(text, "map<string,variant>")), last), F.array().cast("array<struct<key:string,value:variant>>"))
+
+    def merged(new: Column) -> Column:
+        return bound(F.transform(new, lambda e: e["key"]), lambda names: F.concat(F.filter(entries(current), lambda e: ~F.array_contains(names, e["key"])), new))
 
     new = entries(extra) if under is None else F.array(F.struct(F.lit(under).alias("key"), F.try_parse_json(extra).alias("value")))
-    names = F.transform(new, lambda e: e["key"])
-    kept = F.filter(entries(current), lambda e: ~F.array_contains(names, e["key"]))
-    return F.to_json(F.map_from_entries(F.concat(kept, new)))
+    return F.to_json(F.map_from_entries(bound(new, merged)))
 
 
 class ProfileWatch(StatefulProcessor):
