@@ -6,6 +6,7 @@ import random
 import re
 
 from tidemark.operators import lexicon
+from tidemark.tables import materialise
 
 
 def test_substrings_equal_a_plain_search(spark):
@@ -45,3 +46,15 @@ def test_mentions_equal_a_plain_search(spark):
     held = {i for i, n, *_ in want if n == "grab"}
     rows = lexicon.employed(docs, "id", "body", spark.createDataFrame([("Grab",)], "c string"), "c").collect()
     assert {r.id: r.employed for r in rows} == {i: i in held and (i, "grab") not in gone for i in range(len(texts))}
+
+
+def test_a_run_that_the_sample_lacks_brings_no_candidates(spark, monkeypatch):
+    """Numbers that stand in the texts are rare in the sample, but what stands before them in the keywords is in no text: none is searched for."""
+    docs = spark.range(400).selectExpr("id as doc", "concat_ws(' ', transform(sequence(0, 20), i -> lpad(pmod(xxhash64(id, i), 10000), 4, '0'))) as text")
+    words = spark.range(3000).selectExpr("id as label", "'cust#' || lpad(pmod(id * 7919, 1000000), 6, '0') as keyword").unionByName(docs.where("doc = 7").selectExpr("-doc as label", "substring(text, 3, 9) as keyword"))
+    written = []
+    monkeypatch.setattr(lexicon, "materialise", lambda df, *by: written.append(materialise(df, *by)) or written[-1])
+    got = lexicon.substring_matches(docs, "doc", "text", words)
+    assert [tuple(r) for r in got.collect()] == [(7, -7)]
+    found = next(t for t in written if t.columns == ["doc", "keyword"])
+    assert found.count() < 10

@@ -23,8 +23,9 @@ def _grams(text: Column, size: int) -> Column:
 def substring_matches(docs: DataFrame, key: str, text: str, dictionary: DataFrame, gram: int = 4, rare_in: int = 64) -> DataFrame:
     """``key, label`` of each document and label of ``dictionary`` (``label, keyword``) one of whose keywords stands anywhere in the text, in any case.
 
-    Each keyword is posted under one of its runs of ``gram`` characters (a shorter one under itself): that which is rarest in
-    a sample of one text in ``rare_in``, which steers the work and no result. The runs of each text meet the postings in an equi join, and only texts with a
+    Each keyword is posted under one of its runs of ``gram`` characters (a shorter one under itself). A sample of one text in ``rare_in`` names up to four that are
+    rare, of which two few keywords have and two many, and what all texts hold of these is written; of the four, that which the fewest texts hold is taken. A run that many keywords
+    share is often in no text at all, and one that the sample lacks may still be in many. This steers the work and no result. Only texts with the
     posted run of a keyword are searched for it. Neither the plan nor a task's memory grows with the dictionary. Blank keywords and null keys match nothing.
     """
     words = dictionary.select("label", F.lower("keyword").alias("keyword")).where(F.trim("keyword") != "").distinct()
@@ -41,8 +42,16 @@ def substring_matches(docs: DataFrame, key: str, text: str, dictionary: DataFram
     often = sample.join(runs.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     shared = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
     ranked = runs.join(often, "gram", "left").join(shared, "gram")
-    posted = materialise(ranked.groupBy("keyword").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "m", "gram")).alias("gram")))
-    found = materialise(slim.select(key, F.explode(all_runs(F.col("_text"))).alias("gram")).join(posted, "gram").select(key, "keyword").distinct())
+    n = F.coalesce("n", F.lit(0))
+    few = lambda m: F.slice(F.array_sort(F.collect_list(F.struct(n.alias("n"), m.alias("m"), "gram"))), 1, 2)["gram"]  # noqa: E731  of a keyword's runs
+    rare = ranked.groupBy("keyword").agg(F.array_distinct(F.concat(few(F.col("m")), few(-F.col("m")))).alias("grams"))
+    rare = materialise(rare.select("keyword", F.explode("grams").alias("gram")))
+    asked = materialise(rare.groupBy("gram").agg(F.count(F.lit(1)).alias("m")))
+    met = materialise(slim.select(key, F.explode(all_runs(F.col("_text"))).alias("gram")).join(asked.select("gram"), "gram", "left_semi"))
+    exact = met.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    best = rare.join(asked.join(exact, "gram", "left"), "gram").groupBy("keyword").agg(F.min(F.struct(n.alias("n"), "m", "gram")).alias("best"))
+    posted = materialise(best.where("best.n > 0").select("keyword", "best.gram"))
+    found = materialise(met.join(posted, "gram").select(key, "keyword").distinct())
     held = found.join(slim, key).where(F.col("_text").contains(F.col("keyword"))).select(key, "keyword")
     return held.join(words, "keyword").select(key, "label").distinct()
 
