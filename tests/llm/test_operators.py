@@ -94,6 +94,16 @@ def test_ngram_join_random_edits(spark, seed):
     assert got == links_of({i: shingles(t) for i, t in enumerate(texts)})
 
 
+def test_ngram_join_writes_no_whole_sets(spark, monkeypatch):
+    """A set holds 8 bytes for each word: written sets were most of what the join left in the shared folder."""
+    written, plain = [], ngram_join.materialise
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, *by: written.append(df.schema.simpleString()) or plain(df, *by))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:55], f"x{i}", *words[55:]])) for i in range(6)]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and written and not [w for w in written if "array" in w]
+
+
 def test_ngram_join_short_texts_below_a_longer_head(spark):
     """Pairs of 3 to 8 shingles whose prefixes are made for one match, each with a document that holds more lists and links with neither."""
     rng = random.Random(3)

@@ -203,7 +203,7 @@ def _linked(inner: DataFrame, outer: DataFrame, docs: DataFrame, join: Join) ->
     one = inner.join(dealt, "hub").select("hub", "id", F.lit(0).alias("outer"), mine("rows").alias("i"), every("columns").alias("j"))
     two = outer.join(dealt, "hub").select("hub", "id", F.lit(1).alias("outer"), every("rows").alias("i"), mine("columns").alias("j"))
     units = materialise(one.unionByName(two))
-    sets = materialise(_sets(docs, materialise(units.select("id").distinct()), join))
+    sets = _sets(docs, materialise(units.select("id").distinct()), join)  # as large as the texts: straight into the join, not written
     unit = ["hub", "i", "j"]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,8 +271,7 @@ def _pairs_of_components(lists: DataFrame, join: Join) -> DataFrame:
 
 
 def _link_components(lists: DataFrame, posted: _Posted, join: Join) -> DataFrame:
-    """Links between sets of different components that may hold some; of two components the larger one is the hub."""
-    lists = materialise(lists.join(posted.sizes, "doc_id"))
+    """Links between sets of different components that may hold some, by ``lists`` with sizes ``n``; of two components the larger one is the hub."""
     members = materialise(lists.select("component", F.col("doc_id").alias("id"), "n").distinct())
     pairs = _pairs_of_components(lists, join)
     number = members.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
@@ -309,9 +308,9 @@ def ngram_join(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", tex
     placed = found.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
     lists = materialise(posted.lists.join(placed, "doc_id", "left").withColumn("component", F.coalesce("c", "component")).drop("c"))
     several = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    lists = materialise(lists.join(materialise(several.select("token")), "token"))
-    if not lists.isEmpty():
-        more = _link_components(lists, posted, join)
+    several = materialise(several.select("token"))
+    if not several.isEmpty():
+        more = _link_components(materialise(lists.join(several, "token").join(posted.sizes, "doc_id")), posted, join)
         if not more.isEmpty():
             found = connected_components(links.unionByName(more))
     out = posted.rows.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
