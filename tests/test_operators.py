@@ -168,3 +168,14 @@ def test_numbered_equals_one_sort(spark):
     df = spark.range(500).selectExpr("id", "id * 7919 % 13 as k").repartition(5)
     got = sorted((r.place, r.k, r.id) for r in numbered(df, ["k", "id"]).collect())
     assert got == [(i + 1, k, x) for i, (k, x) in enumerate(sorted((i * 7919 % 13, i) for i in range(500)))]
+
+
+def test_hygiene_cleans_names_once(spark, monkeypatch):
+    """Clusters read their records several times: what they are given must hold no work on texts that is still to do."""
+    plans, plain = [], resolve.clusters
+    monkeypatch.setattr(resolve, "clusters", lambda records, *a: plans.append(records._jdf.queryExecution().optimizedPlan().toString()) or plain(records, *a))
+    df = spark.createDataFrame([(1, "Asha Rao 14 ☀", "", "s1"), (2, "asha rao", "", "s2"), (3, "ASHA RAO", "linkedin.com/in/ar", "s2"), (4, None, "linkedin.com/in/x", "s3"), (5, "Bo Li", "", None)], "id long, name string, li string, src string")
+    df = df.withColumns({"tw": F.lit(""), "gh": F.lit(None).cast("string")})
+    got = resolve.hygiene(df, "id", "name", "li", "tw", "gh", F.col("src"), F.col("n_records") >= 1).select("cluster", "n_records", "n_evidence", "name").collect()
+    assert sorted(map(tuple, got)) == [(1, 3, 2, "Asha Rao"), (5, 1, 1, "Bo Li")]
+    assert len(plans) == 1 and "regexp_replace" not in plans[0]

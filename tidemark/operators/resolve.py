@@ -56,10 +56,12 @@ def hygiene(records: DataFrame, record_id: str, name: str, profile: str, handle:
     """Clean, cluster, fold, unite evidence, drop: one row per entity, ``cluster, n_records, n_evidence`` and its name, profile, handle and repo.
 
     Names are cleaned before keys are made of them; the longest name and the first of each address stay, repeats of a fingerprint
-    count once, and entities that ``keep`` (over the row returned) rejects go, as do those without a name.
+    count once, and entities that ``keep`` (over the row returned) rejects go, as do those without a name. Clean names and keys are written
+    once, since clusters read their records several times.
     """
     cleaned = records.withColumn(name, clean_name(F.col(name)))
-    held = materialise(clusters(cleaned, record_id, identity_keys(*(F.col(c) for c in (profile, handle, repo, name)))))
+    keyed = materialise(cleaned.withColumn("_keys", identity_keys(*(F.col(c) for c in (profile, handle, repo, name)))))
+    held = materialise(clusters(keyed, record_id, F.col("_keys")).drop("_keys"))
     people = folded(held, F.col(record_id), longest=[name], first=[profile, handle, repo])
     united = held.select("cluster", fingerprint.alias("_f")).distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("n_evidence"))
     return people.join(united, "cluster").where((F.col(name) != "") & keep)
