@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import joins, ranking, resolve, rollups, scoring
 from tidemark.operators.components import connected_components
-from tidemark.plans import evidence
+from tidemark.plans import evidence, registry
 from tidemark.streaming import state
+from tidemark.tables import partitions_for
 
 
 def brute(edges):
@@ -179,3 +180,42 @@ def test_hygiene_cleans_names_once(spark, monkeypatch):
     got = resolve.hygiene(df, "id", "name", "li", "tw", "gh", F.col("src"), F.col("n_records") >= 1).select("cluster", "n_records", "n_evidence", "name").collect()
     assert sorted(map(tuple, got)) == [(1, 3, 2, "Asha Rao"), (5, 1, 1, "Bo Li")]
     assert len(plans) == 1 and "regexp_replace" not in plans[0]
+
+
+def _fullest(df):
+    """The share of the rows that the fullest partition has."""
+    counts = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(counts) / sum(counts) if counts else 0
+
+
+def test_rows_without_a_key_are_dealt_to_all_tasks(spark, monkeypatch):
+    """Half of the outreach rows have no signal, most inserts lack a key: joined by it they would all be in one task."""
+    with state.session_with(spark, spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__shuffle__partitions="16"):
+        out = registry.queries()["j02_outreach_signals"](spark, "/root/testdata/sf0.001")
+        keyed = joins.left_by_key(spark.range(1000), spark.range(500).toDF("o"), F.when(F.col("id") % 10 == 0, F.col("id")), "o")
+        assert sorted((r.id, r.o) for r in keyed.collect()) == [(i, i if i % 10 == 0 and i < 500 else None) for i in range(1000)]
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" in plan and "isnull(" in plan  # those without a key stay out of the join
+        shares, plain = [], state.materialise
+        monkeypatch.setattr(state, "materialise", lambda df, *by: shares.append(_fullest(df)) or plain(df, *by))
+        table = spark.range(400, 500).select("id", F.col("id").alias("s"), F.lit(None).cast("string").alias("l"))
+        rows = spark.range(4000).repartition(16).select((F.col("id") + 1).alias("ord"), F.when(F.col("id") % 20 == 0, F.col("id")).alias("s"), F.when(F.col("id") % 50 == 0, F.lit("x")).otherwise(" ").alias("l"))
+        got = {r.ord: r.id for r in state.insert_claims(table, rows, ["s", "l"], "id", "ord").collect()}
+    held, link, top, want = {400 + i: 400 + i for i in range(100)}, {}, 499, {}
+    for i in range(4000):
+        s, x = i if i % 20 == 0 else None, i % 50 == 0
+        found = held.get(s) or (link.get("x") if x else None)
+        if not found:
+            top += 1
+            found = top
+            if s is not None:
+                held[s] = found
+            if x:
+                link["x"] = found
+        want[i + 1] = found
+    assert got == want and max(shares[:3]) < 0.5
+
+
+def test_partitions_follow_the_rows(spark):
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert partitions_for(spark, 10) == usual and partitions_for(spark, 500_000 * (usual + 3) + 1) == usual + 4

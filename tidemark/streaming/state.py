@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidemark.operators.ranking import numbered
 from tidemark.functions.text import headline_key, text_of
 from tidemark.operators.ranking import keep_first
-from tidemark.tables import materialise
+from tidemark.tables import materialise, partitions_for
 
 
 def profile_deltas(observations: DataFrame, key: str, order: Sequence[str], headline: str) -> DataFrame:
@@ -98,6 +98,16 @@ def delete_types(table: DataFrame, column: str, kinds: Sequence[str]) -> tuple[D
     return table.where(~gone), table.where(gone).agg(F.count(F.lit(1)).alias("affected"))
 
 
+def _met(rows: DataFrame, held: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """``order`` of the rows that share one of ``keys`` with any of ``held``. A row is dealt by the keys it has: those without one would all meet in one task."""
+
+    def by(k: str) -> DataFrame:
+        known = held.where(F.col(k).isNotNull()).select(k).distinct()
+        return rows.where(F.col(k).isNotNull()).select(order, k).join(known, k, "left_semi").select(order)
+
+    return reduce(DataFrame.unionByName, map(by, keys)).distinct()
+
+
 def _claims(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The rows that a walk in ``order`` would put in: each whose keys no row put in before has.
 
@@ -107,17 +117,14 @@ def _claims(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     spark, schema = rows.sparkSession, rows.schema
     left, chosen = materialise(rows), []
     while not left.isEmpty():
-        marked, free = left, F.lit(True)
-        for i, k in enumerate(keys):
-            first = left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_first{i}"))
-            marked = marked.join(first, k, "left")
-            free = free & (F.col(k).isNull() | (F.col(f"_first{i}") == F.col(order)))
-        marked = materialise(marked.withColumn("_in", free).select(*schema.names, "_in"))
-        won = marked.where("_in").drop("_in")
-        left = marked.where("not _in").drop("_in")
-        for k in keys:
-            left = left.join(won.select(k).where(F.col(k).isNotNull()).distinct(), k, "left_anti")
-        left = materialise(left.select(*schema.names))
+
+        def later(k: str, left: DataFrame = left) -> DataFrame:
+            known = left.where(F.col(k).isNotNull()).select(order, k)
+            return known.join(known.groupBy(k).agg(F.min(order).alias("_first")), k).where(F.col("_first") != F.col(order)).select(order)
+
+        after = materialise(left.join(reduce(DataFrame.unionByName, map(later, keys)).distinct(), order, "left_semi").select(*schema.names))
+        won = materialise(left.join(after.select(order), order, "left_anti").select(*schema.names))
+        left = materialise(after.join(_met(after, won, keys, order), order, "left_anti").select(*schema.names))
         chosen.append(won)
     return reduce(DataFrame.unionByName, chosen, spark.createDataFrame([], schema))
 
@@ -127,22 +134,26 @@ def insert_claims(table: DataFrame, rows: DataFrame, keys: Sequence[str], row_id
 
     A row whose first key a row of ``table``, or one inserted before it, has gets that row's id; else the same for the next key; else it is inserted with an
     id of its own, above the largest. Blank and null keys are none; a row without keys is always inserted. Of several rows of ``table`` with a key the one with the smallest id counts.
+    Shuffles have as many partitions as the rows ask for, and rows meet by the keys they have or by ``order``, so a task's share does not grow with the table.
     """
+    spark = table.sparkSession
     bare = lambda df: df.withColumns({k: F.when(F.trim(F.col(k).cast("string")) != "", F.col(k)) for k in keys})
     held, new = bare(table), materialise(bare(rows))
-    slim = new.select(order, *keys)
-    for k in keys:
-        slim = slim.join(held.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
-    top = table.agg(F.coalesce(F.max(row_id), F.lit(0))).first()[0]
-    won = materialise(numbered(_claims(slim.select(order, *keys), keys, order), [order], "_n").select(F.col(order).alias("_at"), *keys, (F.col("_n") + F.lit(top)).alias("_id")))
-    out = new.join(won.select(F.col("_at").alias(order), F.col("_id").alias("_own")), order, "left")
-    found = [F.col("_own")]
-    for i, k in enumerate(keys):
-        old = held.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(row_id).alias(f"_old{i}"))
-        mine = won.where(F.col(k).isNotNull()).select(k, F.col("_at").alias(f"_at{i}"), F.col("_id").alias(f"_new{i}"))
-        out = out.join(old, k, "left").join(mine, k, "left")
-        found += [F.col(f"_old{i}"), F.when(F.col(f"_at{i}") < F.col(order), F.col(f"_new{i}"))]
-    return out.select(*rows.columns, F.coalesce(*found).alias(row_id), F.col("_own").isNotNull().alias("inserted"))
+    with session_with(spark, spark__sql__shuffle__partitions=str(partitions_for(spark, table.count() + new.count()))):
+        slim = new.select(order, *keys)
+        slim = slim.join(_met(slim, held, keys, order), order, "left_anti").select(order, *keys)
+        top = table.agg(F.coalesce(F.max(row_id), F.lit(0))).first()[0]
+        won = materialise(numbered(_claims(slim, keys, order), [order], "_n").select(F.col(order).alias("_at"), *keys, (F.col("_n") + F.lit(top)).alias("_id")))
+        out = new.join(won.select(F.col("_at").alias(order), F.col("_id").alias("_own")), order, "left")
+        found = [F.col("_own")]
+        for i, k in enumerate(keys):
+            old = held.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(row_id).alias("_old"))
+            mine = won.where(F.col(k).isNotNull()).select(k, "_at", "_id")
+            asked = new.where(F.col(k).isNotNull()).select(order, k).join(old, k, "left").join(mine, k, "left")
+            got = asked.select(order, F.coalesce("_old", F.when(F.col("_at") < F.col(order), F.col("_id"))).alias(f"_id{i}")).where(F.col(f"_id{i}").isNotNull())
+            out = out.join(got, order, "left")
+            found.append(F.col(f"_id{i}"))
+        return materialise(out.select(*rows.columns, F.coalesce(*found).alias(row_id), F.col("_own").isNotNull().alias("inserted")))
 
 
 def insert_absent(table: DataFrame, rows: DataFrame, keys: Sequence[str], row_id: str, order: str) -> DataFrame:

@@ -42,6 +42,11 @@ def materialise(df: DataFrame, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(spark: SparkSession, rows: int, per_task: int = 500_000) -> int:
+    """Shuffle partitions for ``rows``: those of the session, and more where a task would get above ``per_task`` rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
+
+
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand whole texts to Python in batches of ``rows``: Spark's default of 10,000 long texts is much to hold at once."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
