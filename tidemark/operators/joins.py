@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.text import quoted, any_of, name_key, text_of
+from tidemark.tables import partitions_for
 
 
 def either_key_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[Column, Column]], left_id: str, right_id: str) -> DataFrame:
@@ -25,6 +26,18 @@ def either_key_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[Colu
     return out.join(right, out["_r"] == right[right_id], "left").drop("_l", "_r")
 
 
+def left_by_key(left: DataFrame, right: DataFrame, key: Column, other: str) -> DataFrame:
+    """Left join of ``key`` with the column ``other`` of ``right``; rows of null key stand aside, since by it they would all go to one task, and large sides are dealt to as many tasks as their rows ask for."""
+    keyed = left.withColumn("_k", key)
+    alone = keyed.where("_k is null").drop("_k").select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema))
+    some, held = keyed.where("_k is not null"), right.where(F.col(other).isNotNull())
+    spark = left.sparkSession
+    usual, n = partitions_for(spark, 0), partitions_for(spark, some.count() + held.count())
+    if n > usual:
+        some, held = some.repartition(n, "_k"), held.repartition(n, other)
+    return some.join(held, F.col("_k") == F.col(other), "left").drop("_k").unionByName(alone)
+
+
 def first_match(hits: DataFrame, by: Sequence[str], rank: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """For each key the hit of lowest rank: an aggregate that combines before its shuffle."""
     order = F.struct(*rank)

@@ -29,8 +29,8 @@ def j01_signals_in_pipeline(v: Views) -> DataFrame:
 
 @query("SELECT o.oid, o.stage, s.signal_type, s.source, s.score FROM outreach o LEFT JOIN signals s ON o.signal_id > 0 AND s.id = o.signal_id")
 def j02_outreach_signals(v: Views) -> DataFrame:
-    o = v.outreach.withColumn("_k", F.when(F.col("signal_id") > 0, F.col("signal_id")))
-    return o.join(v.signals, o["_k"] == v.signals["id"], "left").select("oid", "stage", "signal_type", "source", "score")
+    o, s = v.outreach.select("oid", "stage", "signal_id"), v.signals.select("id", "signal_type", "source", "score")
+    return joins.left_by_key(o, s, F.when(F.col("signal_id") > 0, F.col("signal_id")), "id").select("oid", "stage", "signal_type", "source", "score")
 
 
 @query("""WITH p AS (SELECT pid, 'User ' || pid AS pname, CASE WHEN pid % 4 = 0 THEN 'https://www.linkedin.com/in/u' || pid ELSE '' END AS link FROM persons)
