@@ -136,3 +136,14 @@ def test_merged_texts_are_parsed_once_each(spark):
     assert got.first().u == '{"b":{"c":[1,null]},"a":2,"u":{"b":"x","z":true}}'
     plan = df.select(state.merge_json(F.col("one"), F.col("two")))._jdf.queryExecution().analyzed().toString().lower()
     assert plan.split("localrelation")[0].split("logicalrdd")[0].count("from_json(") == 2
+
+
+def test_records_parse_a_line_once(spark, monkeypatch):
+    """A filter on the list below its explosion would parse every line again; empty lists have no records."""
+    plans, plain = [], semi.materialise
+    monkeypatch.setattr(semi, "materialise", lambda df, *by: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df, *by))
+    texts = ['{"login":"a"}', '[{"login":"b"},{"login":7}]', "[]", '{"items":[]}', "[null]", '{"items":[{"login":""},3]}', "{cut", '"text"', '{"items":{"login":"c"}}']
+    got = semi.records(spark.createDataFrame([("f", t) for t in texts], "file string, text string"), semi.USERS)
+    assert sorted(r.login for r in got.rows.collect()) == ["7", "a", "b", "c"]
+    assert sorted((r.reason, r.text) for r in got.rejected.collect()) == [("no login", '{"login":""}'), ("no object", "3"), ("no object", "null"), ("no records", '"text"'), ("not JSON", "{cut")]
+    assert len(plans) == 1 and plans[0].count("parse_json") + plans[0].count("parseJson") == 1

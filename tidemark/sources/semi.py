@@ -78,7 +78,8 @@ def records(lines: DataFrame, layout: Layout) -> Landed:
     whole = [pick(F.col("_v"), kind, paths).alias(name) for name, (kind, paths) in layout.whole.items()]
     none = F.array(F.lit(None).cast("variant"))
     parsed = parsed.select("file", *kept, *whole, reason.alias("_reason"), F.when(reason.isNotNull(), F.col("text")).alias("_line"), F.coalesce("_list", none).alias("_list"))
-    each = parsed.select("file", *kept, *layout.whole, "_reason", "_line", F.explode("_list").alias("_r"))
+    # a plain explode makes Spark test the list for emptiness in a filter below, and parse for it again
+    each = parsed.select("file", *kept, *layout.whole, "_reason", "_line", F.explode_outer("_list").alias("_r")).where("_r is not null or _reason is not null")
     each = each.withColumns({name: pick(F.col("_r"), kind, paths) for name, (kind, paths) in layout.fields.items()})
     absent = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True))
     odd = F.col("_r").isNotNull() & ~_is("OBJECT", F.col("_r"))
