@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import html as H
+from tidemark.plans import evidence, registry
 from tidemark.sources import semi
 from tidemark.streaming import state
 
@@ -147,3 +148,15 @@ def test_records_parse_a_line_once(spark, monkeypatch):
     assert sorted(r.login for r in got.rows.collect()) == ["7", "a", "b", "c"]
     assert sorted((r.reason, r.text) for r in got.rejected.collect()) == [("no login", '{"login":""}'), ("no object", "3"), ("no object", "null"), ("no records", '"text"'), ("not JSON", "{cut")]
     assert len(plans) == 1 and plans[0].count("parse_json") + plans[0].count("parseJson") == 1
+
+
+def test_feed_files_are_bounded(spark, monkeypatch):
+    """A task reads an XML file whole, so a table is landed as files of so many items at most."""
+    monkeypatch.setattr(evidence, "FEED_ROWS", 50, raising=False)
+    folders, plain = [], evidence.landed.feed_items
+    monkeypatch.setattr(evidence.landed, "feed_items", lambda s, path, feed: folders.append(path) or plain(s, path, feed))
+    got = registry.queries()["s01_feed_items"](spark, "/root/testdata/sf0.001")
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    assert got.count() == parts.where("p_partkey % 5 <> 0").count()
+    files = spark.read.text(folders[0]).where("value like '%<item>%'").groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 1 and max(r["count"] for r in files) <= 50

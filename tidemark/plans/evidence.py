@@ -75,6 +75,10 @@ def j19_company_founder(v: Views) -> DataFrame:
     return joins.first_match(hit.withColumn("at", F.col("rank")), ["company"], ["at"], ["rank", "founder"])
 
 
+#: Items of one feed file at most.
+FEED_ROWS = 20_000
+
+
 @query("SELECT part || '' AS title, 'https://ex.com/' || part AS url, 'parts' AS source, strftime(TIMESTAMP '2024-01-01' + INTERVAL (part % 28) DAY, '%Y-%m-%d') AS day FROM themes WHERE part % 5 <> 0")
 def s01_feed_items(v: Views) -> DataFrame:
     """Feed files written from the table, then read back as a feed."""
@@ -85,7 +89,8 @@ def s01_feed_items(v: Views) -> DataFrame:
         F.date_format(day, "EEE, d MMM yyyy '00:00:00 +0000'").alias("pubDate"),
     )
     path = f"{shared_dir(v.spark)}/feed-{uuid.uuid4().hex}"
-    rows.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
+    # a task reads an XML file whole, however large it is
+    rows.write.format("xml").option("rootTag", "channel").option("rowTag", "item").option("maxRecordsPerFile", FEED_ROWS).save(path)
     items = landed.feed_items(v.spark, path, "parts")
     return items.select("title", "url", "source", F.date_format("published", "yyyy-MM-dd").alias("day"))
 
