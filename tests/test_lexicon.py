@@ -58,3 +58,26 @@ def test_a_run_that_the_sample_lacks_brings_no_candidates(spark, monkeypatch):
     assert [tuple(r) for r in got.collect()] == [(7, -7)]
     found = next(t for t in written if t.columns == ["doc", "keyword"])
     assert found.count() < 10
+
+
+def test_mentions_of_long_names_and_equal_rows(spark):
+    """Names longer than what they are looked up by, which begin alike; rows that share their key, have none, or are equal."""
+    long = " ".join(f"w{i}" for i in range(12))
+    names = [long, long + " x", long[:-4] + " y", "w3 w4"]
+    texts = [(1, f"a {long} x", "p"), (1, f"a {long} x", "q"), (1, "b, W3-w4", "p"), (None, "w3 w4", "p"), (None, "w3 w4", "p"), (2, None, "p"), (2, long[:-4], "p")]
+    got = lexicon.mentions(spark.createDataFrame(texts, "id long, body string, k string"), "id", "body", spark.createDataFrame([(n,) for n in names], "who string"), "who", keep=["k"]).collect()
+    want = []
+    for i, t, k in texts:
+        w = re.findall(r"\w+", (t or "").lower())
+        for n in (x.split() for x in names):
+            want += [(i, " ".join(n), p + 1, w[max(0, p - 2) : p], " ".join(w[max(0, p - 5) : p + len(n) + 5]), k) for p in range(len(w) - len(n) + 1) if w[p : p + len(n)] == n]
+    assert len(want) == 10 and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_what_stands_around_is_made_for_mentions_alone(spark):
+    """Nothing is joined to a string for each place of a text, and no filter makes the places a second time."""
+    docs = spark.range(3).selectExpr("id", "concat('ann lee ', id) as body")
+    plan = lexicon.mentions(docs, "id", "body", spark.createDataFrame([("Ann Lee",)], "who string"), "who")._jdf.queryExecution().optimizedPlan().toString()
+    places = [line for line in plan.splitlines() if "Generate posexplode" in line]
+    assert len(places) == 1 and "lambda" not in places[0]
+    assert plan.count("arrays_zip") == 1

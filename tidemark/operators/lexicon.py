@@ -11,6 +11,8 @@ from tidemark.tables import materialise
 
 #: What a token is: letters, digits and the sign of numbered names.
 TOKEN = r"[\p{L}\p{N}#]+"
+#: Tokens of a name that its places are looked up by; those of a longer one that follow are compared where it is found.
+WIDTH = 8
 #: What before a company's name says that someone has left it.
 FORMER = ("ex", "former", "formerly", "previously")
 
@@ -64,26 +66,35 @@ def mentions(docs: DataFrame, key: str, text: str, names: DataFrame, name: str,
     """``key, name, at, before, context`` and ``keep``: every place where a name's tokens stand one after another in a text.
 
     ``at`` counts tokens from 1, ``before`` are the last ``before`` tokens ahead of it, ``context`` the name with ``around`` tokens on both sides.
-    Runs of tokens, of the lengths that names have, meet the names in an equi join on the whole run: a first name that
-    thousands share is no key, and no text is compared with a name that it does not hold. Names without tokens are found nowhere; names that differ in case or punctuation alone are found together.
+    Runs of tokens, of the lengths that names have, meet the names in an equi join on the whole run (its first ``WIDTH`` tokens): a first name that
+    thousands share is no key, and no text is compared with a name that it does not hold. Only places and runs are joined; the texts that hold a name are then read again for what stands around it.
+    Rows are told apart by a hash of key and text, and a name is looked for at each place found, so a hash that two share brings nothing wrong. Names without tokens are found nowhere; names that differ in case or punctuation alone are found together.
     """
     wanted = names.select(name).distinct().withColumn("_tokens", tokens_of(F.col(name))).where(F.size("_tokens") > 0)
-    wanted = materialise(wanted.select(name, F.array_join("_tokens", " ").alias("_run"), F.size("_tokens").alias("_size")))
-    sizes = [r._size for r in wanted.select("_size").distinct().orderBy("_size").collect()]  # of names: a few small numbers
-    split = docs.select(key, *keep, tokens_of(F.col(text)).alias("_t"))
-
-    def runs(k: int) -> Column:
-        def one(i: Column) -> Column:
-            low = F.greatest(F.lit(1), i - before)
-            start = F.greatest(F.lit(1), i - around)
-            return F.struct(i.alias("at"), F.array_join(F.slice("_t", i, k), " ").alias("run"), F.slice("_t", low, i - low).alias("before"), F.array_join(F.slice("_t", start, i - start + k + around), " ").alias("context"))
-
-        return F.transform(F.when(F.size("_t") >= k, F.sequence(F.lit(1), F.size("_t") - (k - 1))).otherwise(F.array().cast("array<int>")), one)
-
-    if not sizes:
+    head = F.array_join(F.slice("_tokens", 1, WIDTH), " ")
+    wanted = materialise(wanted.select(name, F.array_join("_tokens", " ").alias("_run"), F.size("_tokens").alias("_size"), head.alias("_head")))
+    widths = [r.w for r in wanted.select(F.least("_size", F.lit(WIDTH)).alias("w")).distinct().orderBy("w").collect()]  # 1 to ``WIDTH``
+    if not widths:
         return docs.select(key, F.lit("").alias(name), F.lit(0).alias("at"), F.array().cast("array<string>").alias("before"), F.lit("").alias("context"), *keep).where("false")
-    flat = split.select(key, *keep, F.explode(F.flatten(F.array(*map(runs, sizes)))).alias("_r")).select(key, *keep, "_r.*")
-    return flat.join(wanted, F.col("run") == F.col("_run")).select(key, name, "at", "before", "context", *keep)
+    row = F.xxhash64(key, text_of(F.col(text))).alias("_row")
+    # each place with the tokens that follow it, side by side; a plain explode makes Spark test the list for emptiness in a filter below, and make it for that too
+    split = docs.select(row, tokens_of(F.col(text)).alias("_t"))
+    beside = F.arrays_zip(*(F.slice("_t", F.lit(i + 1), F.size("_t") + 1).alias(f"t{i}") for i in range(widths[-1])))
+    placed = split.select("_row", F.posexplode_outer(beside).alias("_at", "_r")).where("_r is not null")
+    starts = [F.when(F.col(f"_r.t{w - 1}").isNotNull(), F.concat_ws(" ", *(f"_r.t{i}" for i in range(w)))) for w in widths]
+    flat = placed.select("_row", (F.col("_at") + 1).alias("at"), starts[0].alias("_start") if len(starts) == 1 else F.explode_outer(F.array(*starts)).alias("_start")).where("_start is not null")
+    met = flat.join(wanted, F.col("_start") == F.col("_head")).groupBy("_row").agg(F.collect_set(F.struct("at", name, "_run", "_size")).alias("_met"))
+
+    def said(m: Column) -> Column:
+        at, size = m["at"], m["_size"]
+        low, start = F.greatest(F.lit(1), at - before), F.greatest(F.lit(1), at - around)
+        there = F.array_join(F.slice("_t", at, size), " ") == m["_run"]
+        context = F.array_join(F.slice("_t", start, at - start + size + around), " ")
+        return F.struct(m[name].alias(name), at.alias("at"), F.slice("_t", low, at - low).alias("before"), context.alias("context"), there.alias("_there"))
+
+    held = docs.select(key, *keep, row, F.col(text).alias("_text")).join(met, "_row").select(key, *keep, "_met", tokens_of(F.col("_text")).alias("_t"))
+    found = held.select(key, *keep, F.explode_outer(F.transform("_met", said)).alias("_m"))
+    return found.where("_m._there").select(key, *(f"_m.{c}" for c in (name, "at", "before", "context")), *keep)
 
 
 def employed(docs: DataFrame, key: str, text: str, companies: DataFrame, name: str) -> DataFrame:
