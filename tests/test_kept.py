@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from tidemark.sources import isolated
 from tidemark.streaming import state
@@ -45,6 +45,27 @@ def test_forgotten_profiles_come_back_as_new(spark, tmp_path):
     assert {r.ord: r.delta for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {0: "new", 1: "new"}
 
 
+def test_a_profile_costs_one_look_and_one_write_of_state(spark):
+    """Each call of the state is a message to the JVM."""
+    calls, values = [], {}
+
+    class Value:
+        def __getattr__(self, call):
+            return lambda *new: calls.append(call) or (values.update(held=new[0]) if new else values.get("held"))
+
+    class Handle:
+        def __getattr__(self, kind):
+            return lambda *args, **options: Value()
+
+    watch = state.ProfileWatch(most=2, chars=3)
+    watch.init(Handle())
+    runs = [[(1, "a", "long", ""), (0, "b", "first", " ")], [], [(2, "a", "long", " Ann "), (3, "c", None, "Bob")]]
+    got = [[tuple(r) for r in watch.handleInputRows(("p",), (Row(key="p", ord=o, form=f, headline=h, name=n) for o, f, h, n in rows), None)] for rows in runs]
+    assert got[0] == [("p", 0, "new", "", ["fir"]), ("p", 1, "changed", "", ["fir", "lon"])] and got[1] == []
+    assert got[2] == [("p", 2, "seen", "Ann", ["fir", "lon"]), ("p", 3, "changed", "Ann", ["lon", ""])]
+    assert calls == ["get", "update", "get", "get", "update"]
+
+
 def test_a_source_that_fails_is_empty(spark, tmp_path):
     spark.range(3).selectExpr("id", "'x' as name").write.parquet(f"{tmp_path}/good")
     spark.range(2).selectExpr("'word' as id").write.parquet(f"{tmp_path}/wrong")

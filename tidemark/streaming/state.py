@@ -6,8 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.ranking import numbered
@@ -210,29 +209,22 @@ class ProfileWatch(StatefulProcessor):
         self.ttl_ms, self.most, self.chars = ttl_ms, most, chars
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "form string", ttlDurationMs=self.ttl_ms)
-        self.name = handle.getValueState("name", "name string", ttlDurationMs=self.ttl_ms)
-        self.headlines = handle.getListState("headlines", "headline string", ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("ord")
-        held = self.last.get()[0] if self.last.exists() else None
-        name = self.name.get()[0] if self.name.exists() else ""
-        shown = [h[0] for h in self.headlines.get()] if held is not None else []
+        # one value: each call of the state is a message to the JVM, and there are a few for every key
+        self.held = handle.getValueState("held", "form string, name string, headlines array<string>", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held, name, shown = self.held.get() or (None, "", [])
         out = []
-        for form, headline, called in zip(batch["form"], batch["headline"], batch["name"], strict=True):
-            delta = "new" if held is None else "seen" if form == held else "changed"
-            name = name or (called or "").strip()
+        for r in sorted(rows, key=lambda r: (r.ord is None, r.ord)):
+            delta = "new" if held is None else "seen" if r.form == held else "changed"
+            name = name or (r.name or "").strip()
             if delta != "seen":
-                shown = [*shown, (headline or "")[: self.chars]][-self.most :]
-            out.append((delta, name, list(shown)))
-            held = form
+                shown = [*shown, (r.headline or "")[: self.chars]][-self.most :]
+            out.append(Row(key=r.key, ord=r.ord, delta=delta, name=name, headlines=list(shown)))
+            held = r.form
         if out:
-            self.last.update((held,))
-            self.headlines.put([(h,) for h in shown])
-            if name:
-                self.name.update((name,))
-        yield pd.DataFrame({"key": batch["key"].to_numpy(), "ord": batch["ord"].to_numpy(), "delta": [o[0] for o in out], "name": [o[1] for o in out], "headlines": [o[2] for o in out]})
+            self.held.update((held, name, list(shown)))
+        yield from out
 
     def close(self) -> None:
         pass
@@ -246,7 +238,7 @@ def watch_profiles(observations: DataFrame, key: str, order: str, headline: str,
     """
     called = F.col(name).cast("string") if name else F.lit("")
     slim = observations.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("ord"), headline_key(F.col(headline)).alias("form"), text_of(F.col(headline)).alias("headline"), text_of(called).alias("name"))
-    return slim.groupBy("key").transformWithStateInPandas(ProfileWatch(ttl_ms), "key string, ord long, delta string, name string, headlines array<string>", "Append", "ProcessingTime" if ttl_ms else "None")
+    return slim.groupBy("key").transformWithState(ProfileWatch(ttl_ms), "key string, ord long, delta string, name string, headlines array<string>", "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 @contextmanager
