@@ -60,6 +60,36 @@ def test_a_run_that_the_sample_lacks_brings_no_candidates(spark, monkeypatch):
     assert found.count() < 10
 
 
+def test_no_text_is_searched_whole_for_each_keyword(spark, monkeypatch):
+    """Keywords that many texts hold are met at their places: no text is joined to a keyword and searched from its start."""
+    plans = []
+    monkeypatch.setattr(lexicon, "materialise", lambda df, *by: plans.append(df) or materialise(df, *by))
+    docs = spark.range(20).selectExpr("id", "concat_ws(' ', transform(sequence(0, 50), i -> concat('w', i, id % 3))) as body")
+    d = spark.range(60).selectExpr("concat('l', id) as label", "if(id % 5 = 0, concat('w', id, '0'), concat(id, '1 w', id + 1)) as keyword")
+    got = lexicon.substring_matches(docs, "id", "body", d)
+    want = {(i, f"l{k}") for i in range(20) for k in range(60) if (f"w{k}0" if k % 5 == 0 else f"{k}1 w{k + 1}") in " ".join(f"w{j}{i % 3}" for j in range(51))}
+    assert len(want) > 200 and sorted(map(tuple, got.collect())) == sorted(want)
+    text = [str(df._jdf.queryExecution().optimizedPlan()) for df in (*plans, got)]
+    assert not any("Contains(_text" in t for t in text)
+
+
+def test_substrings_with_spaces_at_odd_places(spark, monkeypatch):
+    """Keywords that begin, end or go on with spaces, of many words, that share all windows or their labels, as small and as large tables."""
+    rng = random.Random(7)
+    pool = ["a", "b", "ab", "ba", "é", "😀b", "", "\n", "aab\tb"]
+    draw = lambda low, high: " ".join(rng.choice(pool) for _ in range(rng.randint(low, high)))
+    texts = [None, "", " ", "a", "a ", " a", "  ", *(draw(1, 40) for _ in range(80)), " ".join(["ab"] * 400)]
+    words = ["a ", " a", "  a", "a  ", "\n ", "ab ab", " ".join(["ab"] * 12), " ".join(["ab"] * 12) + " c", " ".join(["b"] * 9), "none of these", "a" * 40 + " b", *(draw(1, 4) for _ in range(120)), *(t[1:40] for t in texts[10:30])]
+    d = [(f"l{i % 40}", w) for i, w in enumerate(words)] + [(f"m{i}", w) for w in ("AB A", "ab") for i in range(30)]
+    docs = spark.createDataFrame([(i % 60, t) for i, t in enumerate(texts)] + [(None, "a b")], "id int, body string")
+    want = sorted({(i % 60, label) for i, t in enumerate(texts) for label, w in d if t and w.strip(" ") and w.lower() in t.lower()})
+    for shared, small, many in ((128, 200_000, 16), (2, 0, 1)):
+        for name, value in (("SHARED", shared), ("SMALL", small), ("MANY", many)):
+            monkeypatch.setattr(lexicon, name, value)
+        got = lexicon.substring_matches(docs, "id", "body", spark.createDataFrame(d, "label string, keyword string"))
+        assert sorted(map(tuple, got.collect())) == want
+
+
 def test_mentions_of_long_names_and_equal_rows(spark):
     """Names longer than what they are looked up by, which begin alike; rows that share their key, have none, or are equal."""
     long = " ".join(f"w{i}" for i in range(12))

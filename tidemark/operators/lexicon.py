@@ -1,8 +1,9 @@
-"""Dictionaries of any size against whole texts: phrases as substrings by their rarest gram, names as runs of tokens with their context."""
+"""Dictionaries of any size against whole texts: phrases as substrings by what stands around a space or by their rarest gram, names as runs of tokens with their context."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,34 +14,83 @@ from tidemark.tables import materialise
 TOKEN = r"[\p{L}\p{N}#]+"
 #: Tokens of a name that its places are looked up by; those of a longer one that follow are compared where it is found.
 WIDTH = 8
+#: Widths of the windows of characters on both sides of a space, and how many keywords may share one.
+RUNGS, SHARED = (1, 2, 4, 8, 16), 128
+#: Rows of a table that is handed to all tasks, and labels of a keyword from which it gives them once a text.
+SMALL, MANY = 200_000, 16
 #: What before a company's name says that someone has left it.
 FORMER = ("ex", "former", "formerly", "previously")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, to be handed to all tasks whatever the session's threshold if it has no more than ``SMALL`` rows."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def _grams(text: Column, size: int) -> Column:
     """Every run of ``size`` characters, in one pass."""
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
-def substring_matches(docs: DataFrame, key: str, text: str, dictionary: DataFrame, gram: int = 4, rare_in: int = 64) -> DataFrame:
-    """``key, label`` of each document and label of ``dictionary`` (``label, keyword``) one of whose keywords stands anywhere in the text, in any case.
+def _windows(left: Column, right: Column, a: int, b: int) -> Column:
+    """One number for the last ``a`` characters of ``left`` and the first ``b`` of ``right``."""
+    return F.xxhash64(F.right(left, F.lit(a)), F.left(right, F.lit(b)))
+
 
-    Each keyword is posted under one of its runs of ``gram`` characters (a shorter one under itself). A sample of one text in ``rare_in`` names up to four that are
-    rare, of which two few keywords have and two many, and what all texts hold of these is written; of the four, that which the fewest texts hold is taken. A run that many keywords
-    share is often in no text at all, and one that the sample lacks may still be in many. This steers the work and no result. Only texts with the
-    posted run of a keyword are searched for it. Neither the plan nor a task's memory grows with the dictionary. Blank keywords and null keys match nothing.
+def _spaced(slim: DataFrame, key: str, keywords: DataFrame) -> DataFrame | None:
+    """``key, keyword`` for each place in ``slim`` (``key, _text``) of a keyword that holds spaces; None without such keywords.
+
+    Such a keyword stands in a text where its ``head``, what comes before its first space, ends a piece between spaces and its rest begins what follows.
+    It is posted under a window of characters around that space, the narrowest of ``RUNGS`` that at most ``SHARED`` keywords share or else that which the fewest share;
+    the pieces of a text meet it there and are compared in place. No text is searched again, but for keywords of more than ``WIDTH`` spaces.
     """
-    words = dictionary.select("label", F.lower("keyword").alias("keyword")).where(F.trim("keyword") != "").distinct()
-    slim = docs.where(F.col(key).isNotNull()).select(key, F.lower(text_of(F.col(text))).alias("_text"))
-    size = F.least(F.length("keyword"), F.lit(gram))
-    keywords = materialise(words.select("keyword").distinct().withColumn("size", size))
+    head = F.substring_index("keyword", " ", 1)
+    parts = keywords.where(F.contains("keyword", F.lit(" "))).select("keyword", head.alias("head"), F.substring("keyword", F.length(head) + 2, F.length("keyword")).alias("rest"))
+    n = F.size(F.split("rest", " "))
+    parts = parts.select("keyword", "head", F.substring_index("rest", " ", WIDTH).alias("rest"), n.alias("n"))
+    wide = lambda c, w: reduce(lambda low, x: F.when(F.length(c) >= x, F.lit(x)).otherwise(low), [x for x in RUNGS if x <= w], F.lit(0))
+    rungs = F.array(*(F.struct(F.lit(w).alias("w"), wide("head", w).alias("a"), wide("rest", w).alias("b")) for w in RUNGS[1:]))
+    each = parts.select("*", F.explode(rungs).alias("r")).groupBy("keyword", "head", "rest", "n", "r.a", "r.b").agg(F.min("r.w").alias("w"))
+    each = materialise(each.withColumn("window", F.xxhash64(F.expr("right(head, a)"), F.expr("left(rest, b)"))))
+    shared = each.groupBy("window").agg(F.count(F.lit(1)).alias("m"))
+    best = F.min(F.struct(F.greatest("m", F.lit(SHARED)), "w", "a", "b", "window")).alias("best")
+    posted = materialise(each.join(shared, "window").groupBy("keyword", "head", "rest", "n").agg(best).select("keyword", "head", "rest", "n", "best.a", "best.b", "best.window"))
+    shapes = [(r.a, r.b) for r in posted.select("a", "b").distinct().orderBy("a", "b").collect()]  # of at most six widths each
+    if not shapes:
+        return None
+    longest = posted.agg(F.max("n")).first()[0]
+    # pieces side by side with those that follow; an outer explode, since a plain one makes Spark split the text for a filter too
+    beside = F.arrays_zip("_s", *(F.slice("_s", F.lit(i + 1), F.size("_s") + 1).alias(f"s{i}") for i in range(1, min(longest, WIDTH) + 1)))
+    placed = slim.select(key, F.split("_text", " ").alias("_s")).select(key, F.explode_outer(beside).alias("_p")).where("_p.s1 is not null")
+    after = F.col("_p.s1") if longest == 1 else F.concat_ws(" ", *(f"_p.s{i}" for i in range(1, min(longest, WIDTH) + 1)))
+    placed = placed.select(key, F.col("_p._s").alias("_left"), after.alias("_right")).select("*", F.length("_left").alias("_a"), F.length("_right").alias("_b"))
+    windows = F.array(*(F.when((F.col("_a") >= a) & (F.col("_b") >= b), _windows(F.col("_left"), F.col("_right"), a, b)) for a, b in shapes))
+    placed = placed.select(key, "_left", "_right", F.explode_outer(windows).alias("window")).where("window is not null")
+    at = lambda k: placed.join(_small(k.select("window", "keyword", "head", "rest")), "window").where(F.col("_left").endswith(F.col("head")) & F.col("_right").startswith(F.col("rest"))).select(key, "keyword")
+    if longest <= WIDTH:
+        return at(posted)
+    longer = at(posted.where(F.col("n") > WIDTH)).distinct().join(slim, key).where(F.col("_text").contains(F.col("keyword"))).select(key, "keyword")
+    return at(posted.where(F.col("n") <= WIDTH)).unionByName(longer)
+
+
+def _unspaced(slim: DataFrame, key: str, keywords: DataFrame, gram: int, rare_in: int) -> DataFrame | None:
+    """``key, keyword`` for each piece of ``slim`` (``key, _text``) between spaces that holds a keyword without spaces; None if none does.
+
+    Each distinct piece is looked at once. Each keyword is posted under one of its runs of ``gram`` characters (a shorter one under itself). A sample of one piece
+    in ``rare_in`` names up to four that are rare, of which two few keywords have and two many, and what all pieces hold of these is written; of the four, that which
+    the fewest pieces hold is taken. A run that many keywords share is often in no piece at all, and one that the sample lacks may still be in many. This steers the work and no result.
+    """
+    keywords = materialise(keywords.where(~F.contains("keyword", F.lit(" "))).withColumn("size", F.least(F.length("keyword"), F.lit(gram))))
     sizes = [r.size for r in keywords.select("size").distinct().orderBy("size").collect()]  # 1 to ``gram``
     if not sizes:
-        return docs.select(key, F.lit("").alias("label")).where("false")
+        return None
+    shortest = keywords.agg(F.min(F.length("keyword"))).first()[0]
+    split = slim.select(key, F.explode_outer(F.split("_text", " ")).alias("_piece")).where(F.length("_piece") >= shortest)
+    pieces = materialise(split.select("_piece").distinct().select(F.monotonically_increasing_id().alias("_id"), "_piece"))
     of = lambda c, s: F.when(F.col("size") == s, _grams(c, s))
     runs = keywords.select("keyword", F.explode(F.coalesce(*(of(F.col("keyword"), s) for s in sizes))).alias("gram")).distinct()
     all_runs = lambda c: F.array_distinct(F.flatten(F.array(*(_grams(c, s) for s in sizes))))
-    sample = slim.where(F.pmod(F.xxhash64("_text"), F.lit(rare_in)) == 0).select(F.explode(all_runs(F.col("_text"))).alias("gram"))
+    sample = pieces.where(F.pmod(F.xxhash64("_piece"), F.lit(rare_in)) == 0).select(F.explode(all_runs(F.col("_piece"))).alias("gram"))
     often = sample.join(runs.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     shared = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
     ranked = runs.join(often, "gram", "left").join(shared, "gram")
@@ -49,13 +99,35 @@ def substring_matches(docs: DataFrame, key: str, text: str, dictionary: DataFram
     rare = ranked.groupBy("keyword").agg(F.array_distinct(F.concat(few(F.col("m")), few(-F.col("m")))).alias("grams"))
     rare = materialise(rare.select("keyword", F.explode("grams").alias("gram")))
     asked = materialise(rare.groupBy("gram").agg(F.count(F.lit(1)).alias("m")))
-    met = materialise(slim.select(key, F.explode(all_runs(F.col("_text"))).alias("gram")).join(asked.select("gram"), "gram", "left_semi"))
+    met = materialise(pieces.select("_id", F.explode(all_runs(F.col("_piece"))).alias("gram")).join(asked.select("gram"), "gram", "left_semi"))
     exact = met.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     best = rare.join(asked.join(exact, "gram", "left"), "gram").groupBy("keyword").agg(F.min(F.struct(n.alias("n"), "m", "gram")).alias("best"))
-    posted = materialise(best.where("best.n > 0").select("keyword", "best.gram"))
-    found = materialise(met.join(posted, "gram").select(key, "keyword").distinct())
-    held = found.join(slim, key).where(F.col("_text").contains(F.col("keyword"))).select(key, "keyword")
-    return held.join(words, "keyword").select(key, "label").distinct()
+    posted = best.where("best.n > 0").select("keyword", "best.gram")
+    held = met.join(posted, "gram").select("_id", "keyword").distinct().join(pieces, "_id").where(F.col("_piece").contains(F.col("keyword")))
+    held = materialise(held.select("_piece", "keyword"))
+    return None if held.isEmpty() else split.join(_small(held), "_piece").select(key, "keyword")
+
+
+def substring_matches(docs: DataFrame, key: str, text: str, dictionary: DataFrame, gram: int = 4, rare_in: int = 64) -> DataFrame:
+    """``key, label`` of each document and label of ``dictionary`` (``label, keyword``) one of whose keywords stands anywhere in the text, in any case.
+
+    Texts are split at spaces. A keyword that holds spaces is met at a place between two pieces, one without spaces in the distinct pieces of all texts; each place is
+    compared by itself, so the work does not grow with the length of a text times the keywords in it. Neither the plan nor a task's memory grows with the dictionary:
+    one of up to ``SMALL`` rows is handed to all tasks, a larger one is shuffled. Blank keywords and null keys match nothing.
+    """
+    words = materialise(dictionary.select("label", F.lower("keyword").alias("keyword")).where(F.trim("keyword") != "").distinct())
+    slim = docs.where(F.col(key).isNotNull()).select(key, F.lower(text_of(F.col(text))).alias("_text"))
+    keywords = words.select("keyword").distinct()
+    both = [df for df in (_spaced(slim, key, keywords), _unspaced(slim, key, keywords, gram, rare_in)) if df is not None]
+    if not both:
+        return docs.select(key, F.lit("").alias("label")).where("false")
+    found = materialise(reduce(DataFrame.unionByName, both))
+    # a keyword of many labels gives them once to a text, however often it stands there
+    named = materialise(words.join(found.select("keyword").distinct(), "keyword", "left_semi"))
+    many = materialise(named.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select("keyword"))
+    few = found.join(_small(named.join(many, "keyword", "left_anti")), "keyword")
+    once = found.join(_small(many), "keyword", "left_semi").distinct().join(named, "keyword")
+    return few.select(key, "label").unionByName(once.select(key, "label")).distinct()
 
 
 def tokens_of(text: Column) -> Column:
