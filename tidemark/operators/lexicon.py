@@ -18,6 +18,8 @@ WIDTH = 8
 RUNGS, SHARED = (1, 2, 4, 8, 16), 128
 #: Rows of a table that is handed to all tasks, and labels of a keyword from which it gives them once a text.
 SMALL, MANY = 200_000, 16
+#: Runs of a keyword that may be the one it is posted under: the first so many.
+PLACES = 2**24
 #: What before a company's name says that someone has left it.
 FORMER = ("ex", "former", "formerly", "previously")
 
@@ -73,37 +75,28 @@ def _spaced(slim: DataFrame, key: str, keywords: DataFrame) -> DataFrame | None:
     return at(posted.where(F.col("n") <= WIDTH)).unionByName(longer)
 
 
-def _unspaced(slim: DataFrame, key: str, keywords: DataFrame, gram: int, rare_in: int) -> DataFrame | None:
+def _unspaced(slim: DataFrame, key: str, keywords: DataFrame, gram: int) -> DataFrame | None:
     """``key, keyword`` for each piece of ``slim`` (``key, _text``) between spaces that holds a keyword without spaces; None if none does.
 
-    Each distinct piece is looked at once. Each keyword is posted under one of its runs of ``gram`` characters (a shorter one under itself). A sample of one piece
-    in ``rare_in`` names up to four that are rare, of which two few keywords have and two many, and what all pieces hold of these is written; of the four, that which
-    the fewest pieces hold is taken. A run that many keywords share is often in no piece at all, and one that the sample lacks may still be in many. This steers the work and no result.
+    Each distinct piece is looked at once. All runs of ``gram`` characters of the pieces are counted, and a keyword (a shorter one whole) is posted under that of its runs which
+    the fewest pieces hold. One with a run that no piece holds stands nowhere and goes no further. Only pieces with the posted run of a keyword are searched for it.
     """
     keywords = materialise(keywords.where(~F.contains("keyword", F.lit(" "))).withColumn("size", F.least(F.length("keyword"), F.lit(gram))))
-    sizes = [r.size for r in keywords.select("size").distinct().orderBy("size").collect()]  # 1 to ``gram``
-    if not sizes:
+    lengths = {r.size: r.n for r in keywords.groupBy("size").agg(F.min(F.length("keyword")).alias("n")).collect()}  # by sizes of 1 to ``gram``
+    if not lengths:
         return None
-    shortest = keywords.agg(F.min(F.length("keyword"))).first()[0]
-    split = slim.select(key, F.explode_outer(F.split("_text", " ")).alias("_piece")).where(F.length("_piece") >= shortest)
+    split = slim.select(key, F.explode_outer(F.split("_text", " ")).alias("_piece")).where(F.length("_piece") >= min(lengths.values()))
     pieces = materialise(split.select("_piece").distinct().select(F.monotonically_increasing_id().alias("_id"), "_piece"))
-    of = lambda c, s: F.when(F.col("size") == s, _grams(c, s))
-    runs = keywords.select("keyword", F.explode(F.coalesce(*(of(F.col("keyword"), s) for s in sizes))).alias("gram")).distinct()
-    all_runs = lambda c: F.array_distinct(F.flatten(F.array(*(_grams(c, s) for s in sizes))))
-    sample = pieces.where(F.pmod(F.xxhash64("_piece"), F.lit(rare_in)) == 0).select(F.explode(all_runs(F.col("_piece"))).alias("gram"))
-    often = sample.join(runs.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    shared = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
-    ranked = runs.join(often, "gram", "left").join(shared, "gram")
-    n = F.coalesce("n", F.lit(0))
-    few = lambda m: F.slice(F.array_sort(F.collect_list(F.struct(n.alias("n"), m.alias("m"), "gram"))), 1, 2)["gram"]  # noqa: E731  of a keyword's runs
-    rare = ranked.groupBy("keyword").agg(F.array_distinct(F.concat(few(F.col("m")), few(-F.col("m")))).alias("grams"))
-    rare = materialise(rare.select("keyword", F.explode("grams").alias("gram")))
-    asked = materialise(rare.groupBy("gram").agg(F.count(F.lit(1)).alias("m")))
-    met = materialise(pieces.select("_id", F.explode(all_runs(F.col("_piece"))).alias("gram")).join(asked.select("gram"), "gram", "left_semi"))
-    exact = met.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    best = rare.join(asked.join(exact, "gram", "left"), "gram").groupBy("keyword").agg(F.min(F.struct(n.alias("n"), "m", "gram")).alias("best"))
-    posted = best.where("best.n > 0").select("keyword", "best.gram")
-    held = met.join(posted, "gram").select("_id", "keyword").distinct().join(pieces, "_id").where(F.col("_piece").contains(F.col("keyword")))
+    all_runs = F.array_distinct(F.flatten(F.array(*(_grams(F.col("_piece"), s) for s in sorted(lengths)))))
+    runs = F.coalesce(*(F.when(F.col("size") == s, _grams(F.col("keyword"), s)) for s in sorted(lengths)))
+    met = pieces.select("_id", F.explode_outer(all_runs).alias("gram"))
+    counted = materialise(met.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    each = keywords.select("keyword", "size", F.posexplode_outer(runs).alias("at", "gram")).where(F.col("at") < PLACES).join(_small(counted), "gram", "left")
+    best = each.groupBy("keyword", "size").agg(F.min(F.coalesce("n", F.lit(0)) * PLACES + F.col("at")).alias("best")).where(F.col("best") >= PLACES)
+    posted = materialise(best.select("keyword", F.get(runs, (F.col("best") % PLACES).cast("int")).alias("gram")))
+    if posted.isEmpty():
+        return None
+    held = met.join(_small(posted), "gram").select("_id", "keyword").join(pieces, "_id").where(F.col("_piece").contains(F.col("keyword")))
     held = materialise(held.select("_piece", "keyword"))
     return None if held.isEmpty() else split.join(_small(held), "_piece").select(key, "keyword")
 
@@ -113,12 +106,13 @@ def substring_matches(docs: DataFrame, key: str, text: str, dictionary: DataFram
 
     Texts are split at spaces. A keyword that holds spaces is met at a place between two pieces, one without spaces in the distinct pieces of all texts; each place is
     compared by itself, so the work does not grow with the length of a text times the keywords in it. Neither the plan nor a task's memory grows with the dictionary:
-    one of up to ``SMALL`` rows is handed to all tasks, a larger one is shuffled. Blank keywords and null keys match nothing.
+    one of up to ``SMALL`` rows is handed to all tasks, a larger one is shuffled. Blank keywords and null keys match nothing. ``rare_in`` has no effect any more: runs are
+    counted in all pieces, not in a sample.
     """
     words = materialise(dictionary.select("label", F.lower("keyword").alias("keyword")).where(F.trim("keyword") != "").distinct())
     slim = docs.where(F.col(key).isNotNull()).select(key, F.lower(text_of(F.col(text))).alias("_text"))
     keywords = words.select("keyword").distinct()
-    both = [df for df in (_spaced(slim, key, keywords), _unspaced(slim, key, keywords, gram, rare_in)) if df is not None]
+    both = [df for df in (_spaced(slim, key, keywords), _unspaced(slim, key, keywords, gram)) if df is not None]
     if not both:
         return docs.select(key, F.lit("").alias("label")).where("false")
     found = materialise(reduce(DataFrame.unionByName, both))
