@@ -90,6 +90,13 @@ def test_substrings_with_spaces_at_odd_places(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == want
 
 
+def test_keys_of_any_name(spark):
+    docs, d = spark.createDataFrame([(1, "an old red car"), (2, "redcar")], "k int, body string"), spark.createDataFrame([("x", "old red"), ("y", "dcar"), ("z", "D C")], "label string, keyword string")
+    for name in ("window", "head", "rest", "n", "a", "w", "gram", "size"):
+        got = lexicon.substring_matches(docs.withColumnRenamed("k", name), name, "body", d)
+        assert sorted(map(tuple, got.collect())) == [(1, "x"), (1, "z"), (2, "y")]
+
+
 def test_mentions_of_long_names_and_equal_rows(spark):
     """Names longer than what they are looked up by, which begin alike; rows that share their key, have none, or are equal."""
     long = " ".join(f"w{i}" for i in range(12))

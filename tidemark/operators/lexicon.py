@@ -47,16 +47,16 @@ def _spaced(slim: DataFrame, key: str, keywords: DataFrame) -> DataFrame | None:
     the pieces of a text meet it there and are compared in place. No text is searched again, but for keywords of more than ``WIDTH`` spaces.
     """
     head = F.substring_index("keyword", " ", 1)
-    parts = keywords.where(F.contains("keyword", F.lit(" "))).select("keyword", head.alias("head"), F.substring("keyword", F.length(head) + 2, F.length("keyword")).alias("rest"))
-    n = F.size(F.split("rest", " "))
-    parts = parts.select("keyword", "head", F.substring_index("rest", " ", WIDTH).alias("rest"), n.alias("n"))
+    parts = keywords.where(F.contains("keyword", F.lit(" "))).select("keyword", head.alias("_head"), F.substring("keyword", F.length(head) + 2, F.length("keyword")).alias("_rest"))
+    n = F.size(F.split("_rest", " "))
+    parts = parts.select("keyword", "_head", F.substring_index("_rest", " ", WIDTH).alias("_rest"), n.alias("n"))
     wide = lambda c, w: reduce(lambda low, x: F.when(F.length(c) >= x, F.lit(x)).otherwise(low), [x for x in RUNGS if x <= w], F.lit(0))
-    rungs = F.array(*(F.struct(F.lit(w).alias("w"), wide("head", w).alias("a"), wide("rest", w).alias("b")) for w in RUNGS[1:]))
-    each = parts.select("*", F.explode(rungs).alias("r")).groupBy("keyword", "head", "rest", "n", "r.a", "r.b").agg(F.min("r.w").alias("w"))
-    each = materialise(each.withColumn("window", F.xxhash64(F.expr("right(head, a)"), F.expr("left(rest, b)"))))
-    shared = each.groupBy("window").agg(F.count(F.lit(1)).alias("m"))
-    best = F.min(F.struct(F.greatest("m", F.lit(SHARED)), "w", "a", "b", "window")).alias("best")
-    posted = materialise(each.join(shared, "window").groupBy("keyword", "head", "rest", "n").agg(best).select("keyword", "head", "rest", "n", "best.a", "best.b", "best.window"))
+    rungs = F.array(*(F.struct(F.lit(w).alias("w"), wide("_head", w).alias("a"), wide("_rest", w).alias("b")) for w in RUNGS[1:]))
+    each = parts.select("*", F.explode(rungs).alias("r")).groupBy("keyword", "_head", "_rest", "n", "r.a", "r.b").agg(F.min("r.w").alias("w"))
+    each = materialise(each.withColumn("_window", F.xxhash64(F.expr("right(_head, a)"), F.expr("left(_rest, b)"))))
+    shared = each.groupBy("_window").agg(F.count(F.lit(1)).alias("m"))
+    best = F.min(F.struct(F.greatest("m", F.lit(SHARED)), "w", "a", "b", "_window")).alias("best")
+    posted = materialise(each.join(shared, "_window").groupBy("keyword", "_head", "_rest", "n").agg(best).select("keyword", "_head", "_rest", "n", "best.a", "best.b", "best._window"))
     shapes = [(r.a, r.b) for r in posted.select("a", "b").distinct().orderBy("a", "b").collect()]  # of at most six widths each
     if not shapes:
         return None
@@ -67,8 +67,12 @@ def _spaced(slim: DataFrame, key: str, keywords: DataFrame) -> DataFrame | None:
     after = F.col("_p.s1") if longest == 1 else F.concat_ws(" ", *(f"_p.s{i}" for i in range(1, min(longest, WIDTH) + 1)))
     placed = placed.select(key, F.col("_p._s").alias("_left"), after.alias("_right")).select("*", F.length("_left").alias("_a"), F.length("_right").alias("_b"))
     windows = F.array(*(F.when((F.col("_a") >= a) & (F.col("_b") >= b), _windows(F.col("_left"), F.col("_right"), a, b)) for a, b in shapes))
-    placed = placed.select(key, "_left", "_right", F.explode_outer(windows).alias("window")).where("window is not null")
-    at = lambda k: placed.join(_small(k.select("window", "keyword", "head", "rest")), "window").where(F.col("_left").endswith(F.col("head")) & F.col("_right").startswith(F.col("rest"))).select(key, "keyword")
+    placed = placed.select(key, "_left", "_right", F.explode_outer(windows).alias("_window")).where("_window is not null")
+
+    def at(these: DataFrame) -> DataFrame:
+        met = placed.join(_small(these.select("_window", "keyword", "_head", "_rest")), "_window")
+        return met.where(F.col("_left").endswith(F.col("_head")) & F.col("_right").startswith(F.col("_rest"))).select(key, "keyword")
+
     if longest <= WIDTH:
         return at(posted)
     longer = at(posted.where(F.col("n") > WIDTH)).distinct().join(slim, key).where(F.col("_text").contains(F.col("keyword"))).select(key, "keyword")
